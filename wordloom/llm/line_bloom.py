@@ -148,7 +148,7 @@ def removals(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     blocks = int(min(MOST_FILTER_MB << 20, max(1 << 16, chars / LINE_CHARS * BITS_A_KEY / 8)) // BLOCK)
     found = written(suspects(docs, blocks, twice_seen(docs, blocks)).distinct(), "line-suspects")
     # two steps: a line that a third of all documents hold is counted by many tasks, and joined the same way
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
     parts = salted.groupBy("k1", "k2", "salt").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     common = parts.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).filter(F.col("n") >= least_docs).drop("n")
     common = written(parts.select("k1", "k2", "salt").join(common, ["k1", "k2"]), "line-common")

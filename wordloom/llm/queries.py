@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontam_sam, line_bloom, quality_sketch, token_orc
+from wordloom.llm import decontam_sam, line_bloom, minhash_cps, quality_sketch, token_orc
 from wordloom.llm.common import table
 
 
@@ -45,6 +45,10 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)""",
 }
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_cps.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_positions(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
