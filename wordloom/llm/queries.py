@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontam_sam, line_bloom, minhash_cps, quality_sketch, token_orc
+from wordloom.llm import decontam_sam, gumbel_pieces, line_bloom, minhash_cps, quality_sketch, token_orc
 from wordloom.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_cps.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel_pieces.sample_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_positions(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
