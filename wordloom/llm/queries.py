@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontam_sam, gumbel_pieces, line_bloom, minhash_cps, quality_sketch, token_orc, warc_zip
+from wordloom.llm import decontam_sam, gumbel_pieces, line_bloom, minhash_cps, pii_boost, quality_sketch, token_orc, toxic_nbsvm, warc_zip
 from wordloom.llm.common import table
 
 
@@ -74,6 +74,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bloom.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxic_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_nbsvm.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sketch.quality(table(spark, sf_dir, "documents"))
 
