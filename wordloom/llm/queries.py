@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontam_sam, gumbel_pieces, line_bloom, minhash_cps, pii_boost, quality_sketch, token_orc, toxic_nbsvm, warc_zip
+from wordloom.llm import decontam_sam, gumbel_pieces, html_template, line_bloom, minhash_cps, pii_boost, quality_sketch, token_orc, toxic_nbsvm, warc_zip
 from wordloom.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op7_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sketch.quality(table(spark, sf_dir, "documents"))
 
