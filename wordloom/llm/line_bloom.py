@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +87,22 @@ class TwoFilters:
             yield k, (self.once[at].tobytes(), self.twice[at].tobytes())
 
 
-def merged(x: tuple[bytes, bytes], y: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
-    (a, b), (c, d) = [[np.frombuffer(f, np.uint8) for f in z] for z in (x, y)]
-    return (a | c).tobytes(), (b | d | (a & c)).tobytes()
+def merge(once: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pair of filters of many, block by block: rows are partitions. A bit of two once-seen filters is seen twice."""
+    seen, again = once[0].copy(), twice[0].copy()
+    for a, b in zip(once[1:], twice[1:], strict=True):
+        again |= b | (seen & a)
+        seen |= a
+    return seen, again
+
+
+#: Partitions whose blocks meet first, so that the second merge has few rows however many partitions there are.
+FIRST_MERGE = 64
 
 
 def twice_seen(docs: DataFrame, blocks: int) -> dict[int, bytes]:
     """The merged twice-seen filter, block by block (at most ``MOST_FILTER_MB`` in all)."""
+    schema = "part long, block long, once binary, twice binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = TwoFilters(blocks)
@@ -101,13 +111,19 @@ def twice_seen(docs: DataFrame, blocks: int) -> dict[int, bytes]:
                 found = [k for text in as_bytes(part.column("text")) for k in dict.fromkeys(keys_of(text)) if k]
                 if found:
                     filters.add(found)
+        own = TaskContext.get().partitionId() // FIRST_MERGE
         for k, (a, b) in filters.parts():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([a]), pa.array([b])], ["block", "once", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([k], pa.int64()), pa.array([a]), pa.array([b])], ["part", "block", "once", "twice"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        once, twice = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, BLOCK) for c in ("once", "twice"))
+        a, b = merge(once, twice)
+        return pa.table({"part": t.column("part")[:1], "block": t.column("block")[:1], "once": [a.tobytes()], "twice": [b.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(build, "block long, once binary, twice binary")
-    pairs = parts.rdd.map(lambda r: (r[0], (bytes(r[1]), bytes(r[2]))))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dict(pairs.reduceByKey(merged, tasks).mapValues(lambda x: x[1]).filter(lambda x: any(x[1])).collect())
+    parts = docs.select("text").mapInArrow(build, schema)
+    some = parts.groupBy("part", "block").applyInArrow(meet, schema)
+    rows = some.groupBy("block").applyInArrow(meet, schema).select("block", "twice").collect()
+    return {r[0]: bytes(r[1]) for r in rows if any(r[1])}
 
 
 def suspects(docs: DataFrame, blocks: int, filter_: dict[int, bytes]) -> DataFrame:
