@@ -1,0 +1 @@
+"""Text curation and learning-state analytics as plain DataFrame operators."""
