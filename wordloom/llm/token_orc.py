@@ -13,7 +13,9 @@ in no fixed order; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,17 +30,27 @@ END_ID = 1
 #: Text a file holds, about.
 FILE_BYTES = 64 << 20
 
-#: Distinct words whose ids a task remembers.
-MOST_CACHED = 300_000
+#: Distinct words, and parts of words, whose ids a task remembers (about 200 bytes each).
+MOST_WORDS, MOST_PARTS = 400_000, 500_000
 
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20)}
 
 
+#: What the file's pre-tokenizer cuts a text into, for characters up to U+024F. Its classes of letters and numbers are
+#: spelt out with Python's: superscripts and fractions are numbers there, letters of no case are letters.
+_NUMBERS = "\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_NUMBERS}]+|[\d{_NUMBERS}]|(?:[^\w\s]|_)+")
+
+#: Characters whose classes, cases and compositions are left to the library.
+_FAR = re.compile("[^\x00-\u024f]")
+
+
 class WordEncoder:
-    """``tokenizers`` ids of whole texts, with a cache of words.
+    """``tokenizers`` ids of whole texts, with caches of words and of the parts that the pre-tokenizer cuts them into.
 
-    The file's normaliser turns any white space into one space and its pattern never matches across one, so a text's ids
-    are those of its words in a row. That also holds for composed characters: none are composed across white space.
+    The library encodes each part by itself, so a text's ids are those of its parts in a row; up to U+024F the
+    normaliser only lowers case and unifies white space, which no part holds. New parts are encoded together, with
+    spaces between them; the last id of a part is one that ends a word in the vocabulary, and no other is.
     """
 
     def __init__(self, path: str):
@@ -46,28 +58,45 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text or self._odd(text):  # special tokens and rare white space: the library alone decides
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > MOST_CACHED:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words to the cache."""
+        cut = [_PARTS.findall(w) for w in map(str.lower, new)]
+        if len(self.parts) > MOST_PARTS:
+            self.parts = {x: y for x, y in self.parts.items() if x in self.words}
+        unknown = list(set(itertools.chain.from_iterable(cut)).difference(self.parts))
+        if unknown:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
+            at = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            assert len(at) == len(unknown)
+            data, ends = ids.tobytes(), at.tolist()
+            self.parts.update(zip(unknown, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        known = self.parts
+        self.words.update((w, known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])) for w, p in zip(new, cut, strict=True))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        whole = [None if not t or self._special(t) else t.split() for t in texts]
+        wanted: set[str] = set().union(*[w for w in whole if w])
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > MOST_WORDS:  # frequent words are among those wanted now
+            self.words = {w: self.words[w] for w in wanted - new}
+        self._learn(list(new))
+        get = self.words.__getitem__
+        return [b"".join(map(get, w)) if w is not None else self._plain(t) if t else b"" for w, t in zip(whole, texts, strict=True)]
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
-    def _odd(text: str) -> bool:
-        """Characters that Python's split and the normaliser's pattern treat differently."""
-        return not text.isascii() and ("\x85" in text or "᠎" in text or "﻿" in text) or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    def _special(t: str) -> bool:
+        """Special tokens, separators that only Python takes for white space, and characters past U+024F."""
+        return "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t or not t.isascii() and _FAR.search(t) is not None
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -77,12 +106,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
 
     def run(batch: pa.RecordBatch, encoder: WordEncoder) -> dict:
         texts = batch.column("text").to_pylist()
-        parts = [(encoder.ids(t) if t else b"") + end for t in texts]
+        parts = [x + end for x in encoder.texts(texts)]
         offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
         return {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"ids": ids}
 
-    return arrow_map(docs, "text", run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text") + ", ids array<int>", lambda: WordEncoder(tokenizer_path))
+    return arrow_map(docs, "text", run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text") + ", ids array<int>", lambda: WordEncoder(tokenizer_path), 4 << 20)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
