@@ -3,8 +3,8 @@
 Each page becomes a sequence of tokens: one for each element's path (tag names and class or id words from the root), one
 for each text block at its path. On the pages of a host, tokens with the same *occurrence vector* (how often they occur
 on each page) form an equivalence class; a class that is on enough of the host's pages and has enough tokens is taken for
-output of the template. A class's tokens are valid if they nest: the path of every token's parent is a token of a class
-that is at least as frequent. Template text is what the valid classes say themselves; the slots that remain hold a page's
+output of the template. A class's tokens are valid if they nest: the path of every token's parent is a token that is at
+least as frequent. Template text is what the valid classes say themselves; the slots that remain hold a page's
 own data.
 
 Of the slots those are the main text that lie in an article or main element, or, where a page has none, outside elements
@@ -170,8 +170,8 @@ def templates(pages: DataFrame) -> DataFrame:
     frequent = written(per_token.join(counts, "host").filter(F.col("support") >= SUPPORT * F.col("pages")), "frequent-tokens")
     classes = frequent.groupBy("host", "vector", "support").agg(F.count("*").alias("size")).filter(F.col("size") >= LEAST_TOKENS)
     members = frequent.join(classes.drop("size"), ["host", "vector", "support"]).select("host", "token", "parent", "support")
-    # nesting: the parent's path is a token of a class as frequent, or the root
-    over = members.select("host", F.col("token").alias("parent"), F.col("support").alias("above"))
+    # nesting: the parent's path is a token at least as frequent, or the root
+    over = frequent.select("host", F.col("token").alias("parent"), F.col("support").alias("above"))
     valid = members.join(over, ["host", "parent"], "left").filter((F.col("above") >= F.col("support")) | (F.col("parent") == _token("")))
     return valid.groupBy("host").agg(F.collect_set("token").alias("template"))
 
