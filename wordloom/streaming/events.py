@@ -11,9 +11,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, files_a_trigger: int = 1) -> DataFrame:
-    """The events table's files as a stream."""
+    """The events table's files as a stream; ``ts`` becomes an instant of the session's time zone, as watermarks need."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, delay: str = "1 day", length: str = "1 day") -> DataFrame:
