@@ -42,7 +42,7 @@ BYTE_WEIGHT = -14.0
 
 _U = np.uint64
 _GOLD, _ALL = _U(0x9E3779B97F4A7C15), (1 << 64) - 1
-SPACE = "▁"
+SPACE, _TABLE = "▁", 20
 
 
 def _mix(x: int) -> int:
@@ -111,16 +111,16 @@ class Vocabulary:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of these hashes those of pieces: their places, ids and log-weights."""
-        maybe = np.flatnonzero(self.whole[keys >> _U(40)])
+        maybe = np.flatnonzero(self.whole[keys >> _U(64 - _TABLE)])
         at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
         hit = self.keys[at] == keys[maybe]
         return maybe[hit], self.ids[at[hit]], self.weights[at[hit]]
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
-    """A table of the first 24 bits of hashes, to rule most others out."""
-    out = np.zeros(1 << 24, bool)
-    out[keys >> _U(40)] = True
+    """A table of the first bits of hashes, to rule most others out. It fits a processor's cache."""
+    out = np.zeros(1 << _TABLE, bool)
+    out[keys >> _U(64 - _TABLE)] = True
     return out
 
 
@@ -147,7 +147,7 @@ class Lattices:
     Unit ``w`` has positions ``start[w]`` to ``start[w + 1] - 1``, its end. The edges of a position stand in a row from
     ``first[position]`` on, ``many[position]`` of them. Edge ``e`` has the position ``at[e]``, the length ``size[e]``,
     the piece ``ids[e]`` (negative: a character in bytes) and the probability ``prob[e]`` that a path at its position
-    goes on with it. ``cumulative`` runs on over all edges, so one search draws for any number of positions.
+    goes on with it.
     """
 
     def __init__(self, units: list[str], vocabulary: Vocabulary):
@@ -170,7 +170,7 @@ class Lattices:
             pos.append(at[found]), size.append(np.full(len(found), k + 1)), ids.append(i), weight.append(w)
             if k == 0:
                 lone[at[found]] = False
-            on = np.flatnonzero(vocabulary.begun[h >> _U(40)] & (left[at] > k + 1))
+            on = np.flatnonzero(vocabulary.begun[h >> _U(64 - _TABLE)] & (left[at] > k + 1))
             at, h = at[on], h[on]
         # a character without a piece of its own goes as bytes
         at = np.flatnonzero(lone)
@@ -179,10 +179,11 @@ class Lattices:
         pos.append(at), size.append(np.ones(len(at), np.int64)), weight.append(BYTE_WEIGHT * width)
         ids.append(np.where(c <= 0x7F, vocabulary.byte[np.minimum(c, 0x7F).astype(np.int64)], -1).astype(np.int32))
         at, size, ids, weight = map(np.concatenate, (pos, size, ids, weight))
-        order = np.argsort(left[at] * n + at, kind="stable")  # a position's edges stay together, shorter first
-        self.at, self.size, self.ids, weight = at[order], size[order], ids[order], weight[order]
+        # a position's edges stay together, longer (and mostly likelier) ones first
+        order = np.argsort((left[at] * n + at) * 64 - size, kind="stable")
+        self.at, self.size, self.ids, weight = at[order].astype(np.int32), size[order].astype(np.int32), ids[order], weight[order]
         heads = np.flatnonzero(np.diff(self.at, prepend=-1))
-        self.first, self.many = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.first, self.many = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.first[self.at[heads]], self.many[self.at[heads]] = heads, np.diff(heads, append=len(self.at))
         back = np.zeros(n)
         self.prob = np.zeros(len(self.at))
@@ -199,14 +200,22 @@ class Lattices:
                 s = np.add.reduceat(e, rows - a)
                 back[self.at[rows]] = top + np.log(s)
                 self.prob[a:b] = e / np.repeat(s, many)
-        self.cumulative = np.cumsum(self.prob)
-        self.before = self.cumulative[self.first] - self.prob[self.first]
+        self.log = np.log(self.prob)
         self.total = back[self.start[:-1]]
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """For each position a drawn edge."""
-        first = self.first[at]
-        return np.clip(np.searchsorted(self.cumulative, self.before[at] + u, "right"), first, first + self.many[at] - 1)
+        """For each position a drawn edge: the first whose probability the rest of ``u`` is within."""
+        edge = self.first[at]
+        last = edge + self.many[at] - 1
+        u = u - self.prob[edge]
+        on = np.flatnonzero((u >= 0) & (edge < last))
+        left = u[on]
+        while len(on):
+            edge[on] += 1
+            left -= self.prob[edge[on]]
+            stay = (left >= 0) & (edge[on] < last[on])
+            on, left = on[stay], left[stay]
+        return edge
 
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -224,10 +233,10 @@ class Path(NamedTuple):
     unit: np.ndarray
 
 
-def free_paths(lattices: Lattices, unit: np.ndarray, place: np.ndarray, key: np.ndarray, sample: int, seed: int) -> Path:
-    """A free draw for every unit of several texts, in order. ``place`` is a unit's number in its text, ``key`` the text's."""
+def free_paths(lattices: Lattices, unit: np.ndarray, place: np.ndarray, key: np.ndarray) -> Path:
+    """A free draw for every unit of several texts, in order. ``place`` is a unit's number in its text, ``key`` a hash of the text's key and the sample."""
     rows = np.arange(len(unit))
-    base = hashed(seed, key, sample, place)
+    base = mix64(key + place.astype(np.uint64) * _GOLD)
     at, end = lattices.start[unit], lattices.start[unit + 1] - 1
     out_rows, out = [], []
     step = 0
@@ -239,9 +248,14 @@ def free_paths(lattices: Lattices, unit: np.ndarray, place: np.ndarray, key: np.
         on = np.flatnonzero(at < end)
         rows, at, end, base = rows[on], at[on], end[on], base[on]
         step += 1
-    r = np.concatenate(out_rows) if out_rows else rows
-    order = np.argsort(r, kind="stable")
-    return Path(np.concatenate(out)[order] if out else rows, r[order])
+    steps = np.zeros(len(unit) + 1, np.int64)
+    for r in out_rows:
+        steps[r + 1] += 1
+    start = np.cumsum(steps)
+    edges = np.zeros(int(start[-1]), np.int32)
+    for k, (r, edge) in enumerate(zip(out_rows, out, strict=True)):
+        edges[start[r] + k] = edge
+    return Path(edges, np.repeat(np.arange(len(unit)), steps[1:]))
 
 
 #: Regions whose mass is smaller by this factor's exponent than the largest can't be told from none in 64-bit numbers.
@@ -259,7 +273,7 @@ def search(lattices: Lattices, units: np.ndarray, free: list[Path], k: int, key:
         value, parent, step, excluded = queue.pop()
         number = len(done)
         path = free[number] if parent is None else _resumed(lattices, units, parent, step, excluded, free[number], key, number, seed)
-        logs = np.log(lattices.prob[path.edges])
+        logs = lattices.log[path.edges]
         done.append((path, float(logs.sum()), value))
         prefix = np.cumsum(logs)
         reach = min(len(logs), int(np.searchsorted(-prefix, DEEPEST)) + 1)
@@ -321,7 +335,7 @@ def sample_texts(texts: list[str | None], keys: list[int | None], vocabulary: Vo
     key = np.array([0 if x is None else x for x in keys], np.int64)
     first = np.concatenate(([0], np.cumsum(sizes)))
     place = np.arange(len(unit)) - np.repeat(first[:-1], sizes)
-    drawn = [free_paths(lattices, unit, place, np.repeat(key, sizes), j, seed) for j in range(k)]
+    drawn = [free_paths(lattices, unit, place, np.repeat(np.array([hashed(seed, x, j) for x in key.tolist()], np.uint64), sizes)) for j in range(k)]
     ends = [np.searchsorted(x.unit, first) for x in drawn]
     out: list[list[dict] | None] = []
     for i, t in enumerate(texts):
