@@ -93,10 +93,9 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(count.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[0, at]), pa.array(count[1, at])], ["h", "clean", "toxic"])
 
-    found = rows.mapInArrow(run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean"), F.sum("toxic")).collect()
+    found = rows.mapInArrow(run, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     count = np.zeros((2, (1 << BITS) + 1), np.int64)
-    for h, clean, toxic in found:
-        count[:, h] = clean, toxic
+    count[:, found["h"].to_numpy()] = found["clean"].to_numpy(), found["toxic"].to_numpy()
     return count[:, -1], count[0, :-1], count[1, :-1]
 
 
