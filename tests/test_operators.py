@@ -72,6 +72,24 @@ def test_levenshtein_pairs_equal_all_pairs(spark, words):
     assert found == {(a, b, distance(a, b)) for a in set(words) for b in set(words) if a < b and distance(a, b) <= 2}
 
 
+def test_overlap_pairs_in_groups_of_many_copies(spark):
+    # every word is in more than 14 sets: a cut by frequency finds no pair at all
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    sets = [frozenset(words)] * 20 + [frozenset(rng.sample(words, rng.randrange(1, 12))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, w) for i, x in enumerate(sets) for w in x], "id int, w string")
+    want = {(i, j, len(x & y), len(x), len(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 10 * len(x & y) >= 6 * min(len(x), len(y))}
+    assert {tuple(r) for r in matching.overlap_pairs(rows, "id", "w", (6, 10)).collect()} == want
+    assert len(want) > 190
+    assert matching.rare_word_pairs(rows, "id", "w", 14).count() == 0
+
+
+def test_nearest_by_overlap_counts_frequent_words(spark):
+    targets = spark.createDataFrame([(i, w) for i in range(20) for w in ("a", "b")] + [(20, "rare"), (7, "c")], "id int, w string")
+    queries = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "rare"), (2, "b")], "id int, w string")
+    assert sorted(map(tuple, matching.nearest_by_overlap(queries, targets).collect())) == [(1, 7, 3), (2, 0, 1)]
+
+
 def test_mastery_equals_a_fold(spark):
     rng = random.Random(3)
     rows = [(u, i, rng.random() < 0.6) for u in range(5) for i in range(rng.randrange(1, 12))]

@@ -34,11 +34,43 @@ def rare_word_pairs(sets: DataFrame, id_: str, word: str, most_docs: int) -> Dat
     return both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("common"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b"))
 
 
-def nearest_by_overlap(queries: DataFrame, targets: DataFrame, most_docs: int) -> DataFrame:
-    """(id, best, common): for each query (id, w) the target (id, w) that shares the most rare words; ties: least id."""
+def overlap_pairs(sets: DataFrame, id_: str, word: str, share: tuple[int, int]) -> DataFrame:
+    """(a, b, common, size_a, size_b), a < b, of all sets that share at least ``share`` (a fraction) of the smaller one's words.
+
+    Equal sets stand as one class until the end. Words are ordered rarest first. Of a pair's first shared word, the smaller
+    set holds at most what it may lack before it, and both hold at least the words to share from it on: the equi-join is on
+    those positions, so a frequent word is a key only for sets without enough rarer ones. Nothing is dropped.
+    """
+    num, den = share
+    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).distinct()
+    ranked = s.join(s.groupBy("w").agg(F.count("*").alias("df")), "w")
+    full = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("x")).select("id", F.col("x.w").alias("ws"))
+    full = full.withColumn("class", F.sha2(F.to_json("ws"), 256))
+    classes = full.groupBy("class").agg(F.any_value("ws").alias("ws")).withColumn("n", F.size("ws"))
+    words = classes.select("class", "n", F.posexplode("ws").alias("at", "w")).withColumn("rest", F.col("n") - F.col("at")).drop("at")
+    need = F.ceil(F.col("n") * num / den)
+    small = words.filter(F.col("rest") >= need).select("w", F.col("class").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), need.alias("need"))
+    large = words.select("w", F.col("class").alias("y"), F.col("n").alias("n_y"), F.col("rest").alias("rest_y"))
+    pairs = small.join(large, "w").filter("(n_x < n_y OR n_x = n_y AND x < y) AND rest_y >= need").select("x", "y").distinct()
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("ws").alias(f"w_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    both = both.select("x", "y", F.size(F.array_intersect("w_x", "w_y")).alias("common"), F.size("w_x").alias("n_x"), F.size("w_y").alias("n_y")).filter(den * F.col("common") >= num * F.col("n_x"))
+    same = classes.select(F.col("class").alias("x"), F.col("class").alias("y"), F.col("n").alias("common"), F.col("n").alias("n_x"), F.col("n").alias("n_y"))
+    member = lambda c: full.select(F.col("class").alias(c), F.col("id").alias(f"id_{c}"))
+    out = both.unionByName(same).join(member("x"), "x").join(member("y"), "y").filter("x <> y OR id_x < id_y")
+    first = F.col("id_x") < F.col("id_y")
+    return out.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "common", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("size_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("size_b"))
+
+
+def nearest_by_overlap(queries: DataFrame, targets: DataFrame, most_docs: int | None = None) -> DataFrame:
+    """(id, best, common): for each query (id, w) the target (id, w) that shares the most words; ties: least id.
+
+    With ``most_docs``, only words of at most so many targets count, and the best by those need not be the best by all.
+    """
     t = targets.select(F.col("id").alias("t"), "w").distinct()
-    df = t.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") <= most_docs).select("w")
-    hits = queries.select("id", "w").distinct().join(t.join(df, "w"), "w").groupBy("id", "t").agg(F.count("*").alias("common"))
+    if most_docs is not None:
+        t = t.join(t.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") <= most_docs).select("w"), "w")
+    hits = queries.select("id", "w").distinct().join(t, "w").groupBy("id", "t").agg(F.count("*").alias("common"))
     return hits.groupBy("id").agg(F.max(F.struct("common", (-F.col("t")).alias("neg"))).alias("m")).select("id", (-F.col("m.neg")).alias("best"), F.col("m.common").alias("common"))
 
 

@@ -178,6 +178,22 @@ def nearest_by_overlap(s, d):
     return matching.nearest_by_overlap(_words(s, d, "benchmark", "item_id"), _words(s, d), 14)
 
 
+_SETS = f"""WITH s AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS w FROM documents))"""
+
+
+@query(_SETS + """, n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b USING (w) WHERE a.id < b.id GROUP BY 1, 2)
+SELECT a, b, common, x.n AS size_a, y.n AS size_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * common >= 6 * least(x.n, y.n)""")
+def overlap_near_dups_all_words(s, d):
+    return matching.overlap_pairs(_words(s, d), "id", "w", (6, 10))
+
+
+@query(_SETS + f""", q AS (SELECT DISTINCT item_id, unnest({WORDS_SQL.format('text')}) AS w FROM benchmark),
+h AS (SELECT item_id AS id, s.id AS t, count(*) AS common FROM q JOIN s USING (w) GROUP BY 1, 2)
+SELECT id, t AS best, common FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, t) = 1""")
+def nearest_by_overlap_all_words(s, d):
+    return matching.nearest_by_overlap(_words(s, d, "benchmark", "item_id"), _words(s, d))
+
+
 @query("SELECT item_id AS passage_id, doc_id AS text_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def contains_join(s, d):
     return matching.contained(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
