@@ -341,6 +341,32 @@ def test_boosted_trees_separate():
     assert pii_boost.boosted([((1,) * 7, 0, 3.0)], []).threshold is None
 
 
+def test_context_and_format_decide_cards(spark):
+    # runs of digits behind a letter are order numbers, of which a tenth passes Luhn by chance; grouped ones are cards
+    def full(stem):
+        return next(stem + str(x) for x in range(10) if brute_spans(stem + str(x))["card"])
+
+    rng = random.Random(18)
+    stems = ["4" + "".join(rng.choices("0123456789", k=14)) for _ in range(400)]
+    texts = [f"card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} end" for c in map(full, stems[:200])] + [f"order Q{s}{rng.randrange(10)} end" for s in stems[200:]]
+    a, b = full("411122223333444"), full("411155556666777")
+    texts += [f"see {a[:4]}/{a[4:8]}/{a[8:12]}/{a[12:]} now", f"ref Q{b[:4]}/{b[4:8]}/{b[8:12]}/{b[12:]} now"]
+    models = pii_boost.fit(pii_boost.proposals(docs(spark, texts)))
+    at = pii_boost.FEATURES.index
+    seen = {f for t in models["card"].trees for f, cut in t[:3] if cut != 99}
+    assert seen and at("checked") not in seen
+    row = lambda before, groups: tuple({"digits": 16, "checked": 1, "marks": 3 * groups, "before": before, "after": 0, "length": 4, "groups": 1 + 3 * groups}[f] for f in pii_boost.FEATURES)
+    card = models["card"]
+    assert card.score(row(0, 1)) >= card.threshold > card.score(row(2, 0))
+
+
+def test_threshold_is_marginal():
+    # 100 passed at the top hide that only 1 in 10 passes below: together 101 of 110 is more than PRECISION
+    assert pii_boost.calibrated([(0.9, 1, 100.0), (0.3, 1, 1.0), (0.3, 0, 9.0)]) == 0.9
+    assert pii_boost.calibrated([(0.9, 0, 1.0), (0.8, 1, 99.0), (0.1, 0, 5.0)]) == 0.8
+    assert pii_boost.calibrated([(0.9, 0, 3.0)]) is None
+
+
 # ---- 8
 
 

@@ -4,11 +4,14 @@
 2. *Generators* propose further spans, with high recall, from the text outside base spans: written-out or bracketed
    e-mail addresses and IP numbers, card numbers inside longer digit groups or with other separators, phone numbers
    without a plus sign or inside longer ones.
-3. *Boosted trees* of depth two score proposals from small-integer format and context features. Their labels are the
-   checks themselves: every match of a base pattern, passed or failed, over all documents. As features are small integers,
-   one aggregation counts each (features, label), and the trees are fitted on that bounded table of counts.
-4. *Thresholds* are calibrated for each kind on a fifth of the documents that the trees did not see: the lowest score
-   from which on at least ``PRECISION`` of the matches had passed. Proposals from there on become spans.
+3. *Boosted trees* of depth two score proposals from small-integer format and context features. Their labels are checks
+   of the base patterns' matches over all documents; a kind's trees see no feature that its label is computed from
+   (``USED``). As features are small integers, one aggregation counts each (features, label), and the trees are fitted on
+   that bounded table of counts.
+4. *Thresholds* are calibrated for each kind on a fifth of the documents that the trees did not see. Shares of passed
+   matches by score are made monotone by pooling neighbours; the threshold is the lowest score whose own pool has at least
+   ``PRECISION``. Proposals from there on that pass the check as well become spans. Where no match of a kind failed there
+   is nothing to learn from, and the check alone decides.
 
 Scores are SQL expressions (sums of CASE), so text never leaves the JVM, and nothing is shuffled but counts.
 
@@ -58,6 +61,15 @@ _MARK, _PLAIN, _HOLE = "\x01", "\x02", "\x03"
 #: Trees, learning rate, share of calibration matches that must have passed; folds, of which one calibrates.
 ROUNDS, RATE, PRECISION, FOLDS = 20, 0.4, 0.9, 5
 
+#: Features that a kind's trees may use: the label isn't computed from them. Whether a phone number passes is its digit
+#: count, which its length all but tells. A card's label is the Luhn digit, among matches of a card's digit count.
+USED = {
+    "email": ("digits", "marks", "before", "after", "length", "groups"),
+    "ip": ("marks", "before", "after", "groups"),
+    "card": ("digits", "marks", "before", "after", "length", "groups"),
+    "phone": ("marks", "before", "after", "groups"),
+}
+
 FEATURES = ("digits", "checked", "marks", "before", "after", "length", "groups")
 
 
@@ -86,6 +98,13 @@ def _checked(kind: str, s: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def _label(kind: str, s: Column) -> Column:
+    """What the trees learn: the check, for e-mail (whose check is the pattern) whether the last label can be a top one."""
+    if kind == "email":
+        return s.rlike("[^A-Za-z0-9-](?:[A-Za-z]{2,}|[Xx][Nn]--[A-Za-z0-9-]+)$")
+    return _checked(kind, s)
+
+
 def _side(c: Column) -> Column:
     """A neighbouring character's class: 0 none or white space, 1 punctuation, 2 letter, 3 digit."""
     return F.when(c.rlike("^[0-9]$"), 3).when(c.rlike("^\\p{L}$"), 2).when(c.rlike("^[^\\s\\x01-\\x03]$"), 1).otherwise(0)
@@ -105,6 +124,7 @@ def _matches(pieces: Column, kind: str) -> Column:
             (x["start"] + F.length(s)).alias("end"),
             F.least(n, F.lit(24)).alias("digits"),
             F.coalesce(_checked(kind, s), F.lit(False)).cast("int").alias("checked"),
+            F.coalesce(_label(kind, s), F.lit(False)).cast("int").alias("label"),
             F.least(F.length(F.regexp_replace(s, "[A-Za-z0-9]", "")), F.lit(9)).alias("marks"),
             _side(F.right(x["last"], F.lit(1))).alias("before"),
             _side(F.left(x["next"], F.lit(1))).alias("after"),
@@ -112,7 +132,7 @@ def _matches(pieces: Column, kind: str) -> Column:
             F.least(F.size(F.split(s, "[^A-Za-z0-9]+")), F.lit(9)).alias("groups"),
         )
 
-    return F.when(F.size(pieces) > 1, F.transform(odd, features)).otherwise(F.array().cast("array<struct<start:int,end:int,digits:int,checked:int,marks:int,before:int,after:int,length:int,groups:int>>"))
+    return F.when(F.size(pieces) > 1, F.transform(odd, features)).otherwise(F.array().cast("array<struct<start:int,end:int,digits:int,checked:int,label:int,marks:int,before:int,after:int,length:int,groups:int>>"))
 
 
 def _masked(kind: str):
@@ -125,7 +145,7 @@ def _span(number: int):
 
 
 def _selected(model: "Model"):
-    return lambda x: model.sql(x) >= model.threshold
+    return lambda x: (x["checked"] == 1) & (x["label"] == 1) & (model.sql(x) >= model.threshold)
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -180,12 +200,12 @@ class Model(NamedTuple):
         return 1 / (1 + F.exp(-z))
 
 
-def _best(rows: list, grad: list[float], hess: list[float], among: list[int]) -> tuple[float, tuple[int, int], float, float]:
+def _best(rows: list, grad: list[float], hess: list[float], among: list[int], used: list[int]) -> tuple[float, tuple[int, int], float, float]:
     """The split of the largest gain: (gain, (feature, cut), left value, right value)."""
     g_all, h_all = sum(grad[i] for i in among), sum(hess[i] for i in among)
     value = lambda g, h: g / (h + 1.0)
     best = (0.0, (0, 99), value(g_all, h_all), value(g_all, h_all))
-    for f in range(len(FEATURES)):
+    for f in used:
         sums: dict[int, list[float]] = {}
         for i in among:
             s = sums.setdefault(rows[i][0][f], [0.0, 0.0])
@@ -200,8 +220,28 @@ def _best(rows: list, grad: list[float], hess: list[float], among: list[int]) ->
     return best
 
 
-def boosted(rows: list[tuple[tuple[int, ...], int, float]], held: list[tuple[tuple[int, ...], int, float]]) -> Model:
-    """Newton boosting on counted rows (features, label, count); the threshold comes from ``held``."""
+def calibrated(scored: list[tuple[float, int, float]]) -> float | None:
+    """The lowest score whose pool of neighbouring scores (score, label, count) has at least ``PRECISION``; None: there is none."""
+    pools: list[list[float]] = []  # lowest score, passed, all; shares fall from pool to pool
+    last = None
+    for s, y, k in sorted(scored, reverse=True):
+        if s == last:
+            pools[-1][1:] = pools[-1][1] + y * k, pools[-1][2] + k
+        else:
+            while len(pools) > 1 and pools[-1][1] * pools[-2][2] >= pools[-2][1] * pools[-1][2]:
+                low, good, all_ = pools.pop()
+                pools[-1] = [low, pools[-1][1] + good, pools[-1][2] + all_]
+            pools.append([s, y * k, k])
+        last = s
+    while len(pools) > 1 and pools[-1][1] * pools[-2][2] >= pools[-2][1] * pools[-1][2]:
+        low, good, all_ = pools.pop()
+        pools[-1] = [low, pools[-1][1] + good, pools[-1][2] + all_]
+    return min((low for low, good, all_ in pools if good >= PRECISION * all_), default=None)
+
+
+def boosted(rows: list[tuple[tuple[int, ...], int, float]], held: list[tuple[tuple[int, ...], int, float]], used: tuple[str, ...] = FEATURES) -> Model:
+    """Newton boosting on counted rows (features, label, count) by the features ``used``; the threshold comes from ``held``."""
+    among = [FEATURES.index(x) for x in used]
     n, ones = sum(r[2] for r in rows), sum(r[1] * r[2] for r in rows)
     if not ones:
         return Model(0.0, (), None)
@@ -210,19 +250,13 @@ def boosted(rows: list[tuple[tuple[int, ...], int, float]], held: list[tuple[tup
     for _ in range(ROUNDS):
         p = [1 / (1 + math.exp(-x)) for x in z]
         grad, hess = [(r[1] - q) * r[2] for r, q in zip(rows, p, strict=True)], [q * (1 - q) * r[2] for r, q in zip(rows, p, strict=True)]
-        _, root, *_ = _best(rows, grad, hess, list(range(len(rows))))
+        _, root, *_ = _best(rows, grad, hess, list(range(len(rows))), among)
         sides = [[i for i, r in enumerate(rows) if (r[0][root[0]] <= root[1]) == left] for left in (True, False)]
-        (_, ls, a, b), (_, rs, c, d) = (_best(rows, grad, hess, s) for s in sides)
+        (_, ls, a, b), (_, rs, c, d) = (_best(rows, grad, hess, s, among) for s in sides)
         trees.append(Split(root, ls, rs, tuple(max(-4.0, min(4.0, x)) * RATE for x in (a, b, c, d))))
         z = [x + trees[-1].value(r[0]) for x, r in zip(z, rows, strict=True)]
     model = Model(base, tuple(trees), None)
-    scored = sorted(((model.score(x), y, k) for x, y, k in held or rows), reverse=True)
-    threshold, good, all_ = None, 0.0, 0.0
-    for i, (s, y, k) in enumerate(scored):
-        good, all_ = good + y * k, all_ + k
-        if (i + 1 == len(scored) or scored[i + 1][0] < s) and good >= PRECISION * all_:
-            threshold = s
-    return model._replace(threshold=threshold)
+    return model._replace(threshold=calibrated([(model.score(x), y, k) for x, y, k in held or rows]))
 
 
 def fit(found: DataFrame) -> dict[str, Model]:
@@ -231,12 +265,14 @@ def fit(found: DataFrame) -> dict[str, Model]:
     parts = None
     for k in KINDS:
         part = found.select(fold, F.lit(k).alias("kind"), F.explode(f"base_{k}").alias("m")).select("fold", "kind", "m.*")
+        if k == "card":
+            part = part.filter(F.col("digits").between(12, 19))
         parts = part if parts is None else parts.unionByName(part)
-    counted = parts.groupBy("kind", "fold", *FEATURES).agg(F.count("*").alias("n")).collect()
+    counted = parts.groupBy("kind", "fold", "label", *FEATURES).agg(F.count("*").alias("n")).collect()
     out = {}
     for k in KINDS:
-        rows = {f: [(tuple(r[c] for c in FEATURES), r["checked"], float(r["n"])) for r in counted if r["kind"] == k and r["fold"] == f] for f in (0, 1)}
-        out[k] = boosted(rows[0], rows[1])
+        rows = {f: [(tuple(r[c] for c in FEATURES), r["label"], float(r["n"])) for r in counted if r["kind"] == k and r["fold"] == f] for f in (0, 1)}
+        out[k] = boosted(rows[0], rows[1], USED[k])
     return out
 
 
