@@ -427,6 +427,20 @@ def test_quality_cutoffs_adapt(spark):
     assert quality_sketch.keep_good(df).columns == df.columns
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6])
+def test_a_source_full_of_junk_keeps_its_good_documents_only(spark, share):
+    rng = random.Random(12)
+    junk = (
+        lambda k: prose(rng, 80).replace(" ", " " + "#%|" * (1 + k % 5) + " "),
+        lambda k: "\n".join([*(f"{prose(rng, 8)} {k}" for _ in range(9)), *[prose(random.Random(k), 8)] * (8 + k % 9)]),
+        lambda k: " ".join(x * 3 for x in prose(rng, 80).split()),
+    )
+    rows = [(1000 * j + i, f(i) if i < 200 * share else prose(rng, 80), "en", f"s{j}", 0) for j, f in enumerate(junk) for i in range(200)]
+    rows += [(10_000 + i, prose(rng, 80), "en", f"plain{i % 3}", 0) for i in range(600)]
+    out = {r["doc_id"]: r["kept"] for r in quality_sketch.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, kept in out.items() if not kept} == {r[0] for r in rows if r[0] < 10_000 and r[0] % 1000 < 200 * share}
+
+
 # ---- 10
 
 

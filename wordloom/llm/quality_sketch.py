@@ -2,7 +2,10 @@
 
 Per document, text statistics are computed once. Per (language, source) they go into mergeable KLL quantile sketches
 (built map-side, merged after the shuffle, so a source that holds a third of all rows costs its tasks one sketch each).
-Cutoffs are read off the sketches as robust fences, and a join brings each document its group's cutoffs.
+Cutoffs are read off the sketches as robust fences, and a join brings each document its group's cutoffs. Junk raises the
+ratios of symbols, repeated lines and repeated words, so their fences stand on the lowest 30 % of a group and hold with up
+to 60 % of junk in it. Word lengths go wrong both ways, so their fences stand on the median of the whole language, whose other
+sources tell what its words are like; a source that lies beyond those in nine of ten texts is of its own kind and has its own.
 
 Defined results: a null or empty text has no words and fails; null languages and sources form groups of their own;
 repeated rows are judged one by one; an empty table gives an empty result; input columns named as result columns are
@@ -30,23 +33,24 @@ SKETCH_K = 400
 #: Groups whose cutoffs are broadcast at most (about 100 bytes each); more are joined by shuffle.
 MOST_BROADCAST_GROUPS = 20_000
 
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
-#: Each adaptive rule: name, the metric, quantile at the body's edge, widest and least reach beyond it, side.
-#: A value is rejected beyond edge + max(floor, reach * (edge - median)); the floor stands for groups without spread.
+#: Each adaptive rule: name, metric, quantile at the body's edge, a lower one, reach, floor, whether the language decides.
+#: A value is rejected beyond edge + max(floor, reach * (edge - lower)); the floor stands for groups without spread.
+#: For normal values the reach of 8 puts the limit 5.4 to 5.6 standard deviations above the mean.
 RULES = (
-    ("symbol_ratio", lambda: F.col("n_symbols") / F.col("n_words"), 0.75, 8.0, 0.15),
-    ("dup_line_ratio", lambda: F.col("n_dup_lines") / F.col("n_words"), 0.75, 8.0, 0.1),
-    ("repeat_ratio", lambda: F.col("n_repeat_words") / F.col("n_words"), 0.75, 8.0, 0.4),
-    ("long_words", lambda: F.col("word_chars") / F.col("n_words"), 0.75, 8.0, 2.0),
-    ("short_words", lambda: -(F.col("word_chars") / F.col("n_words")), 0.75, 8.0, 1.5),
+    ("symbol_ratio", lambda: F.col("n_symbols") / F.col("n_words"), 0.3, 0.1, 8.0, 0.1, False),
+    ("dup_line_ratio", lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.3, 0.1, 8.0, 0.35, False),
+    ("repeat_ratio", lambda: F.col("n_repeat_words") / F.col("n_words"), 0.3, 0.1, 8.0, 0.3, False),
+    ("long_words", lambda: F.col("word_chars") / F.col("n_words"), 0.5, 0.25, 8.0, 2.0, True),
+    ("short_words", lambda: -(F.col("word_chars") / F.col("n_words")), 0.5, 0.25, 8.0, 1.5, True),
 )
 
 
-def text_features(text: bytes | None) -> tuple[int, int, int, int, int]:
-    """(words, code points in words, symbols, repeated lines, words in repeated 3-word windows) of one text."""
+def text_features(text: bytes | None) -> tuple[int, int, int, int, int, int]:
+    """(words, code points in words, symbols, repeated lines, words in repeated 3-word windows, lines that aren't blank)."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.split()
     chars = len(text.translate(None, SPACES).decode("utf-8", "replace"))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
@@ -57,7 +61,7 @@ def text_features(text: bytes | None) -> tuple[int, int, int, int, int]:
             dup += 1
         elif line.strip(SPACES):
             seen.add(line)
-    return len(words), chars, symbols, dup, repeat_words(words)
+    return len(words), chars, symbols, dup, repeat_words(words), len(seen) + dup
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -86,12 +90,12 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """``docs`` and the five statistics of each text."""
+    """``docs`` and the six statistics of each text."""
     names = [x.split()[0] for x in FEATURES.split(", ")]
     docs = docs.drop(*names)
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = np.array([text_features(x) for x in as_bytes(batch.column("text"))], np.int64).reshape(-1, 5)
+        rows = np.array([text_features(x) for x in as_bytes(batch.column("text"))], np.int64).reshape(-1, 6)
         return {c: batch.column(c) for c in batch.schema.names} | dict(zip(names, rows.T, strict=True))
 
     return arrow_map(docs, "text", run, f"{docs._jdf.schema().toDDL()}, {FEATURES}")
@@ -104,11 +108,23 @@ def base_failed() -> Column:
 def cutoffs(features: DataFrame) -> DataFrame:
     """Per (lang, source): the largest passing value of each rule, from quantile sketches of all texts with words."""
     sketched = features.filter("n_words > 0").groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(metric(), F.lit(SKETCH_K)).alias(name) for name, metric, *_ in RULES])
-    edges = []
-    for name, _, q, reach, floor in RULES:
-        edge, middle = (F.kll_sketch_get_quantile_double(name, F.lit(x)) for x in (q, 0.5))
-        edges.append((edge + F.greatest(F.lit(floor), reach * (edge - middle))).alias(f"_most_{name}"))
-    return sketched.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *edges)
+    pooled = [x[0] for x in RULES if x[-1]]
+
+    def fences(names: list[str], prefix: str) -> list[Column]:
+        out = []
+        for name, _, q, low, reach, floor, _ in RULES:
+            if name in names:
+                edge, lower = (F.kll_sketch_get_quantile_double(name, F.lit(x)) for x in (q, low))
+                out.append((edge + F.greatest(F.lit(floor), reach * (edge - lower))).alias(f"{prefix}{name}"))
+        return out
+
+    # the sketches of a language's sources merge into the language's
+    languages = sketched.groupBy("lang").agg(*[F.kll_merge_agg_double(x).alias(x) for x in pooled])
+    languages = languages.select(F.col("lang").alias("_of"), *fences(pooled, "_all_"))
+    limits = sketched.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *fences([x[0] for x in RULES], "_most_"), *[F.kll_sketch_get_quantile_double(x, F.lit(0.1)).alias(f"_low_{x}") for x in pooled])
+    limits = limits.join(languages, F.col("_lang").eqNullSafe(F.col("_of")))
+    own = {f"_most_{x}": F.when(F.col(f"_low_{x}") > F.col(f"_all_{x}"), F.col(f"_most_{x}")).otherwise(F.col(f"_all_{x}")) for x in pooled}
+    return limits.withColumns(own).drop("_of", *[f"_all_{x}" for x in pooled], *[f"_low_{x}" for x in pooled])
 
 
 def judged(features: DataFrame, limits: DataFrame) -> DataFrame:
@@ -119,7 +135,7 @@ def judged(features: DataFrame, limits: DataFrame) -> DataFrame:
     rows = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     broken = F.coalesce(*[F.when((F.col("n_words") > 0) & (metric() > F.col(f"_most_{name}")), F.lit(name)) for name, metric, *_ in RULES])
     rows = rows.withColumns({"base_failed": base_failed(), "broken_rule": broken})
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("broken_rule").isNull()).drop("_lang", "_source", *[f"_most_{x[0]}" for x in RULES])
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("broken_rule").isNull()).drop("n_lines", "_lang", "_source", *[f"_most_{x[0]}" for x in RULES])
 
 
 def quality(docs: DataFrame) -> DataFrame:
