@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as T
 from wordloom.operators import dedup, matching, sampling, scoring, state
 from wordloom.plans.ordinals import with_ordinal, with_running_sum
+from wordloom.queries import QUERIES
 from wordloom.sources import files
 from wordloom.streaming import events as streams
 
@@ -72,6 +73,25 @@ def test_levenshtein_pairs_equal_all_pairs(spark, words):
     assert found == {(a, b, distance(a, b)) for a in set(words) for b in set(words) if a < b and distance(a, b) <= 2}
 
 
+def test_similarity_join_covers_the_words_of_documents(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("ab1", k=rng.randrange(1, 8))) for _ in range(6)) for _ in range(12)] + ["Unlikely unlikly", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = {w for x in texts if x for w in x.lower().split()}
+    want = {(a, b, k) for a in words for b in words if a < b and (k := distance(a, b)) <= 2}
+    found = {tuple(r) for r in QUERIES["similarity_join_lev_documents"](spark, str(tmp_path)).collect()}
+    assert found == want and ("unlikely", "unlikly", 1) in found
+
+
 def test_overlap_pairs_in_groups_of_many_copies(spark):
     # every word is in more than 14 sets: a cut by frequency finds no pair at all
     rng = random.Random(4)

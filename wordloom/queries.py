@@ -136,6 +136,12 @@ def similarity_join_lev(s, d):
     return matching.levenshtein_pairs(all_.select(F.lower("w").alias("w")), "w", 2)
 
 
+@query()
+def similarity_join_lev_documents(s, d):
+    """Over all distinct words of documents. No SQL: all pairs of them would be too many; a test holds it against brute force."""
+    return matching.levenshtein_pairs(_words(s, d), "w", 2)
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part), x AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM n)
 SELECT a.p_name AS a, b.p_name AS b, count(*) AS shared FROM x a JOIN x b USING (w) WHERE a.p_name < b.p_name GROUP BY 1, 2""")
 def shared_sense_pairs(s, d):
