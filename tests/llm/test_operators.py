@@ -378,6 +378,20 @@ def test_html_blocks():
     assert html_template.main_blocks("<p>x<p>y<div class=sidebar>z", frozenset()) == ["x", "y"]
 
 
+@pytest.mark.parametrize("wrapper", ['div class="content-sidebar-wrap"', 'div class="no-sidebar"', 'div id="sidebar widget"', "form action=x", 'div class="layout comments-open"'])
+@pytest.mark.parametrize("inner", ['main', 'article class="post comments-open"', "div"])
+def test_wrappers_are_not_page_furniture(wrapper, inner):
+    page = f"<body><nav>Menu</nav><{wrapper}><{inner}><p>Body text</p><div class='ad'>Buy</div></{inner.split()[0]}></{wrapper.split()[0]}><footer>End</footer></body>"
+    blocks = html_template.main_blocks(page, frozenset())
+    assert blocks[0] == "Body text" and not {"Menu", "End"} & set(blocks)
+
+
+def test_articles_among_comments_stay_out():
+    page = "<article><p>Body</p></article><div class=comments><article><p>Nice!</p></article></div><aside><article>Also</article></aside>"
+    assert html_template.main_blocks(page, frozenset()) == ["Body"]
+    assert html_template.main_blocks("<aside><article>Also</article></aside><p>Body</p>", frozenset()) == ["Body"]
+
+
 def test_html_template_is_deduced(spark):
     rng = random.Random(9)
     page = lambda i: f"<html><body><div><p>Welcome to our site</p><p>Read us daily</p><p>{prose(rng, 9)} {i}</p><p>All rights are ours</p></div></body></html>"

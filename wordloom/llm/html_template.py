@@ -9,7 +9,8 @@ own data.
 
 Of the slots those are the main text that lie in an article or main element, or, where a page has none, outside elements
 whose tag or class names a menu, header, footer, sidebar, notice, advert, form or comment list; such elements inside an
-article are left out as well.
+article are left out as well. Names are whole class, id or role values. What only a name or a form around it puts out comes
+back inside an article or main element, and where nothing else is left of a page the template alone decides on it.
 
 Copies of one page on a host would look like a template, so pages of a host with the same blocks count once. Occurrence
 vectors are compared by sums of (count x hash of page), which merge map-side; a host that holds a third of all pages is
@@ -43,6 +44,11 @@ _OUT = frozenset("head nav aside footer form script style noscript template ifra
 _PAGE_PARTS = frozenset("header".split())
 #: Words of class, id and role values that name what isn't main text.
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar comment comments commentlist respond disqus cookie cookies notice notices consent gdpr alert newsletter subscribe subscription menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended widget popup modal overlay pagination pager toolbar login signup search skip".split())
+#: Comments, related pages: their items are often article elements, which don't bring them back.
+_NEVER = frozenset("comment comments commentlist comment-list comments-area comment-body respond disqus related recommended".split())
+_NAMES |= _NEVER | frozenset("ad-banner cookie-banner cookie-notice cookie-consent site-header site-footer page-footer main-menu main-nav nav-menu site-nav social-share share-buttons related-posts".split())
+#: Whether a block is out: not, by a name or a form, by its element's kind.
+_IN, _NAMED, _KIND = 0, 1, 2
 _MAIN = frozenset(("article", "main"))
 #: A start tag that ends an open paragraph, or an open element of its own kind.
 _ENDS_P = _BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup"}
@@ -56,14 +62,14 @@ _WORD = re.compile(r"[a-zA-Z]+")
 class Element:
     __slots__ = ("tag", "path", "main", "out")
 
-    def __init__(self, tag: str, path: str, main: bool, out: bool):
+    def __init__(self, tag: str, path: str, main: bool, out: int):
         self.tag, self.path, self.main, self.out = tag, path, main, out
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
-    """Text blocks (path, text, in an article or main element, in something else than main text) and element paths."""
-    stack = [Element("", "", False, False)]
-    blocks: list[tuple[str, str, bool, bool]] = []
+def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, int]], list[str]]:
+    """Text blocks (path, text, in an article or main element, how it is out of the main text) and element paths."""
+    stack = [Element("", "", False, _IN)]
+    blocks: list[tuple[str, str, bool, int]] = []
     paths: list[str] = []
     text: list[str] = []
 
@@ -112,14 +118,23 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                 close(k)
         top = stack[-1]
         names: list[str] = []
+        whole: set[str] = set()
         role_main = False
         for label in _LABEL.finditer(rest):
             value = (label[2] or label[3] or label[4] or "").lower()
             role_main |= label[1].lower() == "role" and value == "main"
             names += _WORD.findall(value)
+            whole.update(value.split())
         own = tag if not names else f"{tag}.{'.'.join(names)}"
         main = top.main or tag in _MAIN or role_main
-        out = top.out or tag in _OUT or (tag in _PAGE_PARTS and not top.main) or (tag not in ("html", "body", "main") and not role_main and not _NAMES.isdisjoint(names))
+        opens = (tag in _MAIN or role_main) and not top.main
+        out = _IN if opens and top.out == _NAMED else top.out
+        if (tag in _OUT and tag != "form") or (tag in _PAGE_PARTS and not top.main):
+            out = _KIND
+        elif tag not in ("html", "body", "main") and not role_main and not _NAMES.isdisjoint(whole):
+            out = max(out, _NAMED if _NEVER.isdisjoint(whole) else _KIND)
+        elif tag == "form":
+            out = max(out, _NAMED)
         e = Element(tag, f"{top.path}/{own}" if len(stack) < 60 else top.path, main, out)
         if tag in _BLOCK:
             paths.append(e.path)
@@ -179,8 +194,11 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_blocks(page: str | None, template: frozenset[int]) -> list[str]:
     """The blocks of a page's own main text."""
     blocks, _ = blocks_of(page or "")
-    inside = any(main for _, _, main, _ in blocks)
-    return [t for p, t, main, out in blocks if not out and main >= inside and _token(p, t) not in template]
+    for level in (_IN, _NAMED):
+        inside = any(main and out <= level for _, _, main, out in blocks)
+        if found := [t for p, t, main, out in blocks if out <= level and main >= inside and _token(p, t) not in template]:
+            return found
+    return []
 
 
 def extracted(pages: DataFrame) -> DataFrame:
