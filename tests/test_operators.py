@@ -122,6 +122,26 @@ def test_mastery_equals_a_fold(spark):
         assert out[u] == level
 
 
+def test_mastery_of_a_hot_key_is_never_gathered_in_one_row(spark):
+    rng = random.Random(5)
+    rows = [("hot", i, rng.choice([True, False, False, None])) for i in range(3000)] + [(None, 1, True), ("cold", 2, False)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "u string, i int, ok boolean").repartition(4)
+    out = state.mastery(df, ["u"], F.col("ok"), "i")
+    level, seen, wrong = -1, 0, 0
+    for _, _, ok in sorted((r for r in rows if r[0] == "hot"), key=lambda r: r[1]):
+        level, seen, wrong = streams.next_level(level, ok), seen + 1, wrong + (ok is False)
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        assert {tuple(r) for r in out.collect()} == {("hot", seen, wrong, level), (None, 1, 0, 3), ("cold", 1, 1, 0)}
+        placed = df.repartitionByRange("u", "i").filter("u = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    assert "collect_list(struct(part" in out._jdf.queryExecution().analyzed().toString()
+    assert placed > 1
+
+
 def test_votes(spark):
     v = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (2, 1)], "i int, x int")
     assert sorted(map(tuple, scoring.plurality(v, "i", "x").collect())) == [(1, 1, 2), (2, None, 1)]

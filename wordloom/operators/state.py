@@ -2,19 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+def _runs(schema: StructType, keys: list[str]):
+    """For ``mapInArrow`` over rows sorted by key: (keys, part, first, shift, low, high, seen, wrong) of each run of a key."""
+    types = [f.type for f in to_arrow_schema(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, names = TaskContext.get().partitionId(), schema.names
+        done: list[tuple] = []
+        key, state = None, None
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) if done else [()] * len(types)
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            for *k, ok in zip(*[batch.column(c).to_pylist() for c in [*keys, "ok"]], strict=True):
+                if state is None or k != key:
+                    if state is not None:
+                        done.append((*key, part, *state))
+                    key, state = k, [int(ok == 1), 0, 0, 3, 1, int(ok == 0)]
+                    continue
+                step = 1 if ok == 1 else -1
+                state[1] += step
+                state[2] = min(max(state[2] + step, 0), 3)
+                state[3] = min(max(state[3] + step, 0), 3)
+                state[4] += 1
+                state[5] += ok == 0
+            yield made()
+        if state is not None:
+            done.append((*key, part, *state))
+            yield made()
+
+    return run
 
 
 def mastery(events: DataFrame, keys: list[str], ok: Column, *order: str) -> DataFrame:
     """Level (0 to 3), seen and wrong of each key after all its events.
 
     The first answer sets 3 or 0; later ones move the level by one within 0 and 3. A step is a clamped shift, and so is a
-    run of steps: x -> min(max(x + shift, low), high). Each key's events are folded in order as a JVM expression.
+    run of steps: x -> min(max(x + shift, low), high). Events are range-partitioned by key and order, so a hot key's lie in
+    many tasks; each task reduces each run of a key to one row, and those few rows are composed in order.
     """
-    e = events.select(*keys, F.struct(*order, ok.cast("int").alias("ok")).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    fold = F.aggregate("es", F.lit(-1), lambda s, x: F.when(s == -1, F.when(x["ok"] == 1, 3).otherwise(0)).when(x["ok"] == 1, F.least(s + 1, F.lit(3))).otherwise(F.greatest(s - 1, F.lit(0))))
-    return e.select(*keys, F.size("es").cast("long").alias("seen"), F.size(F.filter("es", lambda x: x["ok"] == 0)).cast("long").alias("wrong"), fold.alias("level"))
+    rows = events.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], ok.cast("int").alias("ok"))
+    by = [*keys, *[f"_o{i}" for i in range(len(order))], "ok"]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*keys, "ok")
+    schema = StructType([placed.schema[k] for k in keys] + [StructField(c, LongType()) for c in ("part", "first", "shift", "low", "high", "seen", "wrong")])
+    runs = placed.mapInArrow(_runs(schema, keys), schema)
+    r = runs.groupBy(*keys).agg(F.sum("seen").alias("seen"), F.sum("wrong").alias("wrong"), F.array_sort(F.collect_list(F.struct("part", "first", "shift", "low", "high"))).alias("rs"))
+
+    def compose(s: Column, x: Column) -> Column:
+        step = F.when(x["first"] == 1, F.least(s + 1, F.lit(3))).otherwise(F.greatest(s - 1, F.lit(0)))
+        begun = F.when(s == -1, F.when(x["first"] == 1, 3).otherwise(0)).otherwise(step)
+        return F.least(F.greatest(begun + x["shift"], x["low"]), x["high"]).cast("int")
+
+    return r.select(*keys, "seen", "wrong", F.aggregate("rs", F.lit(-1), compose).alias("level"))
 
 
 def buckets(states: DataFrame, *by: str) -> DataFrame:
