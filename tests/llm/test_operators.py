@@ -131,14 +131,31 @@ def test_star_steps_equal_local_components(spark, monkeypatch):
     assert rows_of(minhash_cps.components(links).filter("id <> label").select("id", "label")) == local
 
 
-def test_dense_strays(spark):
+def test_dense_group_keeps_its_components(spark, monkeypatch):
+    """Hundreds of loose copies of one text, below the threshold to most others, among them near pairs: no component is lost."""
     rng = random.Random(1)
-    text = prose(rng, 60)
-    h = {i: minhash_cps.shingle_hashes(x.encode()) for i, x in enumerate([text, text + " more", text + " other end", prose(rng, 60)])}
-    dense = spark.createDataFrame([(9, i, i if i > 1 else 0) for i in h], "node long, id long, label long")
-    sets = spark.createDataFrame([(i, x.tobytes()) for i, x in h.items()], "id long, hashes binary")
-    found = {tuple(r) for r in minhash_cps._strays(dense, sets).collect()}
-    assert (2, 0) in found and not any(3 in x for x in found)
+    base = prose(rng, 150).split()
+    texts = []
+    for k in range(500):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randrange(1, 9)):
+            w[at] = f"w{k}x{at}"
+        texts.append(" ".join(w))
+        if k % 5 == 0:
+            texts.append(" ".join([*w[:-1], f"end{k}"]))
+    monkeypatch.setattr(minhash_cps, "SMALL", 20)
+    want = brute_components(list(enumerate(texts)))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_cps.near_duplicates(docs(spark, texts)).collect()}
+    wrong = sum(out[i] != want[i] for i in want)
+    assert 1 < len({c for _, c in want.values()}) < len(texts) - 100 and wrong <= 0.01 * len(texts)
+
+
+def test_repeated_and_missing_ids(spark):
+    rng = random.Random(3)
+    text, other = prose(rng, 40), prose(rng, 40)
+    rows = spark.createDataFrame([(1, text), (1, other), (2, text), (None, text), (3, other), (None, None)], "doc_id long, text string")
+    out = rows_of(minhash_cps.near_duplicates(rows).select("doc_id", "component_id").filter("doc_id IS NOT NULL"))
+    assert sorted(out) == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
 # ---- 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of ``sf_dir``. One whose files give fewer tasks than there are cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def tune(spark: SparkSession) -> None:
@@ -28,10 +31,12 @@ def tune(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under the shared one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a folder of the driver's machine is set, once a session.
+    Only where that setting is absent in a local session a folder of the machine is set, once a session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="wordloom-")
@@ -40,11 +45,21 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, so that lost executors cost no recomputation."""
+    """``df`` as a table in the shared folder: its lineage ends there, so that lost executors cost no recomputation.
+
+    Its folder is the attribute ``path``; inside ``scratch`` it is a temporary table.
+    """
     spark = df.sparkSession
     df.write.parquet(path := work_dir(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path = path
+    if _open:
+        _open[-1].append(path)
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -54,6 +69,33 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t.path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what outlives the block is written after it or inside ``lasting``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
+@contextmanager
+def lasting() -> Iterator[None]:
+    """Tables written inside stay, whatever ``scratch`` is open."""
+    was, _open[:] = list(_open), []
+    try:
+        yield
+    finally:
+        _open[:] = was
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 of a string column's values."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
