@@ -22,21 +22,23 @@ decode to the very text, but for the character U+2581: as the mark of a space it
 from __future__ import annotations
 
 import hashlib
-import itertools
-import re
 import zlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_map, mix64, tune
+from wordloom.llm.common import arrow_map, as_bytes, mix64, tune
 
 #: Samples of each text, seed, sharpness and shift of the piece weights.
 SAMPLES, SEED, TEMPERATURE, SHIFT = 2, 20250101, 1.0, 2.7
 
+#: Text whose lattices are built at once.
+CHUNK = 2 << 20
+
 #: Log-weight of one byte piece, below that of any other piece.
 BYTE_WEIGHT = -14.0
 
@@ -107,14 +109,29 @@ class Vocabulary:
         assert len(np.unique(whole)) == len(whole)
         self.keys, self.ids = whole[at], np.array(order, np.int32)[at]
         self.weights = (-TEMPERATURE * np.log(np.arange(len(order)) + SHIFT))[at]
-        self.whole, self.begun = (_bits(x) for x in (whole, np.concatenate(keys)))
+        self.begun = _bits(np.concatenate(keys))
+        # where the keys of each first bits stand
+        self.bucket = np.searchsorted(self.keys >> _U(64 - _TABLE), np.arange((1 << _TABLE) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of these hashes those of pieces: their places, ids and log-weights."""
-        maybe = np.flatnonzero(self.whole[keys >> _U(64 - _TABLE)])
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == keys[maybe]
-        return maybe[hit], self.ids[at[hit]], self.weights[at[hit]]
+        first = (keys >> _U(64 - _TABLE)).astype(np.int64)
+        at, end = self.bucket[first], self.bucket[first + 1]
+        on = np.flatnonzero(at < end)
+        at, end = at[on], end[on]
+        places, found = [], []
+        while len(on):
+            hit = self.keys[at] == keys[on]
+            places.append(on[hit]), found.append(at[hit])
+            more = np.flatnonzero(~hit & (at + 1 < end))
+            on, at, end = on[more], at[more] + 1, end[more]
+        if len(places) == 1:
+            place, at = places[0], found[0]
+        else:
+            place, at = np.concatenate([*places, on]), np.concatenate([*found, at])
+            order = np.argsort(place, kind="stable")
+            place, at = place[order], at[order]
+        return place, self.ids[at], self.weights[at]
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
@@ -150,15 +167,16 @@ class Lattices:
     goes on with it.
     """
 
-    def __init__(self, units: list[str], vocabulary: Vocabulary):
+    def __init__(self, units: list[str] | pa.StringArray, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        units = pa.array(units, pa.string())
+        sizes = pc.utf8_length(units).to_numpy().astype(np.int64)
         self.start = np.concatenate(([0], np.cumsum(sizes + 1)))
         n = int(self.start[-1])
         chars = np.zeros(n, np.uint64)
         inside = np.ones(n, bool)
         inside[self.start[1:] - 1] = False
-        chars[inside] = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        chars[inside] = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(units)], units), "")[0].as_py().encode("utf-32-le"), np.uint32)
         self.chars = chars
         left = np.repeat(self.start[1:] - 1, sizes + 1) - np.arange(n)
         at, h = np.flatnonzero(inside), np.zeros(int(inside.sum()), np.uint64)
@@ -178,13 +196,20 @@ class Lattices:
         width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
         pos.append(at), size.append(np.ones(len(at), np.int64)), weight.append(BYTE_WEIGHT * width)
         ids.append(np.where(c <= 0x7F, vocabulary.byte[np.minimum(c, 0x7F).astype(np.int64)], -1).astype(np.int32))
-        at, size, ids, weight = map(np.concatenate, (pos, size, ids, weight))
-        # a position's edges stay together, longer (and mostly likelier) ones first
-        order = np.argsort((left[at] * n + at) * 64 - size, kind="stable")
-        self.at, self.size, self.ids, weight = at[order].astype(np.int32), size[order].astype(np.int32), ids[order], weight[order]
-        heads = np.flatnonzero(np.diff(self.at, prepend=-1))
-        self.first, self.many = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.first[self.at[heads]], self.many[self.at[heads]] = heads, np.diff(heads, append=len(self.at))
+        # a position's edges stay together, longer (and mostly likelier) ones first; positions near their unit's end come first
+        order = np.argsort(left.astype(np.uint16) if n == 0 or left.max() < 1 << 16 else left, kind="stable")
+        self.many = np.bincount(np.concatenate(pos), minlength=n).astype(np.int32)
+        ends = np.cumsum(self.many[order], dtype=np.int32)
+        self.first = np.empty(n, np.int32)
+        self.first[order] = ends - self.many[order]
+        slot, edges = self.first.copy(), int(ends[-1]) if n else 0
+        self.at, self.size, self.ids, weight_of = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
+        for k in (*range(len(pos) - 2, -1, -1), len(pos) - 1):
+            to = slot[pos[k]]
+            self.at[to], self.size[to], self.ids[to], weight_of[to] = pos[k], size[k], ids[k], weight[k]
+            slot[pos[k]] += 1
+        weight = weight_of
+        heads = self.first[order[self.many[order] > 0]]
         back = np.zeros(n)
         self.prob = np.zeros(len(self.at))
         distance = left[self.at[heads]]
@@ -218,12 +243,21 @@ class Lattices:
         return edge
 
 
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-
+def units_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The distinct units of texts, the number of each unit in the texts, in order, and how many each text has.
 
-def units_of(text: str) -> list[str]:
-    """Words with the space marks before them; line ends stand alone. Together they are the marked text."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE))
+    Units are words with the space marks before them; line ends stand alone. A text's units are the marked text.
+    """
+    data = [(" " + t.replace(SPACE, " ")).encode() for t in texts]
+    b = np.frombuffer(b"".join(data), np.uint8)
+    begin = np.cumsum([0, *map(len, data)])
+    space, line = b == 32, b == 10
+    start = line.copy()
+    start[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    start[begin[:-1]] = True
+    at = np.flatnonzero(start)
+    units = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(at, len(b)).astype(np.int32)), pa.py_buffer(b)]).dictionary_encode()
+    return pc.replace_substring(units.dictionary, " ", SPACE), units.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(at, begin))
 
 
 class Path(NamedTuple):
@@ -288,7 +322,8 @@ def search(lattices: Lattices, units: np.ndarray, free: list[Path], k: int, key:
         live = live[live >= step] if parent is not None else live
         if len(live):
             g = truncated(uniforms(seed, key, -2, number, live), prefix[live] + np.log(rest[live]), value)
-            for i in np.argsort(-g)[: k + 1 - len(done)].tolist():
+            best = k + 1 - len(done)
+            for i in (np.argpartition(-g, best)[:best] if best < len(g) else np.arange(len(g))).tolist():
                 at = int(live[i])
                 queue.append((float(g[i]), path, at, (*(excluded if parent is not None and at == step else ()), int(near[at]))))
     threshold = max((x[0] for x in queue), default=-np.inf)
@@ -327,11 +362,11 @@ def ids_of(lattices: Lattices, path: Path) -> np.ndarray:
 
 def sample_texts(texts: list[str | None], keys: list[int | None], vocabulary: Vocabulary, k: int = SAMPLES, seed: int = SEED) -> list[list[dict] | None]:
     """Of each text its samples: ids, log_prob, perturbed and inclusion, best perturbed first."""
-    split = [units_of(t) if t else [] for t in texts]
-    number = {u: i for i, u in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    unit = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-    lattices = Lattices(list(number) or ["x"], vocabulary)
+    filled = [i for i, t in enumerate(texts) if t]
+    distinct, unit, many = units_of([texts[i] for i in filled]) if filled else (["x"], np.zeros(0, np.int64), [])
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[filled] = many
+    lattices = Lattices(distinct, vocabulary)
     key = np.array([0 if x is None else x for x in keys], np.int64)
     first = np.concatenate(([0], np.cumsum(sizes)))
     place = np.arange(len(unit)) - np.repeat(first[:-1], sizes)
@@ -349,11 +384,27 @@ def sample_texts(texts: list[str | None], keys: list[int | None], vocabulary: Vo
     return out
 
 
-def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
-    """The text of pieces: space marks become spaces, byte pieces bytes, the mark put before the text goes."""
+def decoded(ids: list[np.ndarray], vocabulary: Vocabulary) -> list[bytes]:
+    """The texts, in UTF-8, of lists of pieces: space marks become spaces, byte pieces bytes, the mark put before goes."""
     if not hasattr(vocabulary, "utf8"):
-        vocabulary.utf8 = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.piece.items()} | {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte)}
-    return b"".join(map(vocabulary.utf8.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        pieces = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.piece.items()} | {int(i): bytes([b]) for b, i in enumerate(vocabulary.byte)}
+        table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        size = np.fromiter(map(len, table), np.int32, len(table))
+        vocabulary.utf8 = np.frombuffer(b"".join(table), np.uint8), np.cumsum(size, dtype=np.int32) - size, size
+    flat, first, size = vocabulary.utf8
+    every = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+    many = size[every]
+    end = np.cumsum(many, dtype=np.int64)
+    take = np.repeat(first[every] - (end - many).astype(np.int32), many)
+    take += np.arange(len(take), dtype=np.int32)
+    data = flat[take].tobytes()
+    bounds = np.concatenate(([0], end))[np.cumsum([0, *map(len, ids)])].tolist()
+    return [data[a + 1 : z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
+    """The text of pieces."""
+    return decoded([ids], vocabulary)[0].decode("utf-8", "replace")
 
 
 SAMPLE = "struct<sample_rank:int,ids:array<int>,log_prob:double,perturbed:double,inclusion:double>"
@@ -370,7 +421,7 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, seed: int
         return {"_row": batch.column("_row"), "samples": rows}
 
     packed = docs.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_key"), F.struct(*docs.columns).alias("_row"))
-    out = arrow_map(packed, "_text", run, f"_row {packed.schema['_row'].dataType.simpleString()}, samples array<{SAMPLE}>", lambda: Vocabulary(model_path), 1 << 20)
+    out = arrow_map(packed, "_text", run, f"_row {packed.schema['_row'].dataType.simpleString()}, samples array<{SAMPLE}>", lambda: Vocabulary(model_path), CHUNK)
     return out.select("_row.*", "samples")
 
 
@@ -395,22 +446,21 @@ def sample_digests(docs: DataFrame, model_path: str, k: int = SAMPLES, seed: int
     tune(docs.sparkSession)
 
     def run(batch: pa.RecordBatch, vocabulary: Vocabulary) -> dict:
-        texts = batch.column("text").to_pylist()
-        found = sample_texts(texts, batch.column("_key").to_pylist(), vocabulary, k, seed)
-        row: list[int] = []
+        found = sample_texts(batch.column("text").to_pylist(), batch.column("_key").to_pylist(), vocabulary, k, seed)
+        samples = [(i, n, x) for i, s in enumerate(found) for n, x in enumerate(s or [None])]
+        there = [x["ids"] for *_, x in samples if x is not None]
+        data, whole = iter(decoded(there, vocabulary)), as_bytes(batch.column("text"))
         out: dict[str, list] = {c: [] for c in ("sample_rank", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decoded_sha256", "round_trip")}
-        for i, samples in enumerate(found):
-            for n, x in enumerate(samples or [None]):
-                row.append(i)
-                if x is None:
-                    values: tuple = (None,) * len(out)
-                else:
-                    text = decode(x["ids"], vocabulary) if len(x["ids"]) else ""
-                    values = (n, len(x["ids"]), zlib.crc32(x["ids"].astype("<u4").tobytes()), x["log_prob"], x["perturbed"], x["inclusion"], hashlib.sha256(text.encode()).hexdigest(), text == texts[i])
-                for c, v in zip(out, values, strict=True):
-                    out[c].append(v)
-        return {"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64()))} | out
+        for i, n, x in samples:
+            if x is None:
+                values: tuple = (None,) * len(out)
+            else:
+                text = next(data)
+                values = (n, len(x["ids"]), zlib.crc32(x["ids"].astype("<u4", copy=False)), x["log_prob"], x["perturbed"], x["inclusion"], hashlib.sha256(text).hexdigest(), text == whole[i])
+            for c, v in zip(out, values, strict=True):
+                out[c].append(v)
+        return {"doc_id": batch.column("doc_id").take(pa.array([i for i, *_ in samples], pa.int64()))} | out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("_key"))
-    return arrow_map(rows, "text", run, f"doc_id {kind}, sample_rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded_sha256 string, round_trip boolean", lambda: Vocabulary(model_path), 1 << 20)
+    return arrow_map(rows, "text", run, f"doc_id {kind}, sample_rank int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded_sha256 string, round_trip boolean", lambda: Vocabulary(model_path), CHUNK)
