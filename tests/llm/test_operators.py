@@ -167,7 +167,8 @@ def vocabulary():
 
 
 def all_paths(text, v):
-    units = gumbel_pieces.units_of(text)
+    distinct, unit, _ = gumbel_pieces.units_of([text])
+    units = [distinct[int(i)].as_py() for i in unit]
     x = gumbel_pieces.Lattices(units, v)
 
     def go(w, p):
@@ -241,6 +242,40 @@ def test_tokens_equal_the_library(spark, tmp_path):
     assert token_orc.token_positions(df.limit(0), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+def test_words_of_any_script_equal_the_library():
+    encoder = token_orc.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    rng = random.Random(6)
+    letters = [*"abc  ssttrevmlld019.,_\n\t", *("'" * 3), *map(chr, range(0x80, 0x280)), *"Σσς日　éΑ\u0301\u2028Ⱥ"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(1500)] + ["x\x1cy", "a<|endoftext|>b", "", None, "'", "don't'", "'s's", "y" * 3_000_000 + " é"]
+    for at in range(0, len(texts), 101):
+        part = texts[at : at + 101]
+        ids, ends = encoder.texts(part)
+        for t, a, z in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if t is None or len(t) < 1000:
+                assert ids[a:z].tolist() == [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], t
+
+
+def test_token_files_have_indexes_and_skip_by_them(spark, tmp_path):
+    df = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_orc.write_tokens(df, path := f"file://{tmp_path}/tokens", tokenizer_file("word_bpe_49k.json"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    orc, (file,) = jvm.org.apache.orc.OrcFile, list((tmp_path / "tokens").glob("*.orc"))
+    reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{file}"), orc.readerOptions(conf))
+    column = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+    streams = [(str(x.getKind()), x.getColumn()) for stripe in reader.getStripes() for x in reader.rows().readStripeFooter(stripe).getStreamsList()]
+    assert ("ROW_INDEX", column) in streams and ("BLOOM_FILTER_UTF8", column) in streams
+    assert reader.rows().readStripeFooter(reader.getStripes()[0]).getColumns(column).getKind().toString() == "DIRECT_V2"  # run lengths of integers
+
+    def scanned(rows):
+        rows = rows.select("doc_id")
+        rows.collect()
+        return rows._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert scanned(token_orc.read_tokens(spark, path)) == 20_000
+    assert scanned(token_orc.read_tokens(spark, path, doc_ids=[20_000])) <= 1000  # one row group, by statistics
+    assert scanned(token_orc.read_tokens(spark, path, doc_ids=[20_001])) == 0  # within a group's range: only its Bloom filter knows
+
+
 # ---- 5
 
 
