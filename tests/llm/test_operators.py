@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -456,6 +457,58 @@ def test_html_template_is_deduced(spark):
     assert html_template.extracted(pages.limit(0)).count() == 0
 
 
+def unnamed(rng, i):
+    """A page of plain div elements: a menu of links and a shop window beside the text, whose words all vary."""
+    links = "".join(f"<div><a href='/{k}'>{prose(rng, 2)}</a></div>" for k in range(rng.randrange(2, 6)))
+    body = "".join(f"<p>{prose(rng, 20)}</p>" for _ in range(rng.randrange(2, 6)))
+    return f"<html><body><div>{links}</div><div><div>{prose(rng, 6)}</div></div><section><h1>head {i}</h1>{body}</section><div><div>{prose(rng, 5)}</div></div></body></html>"
+
+
+def test_the_template_decides_on_unnamed_pages(spark):
+    """Menus, windows and foot lines vary and bear no names: only the deduced main slot tells the text from them."""
+    rng = random.Random(10)
+    rows = [(i, "http://h.example/x", unnamed(rng, i)) for i in range(30)] + [(30 + i, f"http://h{i}.example/x", unnamed(rng, i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"].split("\n") for r in html_template.extracted(pages).collect()}
+    for i, _, page in rows:
+        want = re.findall("<h1>(.*?)</h1>|<p>(.*?)</p>", page)
+        alone = html_template.main_blocks(page, frozenset())
+        assert len(alone) > len(want), "without a template, the rest of the page is taken for text"
+        assert out[i] == ([a or b for a, b in want] if i < 30 else alone)
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(f"h{i % 2}", unnamed(rng, i) if i % 7 else "<html><body><p>other</p></body></html>") for i in range(60)]
+    rows += [rows[0], ("few", rows[1][1])]
+    found = {r["host"]: (set(r["template"]), r["slot"]) for r in html_template.templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    for host in ("h0", "h1", "few"):
+        pages = list({html_template.tokens_of(x)[0]: {t: (p, n, d, own) for t, p, n, d, own in html_template.tokens_of(x)[1]} for h, x in rows if h == host}.values())
+        if len(pages) < html_template.LEAST_PAGES:
+            assert host not in found
+            continue
+        parent = {t: x[0] for page in pages for t, x in page.items()}
+        vector = {t: tuple(page[t][1] if t in page else 0 for page in pages) for t in parent}
+        support = {t: sum(n > 0 for n in v) for t, v in vector.items()}
+        often = {t for t in parent if support[t] >= html_template.SUPPORT * len(pages)}
+        classes = {}
+        for t in often:
+            classes.setdefault(vector[t], set()).add(t)
+        valid = {t for c in classes.values() if len(c) >= html_template.LEAST_TOKENS for t in c if parent[t] == html_template.ROOT or (parent[t] in often and support[parent[t]] >= support[t])}
+        own = {t: sum(page[t][3] for page in pages if t in page) for t in often if all(page[t][3] >= 0 for page in pages if t in page) and max(vector[t]) == 1}
+        slots = [t for t in valid & own.keys() if t != html_template.ROOT and own[t] >= html_template.SLOT_SHARE * own[html_template.ROOT]]
+        depth = {t: x[2] for page in pages for t, x in page.items()}
+        assert found[host] == (valid, max(slots, key=depth.get, default=None))
+
+
+@pytest.mark.parametrize("page", ["<div>{}</foo>", "<b><div>{}</b>", "<a \"{}", "<p>{}</p>", "<div class='a'>{}</div>"])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    left, _, right = page.partition("{}")
+    html_template.tokens_of(left * 50_000 + right * 50_000)
+    assert time.process_time() - began < 10
+
+
 # ---- 9
 
 
