@@ -413,10 +413,26 @@ def test_context_and_format_decide_cards(spark):
     assert card.score(row(0, 1)) >= card.threshold > card.score(row(2, 0))
 
 
+def test_context_flips_a_proposal(spark):
+    """One phone number without its plus sign: between spaces it is taken, between letters it isn't; digits agree."""
+    rng = random.Random(19)
+    tail = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    plain = [lambda x: f"+1 {x}", lambda x: f"+1 {x[1:4]}-{x[6:]}", lambda x: f"+1{x[1:4]}{x[6:9]}{x[10:]}"]
+    texts = [f"call {plain[k % 3](tail())} now" for k in range(200)] + [f"part a{tail()}b of it, v1.{k}.7 and 1.2.{k}.4.5" for k in range(200)]
+    texts += ["call (212)555-77-13 now", "call a(212)555-77-13b now"]
+    df = docs(spark, texts)
+    out = {r["doc_id"]: r["spans"] for r in pii_boost.personal_data(df).collect()}
+    assert out[400] == "phone:5:19" and out[401] == "" and not any("phone" in out[i] for i in range(200, 400))
+    models = pii_boost.fit(pii_boost.proposals(df))
+    at = pii_boost.FEATURES.index
+    used = {pii_boost.FEATURES[f] for t in models["phone"].trees for f, cut in t[:3] if cut != 99}
+    assert used & {"before", "after"} and not used & {"digits", "checked"} and at("before") >= 0
+
+
 def test_threshold_is_marginal():
     # 100 passed at the top hide that only 1 in 10 passes below: together 101 of 110 is more than PRECISION
-    assert pii_boost.calibrated([(0.9, 1, 100.0), (0.3, 1, 1.0), (0.3, 0, 9.0)]) == 0.9
-    assert pii_boost.calibrated([(0.9, 0, 1.0), (0.8, 1, 99.0), (0.1, 0, 5.0)]) == 0.8
+    assert pii_boost.calibrated([(0.9, 1, 100.0), (0.3, 1, 1.0), (0.3, 0, 9.0)]) == pytest.approx(0.6)
+    assert pii_boost.calibrated([(0.9, 0, 1.0), (0.8, 1, 99.0), (0.1, 0, 5.0)]) == pytest.approx(0.45)
     assert pii_boost.calibrated([(0.9, 0, 3.0)]) is None
 
 

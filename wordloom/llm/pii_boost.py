@@ -2,16 +2,17 @@
 
 1. *Base spans*: patterns with checks (octets, Luhn, digit counts). They always stay.
 2. *Generators* propose further spans, with high recall, from the text outside base spans: written-out or bracketed
-   e-mail addresses and IP numbers, card numbers inside longer digit groups or with other separators, phone numbers
-   without a plus sign or inside longer ones.
-3. *Boosted trees* of depth two score proposals from small-integer format and context features. Their labels are checks
-   of the base patterns' matches over all documents; a kind's trees see no feature that its label is computed from
-   (``USED``). As features are small integers, one aggregation counts each (features, label), and the trees are fitted on
-   that bounded table of counts.
-4. *Thresholds* are calibrated for each kind on a fifth of the documents that the trees did not see. Shares of passed
-   matches by score are made monotone by pooling neighbours; the threshold is the lowest score whose own pool has at least
-   ``PRECISION``. Proposals from there on that pass the check as well become spans. Where no match of a kind failed there
-   is nothing to learn from, and the check alone decides.
+   e-mail addresses and IP numbers, card numbers inside longer digit runs or with other separators, phone numbers without
+   a plus sign; and with them version numbers, dates, hexadecimal tokens and other digit groups.
+3. *Boosted trees* of depth two score proposals from small-integer format and context features. They learn to tell base
+   spans from all else that is found, failed base matches and proposals alike; a kind's trees see no feature that the
+   check is computed from (``USED``). As features are small integers, one aggregation counts each (features, label), and
+   the trees are fitted on that bounded table of counts.
+4. *Thresholds* are calibrated for each kind on a fifth of the documents that the trees did not see. Shares of base spans
+   by score are made monotone by pooling neighbours; the threshold is the border below the lowest pool that has at
+   least ``PRECISION``. Proposals from there on that pass the check as well become spans: they look, in form and surroundings,
+   like what is personal data beyond doubt. Where nothing else of a kind is found there is nothing to learn from, and the
+   check alone decides.
 
 Scores are SQL expressions (sums of CASE), so text never leaves the JVM, and nothing is shuffled but counts.
 
@@ -48,11 +49,12 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 _AT, _DOT = r"(?:@|\x20?[(\[{]\x20?at\x20?[)\]}]\x20?)", r"(?:\.|\x20?[(\[{]\x20?(?:dot|\.)\x20?[)\]}]\x20?)"
 
+#: Wide: version numbers, dates, hexadecimal tokens, parts of longer digit runs and the like are proposed as well.
 GENERATORS = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_HOST}++(?:{_DOT}{_HOST}++)++",
-    "ip": rf"(?<![0-9.])[0-9]{{1,3}}{_DOT}[0-9]{{1,3}}{_DOT}[0-9]{{1,3}}{_DOT}[0-9]{{1,3}}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[\x20./_-]?[0-9]{4}[\x20./_-]?[0-9]{4}[\x20./_-]?[0-9]{4}|[0-9]{13,19}|3[0-9]{3}[\x20./_-]?[0-9]{6}[\x20./_-]?[0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:{_AT}{_HOST}++(?:{_DOT}{_HOST}++)*+|\x20at\x20{_HOST}++(?:\x20dot\x20{_HOST}++)++)",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{2,5}}(?![0-9])",
+    "card": r"[0-9](?:[\x20./_-]?[0-9]){11,18}",
+    "phone": r"(?<![0-9])(?:\+|00)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20./-]{0,2}(?:\([0-9]{2,4}\)|[0-9]{2,4})){2,5}(?![0-9])",
 }
 
 #: Marks around matches; a text's own characters of these kinds are replaced before (positions stay).
@@ -158,7 +160,7 @@ def proposals(docs: DataFrame) -> DataFrame:
         for k in KINDS
     ])
     rows = rows.select("doc_id", *[f"base_{k}" for k in KINDS], *[
-        F.when(F.col(f"t_{k}").rlike("[0-9][\\x20().\\[\\]/_-]{0,3}[0-9]" if k != "email" else "@|[(\\[{]\\x20?at\\x20?[)\\]}]"), F.split(F.regexp_replace(f"t_{k}", f"({GENERATORS[k]})", f"{_MARK}$1{_MARK}"), _MARK, -1)).otherwise(F.array(f"t_{k}")).alias(f"g_{k}")
+        F.when(F.col(f"t_{k}").rlike("[0-9][\\x20().\\[\\]/_-]{0,3}[0-9]" if k != "email" else "@|[(\\[{]\\x20?at\\x20?[)\\]}]|\\x20dot\\x20"), F.split(F.regexp_replace(f"t_{k}", f"({GENERATORS[k]})", f"{_MARK}$1{_MARK}"), _MARK, -1)).otherwise(F.array(f"t_{k}")).alias(f"g_{k}")
         for k in KINDS
     ])
     return rows.select("doc_id", *[f"base_{k}" for k in KINDS], *[_matches(F.col(f"g_{k}"), k).alias(f"more_{k}") for k in KINDS])
@@ -221,7 +223,8 @@ def _best(rows: list, grad: list[float], hess: list[float], among: list[int], us
 
 
 def calibrated(scored: list[tuple[float, int, float]]) -> float | None:
-    """The lowest score whose pool of neighbouring scores (score, label, count) has at least ``PRECISION``; None: there is none."""
+    """The border below the lowest pool of neighbouring scores (score, label, count) that has at least ``PRECISION``: halfway
+    to the next lower score. None: there is no such pool."""
     pools: list[list[float]] = []  # lowest score, passed, all; shares fall from pool to pool
     last = None
     for s, y, k in sorted(scored, reverse=True):
@@ -236,7 +239,9 @@ def calibrated(scored: list[tuple[float, int, float]]) -> float | None:
     while len(pools) > 1 and pools[-1][1] * pools[-2][2] >= pools[-2][1] * pools[-1][2]:
         low, good, all_ = pools.pop()
         pools[-1] = [low, pools[-1][1] + good, pools[-1][2] + all_]
-    return min((low for low, good, all_ in pools if good >= PRECISION * all_), default=None)
+    low = min((low for low, good, all_ in pools if good >= PRECISION * all_), default=None)
+    below = [s for s, *_ in scored if low is not None and s < low]
+    return (low + max(below)) / 2 if below else low
 
 
 def boosted(rows: list[tuple[tuple[int, ...], int, float]], held: list[tuple[tuple[int, ...], int, float]], used: tuple[str, ...] = FEATURES) -> Model:
@@ -260,13 +265,15 @@ def boosted(rows: list[tuple[tuple[int, ...], int, float]], held: list[tuple[tup
 
 
 def fit(found: DataFrame) -> dict[str, Model]:
-    """A model of each kind from counts of all base matches by features, label and fold."""
+    """A model of each kind from counts of all base matches and proposals by features, label and fold."""
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).cast("int").alias("fold")
     parts = None
     for k in KINDS:
         part = found.select(fold, F.lit(k).alias("kind"), F.explode(f"base_{k}").alias("m")).select("fold", "kind", "m.*")
         if k == "card":
             part = part.filter(F.col("digits").between(12, 19))
+        more = found.select(fold, F.lit(k).alias("kind"), F.explode(f"more_{k}").alias("m")).select("fold", "kind", "m.*")
+        part = part.unionByName(more.withColumn("label", F.lit(0)))
         parts = part if parts is None else parts.unionByName(part)
     counted = parts.groupBy("kind", "fold", "label", *FEATURES).agg(F.count("*").alias("n")).collect()
     out = {}
