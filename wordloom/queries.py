@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import dedup, lint, matching, sampling, scoring, state
 from wordloom.plans.ordinals import with_ordinal
+from wordloom.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from wordloom.sources.files import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: SQL of the functions in ``wordloom.functions.text``.
 KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(coalesce({0}, ''))), '^(to|a|an|the) +', ''), '[-–—/|]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 WORDS_SQL = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 GRAMS_SQL = "[array_to_string(w[i:i + {0} - 1], ' ') FOR i IN range(1, len(w) - {0} + 2)]"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _words(spark: SparkSession, d: str, name: str = "documents", id_: str = "doc_id", text: str = "text") -> DataFrame:
     return table(spark, d, name).select(F.col(id_).alias("id"), F.explode(T.tokens(F.col(text))).alias("w"))
 
@@ -494,3 +480,6 @@ def daily_pick(s, d):
     total = n.agg(F.count("*").alias("k"))
     days = s.range(30).select(F.col("id").alias("day")).join(F.broadcast(total)).select("day", (F.col("day") % F.col("k") + 1).alias("o"))
     return days.join(n, "o").select("day", "n_name")
+
+
+from wordloom import queries_bank, queries_events, queries_match, queries_text  # noqa: E402, F401
