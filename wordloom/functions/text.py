@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 
 def english_key(c: Column) -> Column:
-    """Lower case, one leading article or "to" off, hyphens as spaces, only a-z, 0-9 and single spaces. Null: empty."""
-    x = F.trim(F.lower(F.coalesce(c, F.lit(""))))
-    x = F.regexp_replace(x, "^(to|a|an|the) +", "")
-    x = F.regexp_replace(x, "[-–—/|]", " ")
-    x = F.regexp_replace(x, "[^a-z0-9 ]", "")
-    return F.trim(F.regexp_replace(x, " +", " "))
+    """Lower case, white space around and one leading article or "to" off, hyphens as spaces, only a-z, 0-9 and single spaces. Null: empty."""
+    x = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^[\s\x0B\u00A0]*+(?:(?:to|a|an|the)[\s\x0B\u00A0]+)?", "")
+    x = F.regexp_replace(F.translate(x, "-–—/|", "     "), "[^a-z0-9 ]+", "")
+    return F.trim(F.regexp_replace(x, " {2,}", " "))
 
 
 def gloss_key(c: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import grams, tokens
-
 
 def broken_rules(rows: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame:
     """(id, rule): one row for each rule that a row breaks."""
@@ -15,10 +17,20 @@ def broken_rules(rows: DataFrame, id_: str, rules: dict[str, Column]) -> DataFra
 
 
 def repeated_grams(rows: DataFrame, id_: str, text: str, n: int = 3) -> DataFrame:
-    """id, grams that occur at least twice in the text, and the most occurrences of one."""
-    words = rows.select(id_, tokens(F.col(text)).alias("w"))
-    g = words.select(id_, F.explode(grams(F.col("w"), n)).alias("g")).groupBy(id_, "g").agg(F.count("*").alias("k")).filter("k > 1")
-    return g.groupBy(id_).agg(F.count("*").alias("repeated"), F.max("k").alias("most"))
+    """id, grams that occur at least twice in the text, and the most occurrences of one; texts without such grams have no
+    row. A text is one row, so its grams are counted there, in Arrow batches, and nothing is shuffled."""
+
+    @F.pandas_udf("repeated long, most long")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            words = re.findall("[a-z0-9]+", (t or "").lower())
+            k = Counter(zip(*[words[i:] for i in range(n)], strict=False)).values()
+            out.append((sum(x > 1 for x in k), max(k, default=0)))
+        return pd.DataFrame(out, columns=["repeated", "most"])
+
+    found = rows.select(id_, counted(F.col(text)).alias("s"))
+    return found.select(id_, "s.repeated", "s.most").filter("repeated > 0")
 
 
 def first_reason(rows: DataFrame, reasons: dict[str, Column], default: str = "ok") -> DataFrame:

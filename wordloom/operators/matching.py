@@ -28,7 +28,7 @@ def rare_word_pairs(sets: DataFrame, id_: str, word: str, most_docs: int) -> Dat
     df = s.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df").between(2, most_docs)).select("w")
     rare = s.join(df, "w")
     pairs = rare.select(F.col("id").alias("a"), "w").join(rare.select(F.col("id").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
-    full = s.groupBy("id").agg(F.collect_set("w").alias("ws"))
+    full = s.groupBy("id").agg(F.collect_set(F.xxhash64("w")).alias("ws"))
     left = pairs.join(full.select(F.col("id").alias("a"), F.col("ws").alias("wa")), "a")
     both = left.join(full.select(F.col("id").alias("b"), F.col("ws").alias("wb")), "b")
     return both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("common"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b"))
@@ -62,16 +62,13 @@ def overlap_pairs(sets: DataFrame, id_: str, word: str, share: tuple[int, int])
     return out.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "common", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("size_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("size_b"))
 
 
-def nearest_by_overlap(queries: DataFrame, targets: DataFrame, most_docs: int | None = None) -> DataFrame:
-    """(id, best, common): for each query (id, w) the target (id, w) that shares the most words; ties: least id.
-
-    With ``most_docs``, only words of at most so many targets count, and the best by those need not be the best by all.
-    """
-    t = targets.select(F.col("id").alias("t"), "w").distinct()
-    if most_docs is not None:
-        t = t.join(t.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df") <= most_docs).select("w"), "w")
-    hits = queries.select("id", "w").distinct().join(t, "w").groupBy("id", "t").agg(F.count("*").alias("common"))
-    return hits.groupBy("id").agg(F.max(F.struct("common", (-F.col("t")).alias("neg"))).alias("m")).select("id", (-F.col("m.neg")).alias("best"), F.col("m.common").alias("common"))
+def nearest_by_overlap(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, best, common, score): for each query (id, w) the target (id, w) that shares the most words; ties: least id.
+    ``score`` is the share of the query's words. Queries are the small side; hits are counted before they are shuffled."""
+    q = queries.select("id", "w").distinct()
+    hits = q.join(targets.select(F.col("id").alias("t"), "w").distinct(), "w").groupBy("id", "t").agg(F.count("*").alias("common"))
+    best = hits.groupBy("id").agg(F.max(F.struct("common", (-F.col("t")).alias("neg"))).alias("m"))
+    return best.join(q.groupBy("id").agg(F.count("*").alias("n")), "id").select("id", (-F.col("m.neg")).alias("best"), F.col("m.common").alias("common"), F.round(F.col("m.common") / F.col("n"), 6).alias("score"))
 
 
 def tiered(rows: DataFrame, id_: str, *tiers: tuple[str, DataFrame]) -> DataFrame:
@@ -85,17 +82,21 @@ def tiered(rows: DataFrame, id_: str, *tiers: tuple[str, DataFrame]) -> DataFram
 
 
 def contained(passages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(passage_id, text_id): whole passages (id, text) of at least five words inside texts (id, text).
+    """(passage_id, text_id): whole passages (id, text), empty ones aside, inside texts (id, text).
 
-    A passage's second to fourth words stand in the text as they are, so the equi-join is on windows of three words; then
-    the whole passage is compared.
+    Of a passage of five words or more the second to fourth stand in the text as they are, so the equi-join is on windows of
+    three words; of three or four words the second one does. Passages of one or two words are a query set that is held
+    against each text as it streams by. Then the whole passage is compared.
     """
-    p = passages.select(F.col("id").alias("passage_id"), F.col("text").alias("p"), tokens(F.col("text")).alias("w")).filter(F.size("w") >= 5)
-    p = p.select("passage_id", "p", F.array_join(F.slice("w", 2, 3), " ").alias("k"))
+    p = passages.select(F.col("id").alias("passage_id"), F.col("text").alias("p"), tokens(F.col("text")).alias("w")).filter("p <> ''")
     t = texts.select(F.col("id").alias("text_id"), F.col("text").alias("t"))
-    windows = t.select("text_id", tokens(F.col("t")).alias("w")).select("text_id", F.explode(F.array_distinct(grams(F.col("w"), 3))).alias("k"))
-    found = windows.join(p.select("passage_id", "k"), "k").select("text_id", "passage_id").distinct()
-    return found.join(p.select("passage_id", "p"), "passage_id").join(t, "text_id").filter(F.contains("t", "p")).select("passage_id", "text_id")
+    inner = p.filter(F.size("w") >= 3).select("passage_id", F.when(F.size("w") >= 5, F.array_join(F.slice("w", 2, 3), " ")).otherwise(F.element_at("w", 2)).alias("k"))
+    w = t.select("text_id", tokens(F.col("t")).alias("w"))
+    keys = w.select("text_id", F.explode(F.array_distinct(grams(F.col("w"), 3))).alias("k")).unionByName(w.select("text_id", F.explode(F.array_distinct("w")).alias("k")))
+    found = keys.join(inner, "k").select("text_id", "passage_id").distinct()
+    checked = found.join(p.select("passage_id", "p"), "passage_id").join(t, "text_id").filter(F.contains("t", "p"))
+    brief = t.join(p.filter(F.size("w") < 3).select("passage_id", "p"), F.contains("t", "p"))
+    return checked.select("passage_id", "text_id").unionByName(brief.select("passage_id", "text_id"))
 
 
 def step_lookup(value: Column, steps: list[tuple[float, str]]) -> Column:

@@ -32,9 +32,14 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int) -> DataFrame:
 
 
 def weave(rows: DataFrame, bucket: str, key: str) -> DataFrame:
-    """``turn``: rows in the order first of every bucket, second of every bucket, and so on."""
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(bucket).orderBy(key)))
-    return with_ordinal(ranked, F.col("_rn"), F.col(bucket), name="turn").drop("_rn")
+    """``turn``: rows in the order first of every bucket, second of every bucket, and so on.
+
+    A row's place in its bucket is its ordinal by bucket and key less the bucket's first, so no bucket meets in one task.
+    """
+    at = with_ordinal(rows, F.col(bucket), F.col(key), name="_o")
+    first = at.groupBy(bucket).agg(F.min("_o").alias("_f")).withColumnRenamed(bucket, "_b")
+    ranked = at.join(F.broadcast(first), F.col(bucket).eqNullSafe(F.col("_b"))).withColumn("_rn", F.col("_o") - F.col("_f"))
+    return with_ordinal(ranked.drop("_o", "_f", "_b"), F.col("_rn"), F.col(bucket), name="turn").drop("_rn")
 
 
 def systematic(rows: DataFrame, key: str, step: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Positions and running sums over whole tables without a single-task window.
 
-Rows are range-partitioned and sorted; each partition is numbered by itself, and what precedes a partition comes from one
-row a partition. Both sides read the same shuffle.
+Rows are range-partitioned, sorted and written with the number of their partition and their place in it, so that all later
+steps read the same partitioning; what precedes a partition comes from one row a partition.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.plans.shared import written
+
 
 def _sorted(df: DataFrame, order: list[Column]) -> DataFrame:
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    return written(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "ordinals")
 
 
 def with_ordinal(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:

@@ -12,7 +12,7 @@ from wordloom.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from wordloom.sources.files import table
 
 #: SQL of the functions in ``wordloom.functions.text``.
-KEY_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(coalesce({0}, ''))), '^(to|a|an|the) +', ''), '[-–—/|]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+KEY_SQL = r"trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(coalesce({0}, '')), '^[\s\x0B\x{{00A0}}]*((to|a|an|the)[\s\x0B\x{{00A0}}]+)?', ''), '-–—/|', '     '), '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g'))"
 WORDS_SQL = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 GRAMS_SQL = "[array_to_string(w[i:i + {0} - 1], ' ') FOR i IN range(1, len(w) - {0} + 2)]"
 
@@ -145,15 +145,6 @@ _RARE = f"""WITH s AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({
 df AS (SELECT w FROM s GROUP BY w HAVING count(*) BETWEEN {{0}} AND 14), rare AS (SELECT s.* FROM s JOIN df USING (w))"""
 
 
-@query(_RARE.format(2) + """, pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM rare a JOIN rare b USING (w) WHERE a.id < b.id),
-n AS (SELECT id, list(w) AS ws FROM s GROUP BY id)
-SELECT a, b, len(list_intersect(x.ws, y.ws)) AS common, len(x.ws) AS size_a, len(y.ws) AS size_b FROM pairs JOIN n x ON x.id = a JOIN n y ON y.id = b
-WHERE 10 * len(list_intersect(x.ws, y.ws)) >= 6 * least(len(x.ws), len(y.ws))""")
-def overlap_near_dups(s, d):
-    p = matching.rare_word_pairs(_words(s, d), "id", "w", 14)
-    return p.filter(10 * F.col("common") >= 6 * F.least("size_a", "size_b"))
-
-
 @query(_RARE.format(2) + """, pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM rare a JOIN rare b USING (w) WHERE a.id < b.id),
 n AS (SELECT id, list(w) AS ws FROM s GROUP BY id),
 j AS (SELECT a, b, len(list_intersect(x.ws, y.ws)) AS common, len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)) AS whole FROM pairs JOIN n x ON x.id = a JOIN n y ON y.id = b)
@@ -163,26 +154,19 @@ def jaccard_window(s, d):
     return p.filter((100 * F.col("common")).between(18 * F.col("whole"), 62 * F.col("whole")))
 
 
-@query(_RARE.format(1) + f""", q AS (SELECT DISTINCT item_id, unnest({WORDS_SQL.format('text')}) AS w FROM benchmark),
-h AS (SELECT item_id AS id, rare.id AS t, count(*) AS common FROM q JOIN rare USING (w) GROUP BY 1, 2)
-SELECT id, t AS best, common FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, t) = 1""")
-def nearest_by_overlap(s, d):
-    return matching.nearest_by_overlap(_words(s, d, "benchmark", "item_id"), _words(s, d), 14)
-
-
 _SETS = f"""WITH s AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS w FROM documents))"""
 
 
 @query(_SETS + """, n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b USING (w) WHERE a.id < b.id GROUP BY 1, 2)
 SELECT a, b, common, x.n AS size_a, y.n AS size_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * common >= 6 * least(x.n, y.n)""")
-def overlap_near_dups_all_words(s, d):
+def overlap_near_dups(s, d):
     return matching.overlap_pairs(_words(s, d), "id", "w", (6, 10))
 
 
 @query(_SETS + f""", q AS (SELECT DISTINCT item_id, unnest({WORDS_SQL.format('text')}) AS w FROM benchmark),
 h AS (SELECT item_id AS id, s.id AS t, count(*) AS common FROM q JOIN s USING (w) GROUP BY 1, 2)
-SELECT id, t AS best, common FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, t) = 1""")
-def nearest_by_overlap_all_words(s, d):
+SELECT id, t AS best, common, round(common / n, 6) AS score FROM h JOIN (SELECT item_id AS id, count(*) AS n FROM q GROUP BY 1) USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, t) = 1""")
+def nearest_by_overlap(s, d):
     return matching.nearest_by_overlap(_words(s, d, "benchmark", "item_id"), _words(s, d))
 
 
@@ -208,9 +192,9 @@ def tiered_match(s, d):
 
 
 @query("""SELECT canon, string_agg(p_name, '|' ORDER BY p_name) AS members FROM
-(SELECT DISTINCT p_name, array_to_string(list_sort(string_split(replace(replace(p_name, 'small', 'tiny'), 'large', 'big'), ' ')), ' ') AS canon FROM part) GROUP BY canon HAVING count(*) > 1""")
+(SELECT DISTINCT p_name, array_to_string(list_sort(string_split(replace(replace(p_name, 'red', 'hot'), 'blue', 'cold'), ' ')), ' ') AS canon FROM part) GROUP BY canon HAVING count(*) > 1""")
 def collision_under_canon(s, d):
-    canon = F.array_join(F.array_sort(F.split(F.replace(F.replace("p_name", F.lit("small"), F.lit("tiny")), F.lit("large"), F.lit("big")), " ")), " ")
+    canon = F.array_join(F.array_sort(F.split(F.replace(F.replace("p_name", F.lit("red"), F.lit("hot")), F.lit("blue"), F.lit("cold")), " ")), " ")
     return matching.collisions(table(s, d, "part"), canon, "p_name")
 
 
