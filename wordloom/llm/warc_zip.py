@@ -9,7 +9,7 @@ Files are reached through ``pyarrow.fs`` in the tasks, so any shared store that
 under a name of its attempt and renamed when whole: a task that is tried again replaces it.
 
 Defined results: a null payload is empty; equal payloads of at least ``least_bytes`` bytes are one response (the largest
-id) and revisits of it; rows alike in id, url and payload are each a response; an empty table gives no packages and no records; a null id is written as an empty id, is the smallest, and reads back null.
+id) and revisits of it; of rows alike in id, url and payload, one is the response and the others revisit it; an empty table gives no packages and no records; a null id is written as an empty id, is the smallest, and reads back null.
 """
 
 from __future__ import annotations
@@ -159,15 +159,22 @@ def _filesystem(uri: str):
 
 
 def _of_largest(pages: DataFrame, key: Column, id_: str) -> DataFrame:
-    """``pages`` and ``_m``: the largest (id, row hash) among rows of equal key.
+    """``pages`` with ``lead``, true of the one row of largest (id, row hash) among rows of equal key, and ``first``, its id.
 
-    Two steps over salted keys, so that a payload of a third of all pages is spread over many tasks.
+    Two steps over salted keys, so that a payload of a third of all pages is spread over many tasks. Rows that are the same in
+    all columns can't be told apart: where such rows are the largest, one of them stands for all and is then repeated.
     """
     salted = pages.withColumns({"_key": key, "_salt": F.pmod(F.xxhash64(id_), F.lit(SALTS))})
-    parts = salted.groupBy("_key", "_salt").agg(F.max(F.struct(F.col(id_).alias("id"), F.col("_row").alias("row"))).alias("m"))
-    parts = written(parts, "payload-parts")
+    parts = salted.groupBy("_key", "_salt", F.col(id_).alias("id"), F.col("_row").alias("row")).agg(F.count("*").alias("n"))
+    parts = written(parts.groupBy("_key", "_salt").agg(F.max(F.struct("id", "row", "n")).alias("m")), "payload-parts")
     spread = parts.select("_key", "_salt").join(parts.groupBy("_key").agg(F.max("m").alias("_m")), "_key")
-    return salted.join(spread, ["_key", "_salt"]).drop("_key", "_salt")
+    largest = F.col(id_).eqNullSafe(F.col("_m.id")) & (F.col("_row") == F.col("_m.row"))
+    rows = salted.join(spread, ["_key", "_salt"]).withColumns({"lead": largest, "first": F.col("_m.id")})
+    if not parts.filter("m.n > 1").isEmpty():
+        same = F.col("lead") & (F.col("_m.n") > 1)
+        one = rows.filter(same).dropDuplicates(["_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m.n"))))
+        rows = rows.filter(~same).unionByName(one.withColumn("lead", F.col("_copy") == 1).drop("_copy"))
+    return rows.drop("_key", "_salt", "_m")
 
 
 def write_packages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -175,11 +182,11 @@ def write_packages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     spark = pages.sparkSession
     tune(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    # a row's own number tells rows of equal id apart; small payloads and lone ids get keys of their own
+    # a row's hash tells rows of equal id apart; small payloads get keys of their own
     rows = rows.withColumn("_row", F.xxhash64("page_id", "url", "payload"))
     own = F.concat_ws("/", F.lit(""), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "_row")
     rows = _of_largest(rows, F.concat(F.sha2("payload", 256), F.when(F.octet_length("payload") < least_bytes, own).otherwise("")), "page_id")
-    rows = rows.select("page_id", "url", "payload", (F.col("page_id").eqNullSafe(F.col("_m.id")) & (F.col("_row") == F.col("_m.row"))).alias("lead"), F.col("_m.id").alias("first"))
+    rows = rows.select("page_id", "url", "payload", "lead", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _filesystem(path)
