@@ -1,8 +1,9 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
-Per document, text statistics are computed once. Per (language, source) they go into mergeable KLL quantile sketches
-(built map-side, merged after the shuffle, so a source that holds a third of all rows costs its tasks one sketch each).
-Cutoffs are read off the sketches as robust fences, and a join brings each document its group's cutoffs. Junk raises the
+Per document, text statistics are computed once. Per (language, source) they go into mergeable quantile sketches: counts in
+bins of ``ERROR`` relative width, at most about 4,000 of them a metric, counted map-side and summed after the shuffle, so a
+source that holds a third of all rows costs its tasks one sketch each. Sums of counts depend on no order and no chance:
+reruns, retries and other partitionings give the same cutoffs. Cutoffs are read off the sketches as robust fences, and a join brings each document its group's cutoffs. Junk raises the
 ratios of symbols, repeated lines and repeated words, so their fences stand on the lowest 30 % of a group and hold with up
 to 60 % of junk in it. Word lengths go wrong both ways, so their fences stand on the median of the whole language, whose other
 sources tell what its words are like; a source that lies beyond those in nine of ten texts is of its own kind and has its own.
@@ -14,9 +15,11 @@ replaced by them.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import SPACES, arrow_map, as_bytes, tune, written
@@ -27,8 +30,9 @@ SYMBOLS = b"#*$%&|<>"
 #: The base rule: fewer words than this, or a larger percentage of words in repeated 3-word windows, fails.
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 
-#: Rows of a sketch's lowest level: rank error about 0.7 %, exact for groups of up to as many rows.
-SKETCH_K = 400
+#: Relative error of a quantile, and the bin of the value 1: bins of smaller values down to 1e-8 have positive numbers.
+ERROR, ONE = 0.005, 2000
+_GAMMA = (1 + ERROR) / (1 - ERROR)
 
 #: Groups whose cutoffs are broadcast at most (about 100 bytes each); more are joined by shuffle.
 MOST_BROADCAST_GROUPS = 20_000
@@ -105,23 +109,52 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _bin(x: Column) -> Column:
+    """The bin of a value: 0 for 0, negative for negative ones; bins are in the order of values."""
+    i = F.greatest(F.ceil(F.log(F.abs(x)) / math.log(_GAMMA)) + ONE, F.lit(1).cast("long"))
+    return F.when(F.abs(x) < 1e-8, F.lit(0).cast("long")).otherwise((F.signum(x) * i).cast("long"))
+
+
+def _middle(bin_: Column) -> Column:
+    """A value within ``ERROR`` of all in the bin."""
+    return F.signum(bin_) * F.pow(F.lit(_GAMMA), F.abs(bin_) - ONE) * (2 / (_GAMMA + 1)) * (bin_ != 0).cast("int")
+
+
+def sketches(features: DataFrame) -> DataFrame:
+    """(lang, source, rule, bin, n) of all texts with words."""
+    bins = F.array(*[F.struct(F.lit(name).alias("rule"), _bin(metric()).alias("bin")) for name, metric, *_ in RULES])
+    return features.filter("n_words > 0").select("lang", "source", F.inline(bins)).groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys, and for each rule and share ``rule_percent``: the least value that so many are at most as large as. A sketch has
+    a bounded number of rows."""
+    by = Window.partitionBy(*keys, "rule")
+    runs = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
+    runs = runs.withColumns({"_upto": F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(by)})
+    at = [F.min(F.when((F.col("rule") == name) & (100 * F.col("_upto") >= round(100 * q) * F.col("_all")), F.col("bin"))).alias(f"{name}_{round(100 * q)}") for name, *_ in RULES for q in shares]
+    found = runs.groupBy(*keys).agg(*at)
+    return found.select(*keys, *[_middle(F.col(c)).alias(c) for c in found.columns if c not in keys])
+
+
 def cutoffs(features: DataFrame) -> DataFrame:
     """Per (lang, source): the largest passing value of each rule, from quantile sketches of all texts with words."""
-    sketched = features.filter("n_words > 0").groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(metric(), F.lit(SKETCH_K)).alias(name) for name, metric, *_ in RULES])
+    sketch = written(sketches(features), "quality-sketches")
+    shares = sorted({x for _, _, q, low, *_ in RULES for x in (0.1, q, low)})
     pooled = [x[0] for x in RULES if x[-1]]
 
     def fences(names: list[str], prefix: str) -> list[Column]:
         out = []
         for name, _, q, low, reach, floor, _ in RULES:
             if name in names:
-                edge, lower = (F.kll_sketch_get_quantile_double(name, F.lit(x)) for x in (q, low))
+                edge, lower = (F.col(f"{name}_{round(100 * x)}") for x in (q, low))
                 out.append((edge + F.greatest(F.lit(floor), reach * (edge - lower))).alias(f"{prefix}{name}"))
         return out
 
     # the sketches of a language's sources merge into the language's
-    languages = sketched.groupBy("lang").agg(*[F.kll_merge_agg_double(x).alias(x) for x in pooled])
-    languages = languages.select(F.col("lang").alias("_of"), *fences(pooled, "_all_"))
-    limits = sketched.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *fences([x[0] for x in RULES], "_most_"), *[F.kll_sketch_get_quantile_double(x, F.lit(0.1)).alias(f"_low_{x}") for x in pooled])
+    languages = quantiles(sketch, ["lang"], shares).select(F.col("lang").alias("_of"), *fences(pooled, "_all_"))
+    groups = quantiles(sketch, ["lang", "source"], shares)
+    limits = groups.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *fences([x[0] for x in RULES], "_most_"), *[F.col(f"{x}_10").alias(f"_low_{x}") for x in pooled])
     limits = limits.join(languages, F.col("_lang").eqNullSafe(F.col("_of")))
     own = {f"_most_{x}": F.when(F.col(f"_low_{x}") > F.col(f"_all_{x}"), F.col(f"_most_{x}")).otherwise(F.col(f"_all_{x}")) for x in pooled}
     return limits.withColumns(own).drop("_of", *[f"_all_{x}" for x in pooled], *[f"_low_{x}" for x in pooled])
