@@ -57,6 +57,12 @@ def test_warc_small_payloads_stay_responses(spark):
     assert out == {1: ("response", b"aa"), 2: ("response", b"aa"), 3: ("revisit", None), 4: ("response", b"bbbb")}
 
 
+def test_rows_alike_have_one_response(spark):
+    pages = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (5, "u", "same"), (3, "u", "same"), (7, "v", "own")], "page_id long, url string, html string")
+    out = rows_of(warc_zip.archived(pages).select("page_id", "record_type", "refers_to"))
+    assert out == sorted([(5, "response", None), (5, "revisit", 5), (5, "revisit", 5), (3, "revisit", 5), (7, "response", None)], key=str)
+
+
 def test_zip64_directories(tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name in ("archive/data.warc.gz", "indexes/index.cdx"):
@@ -579,6 +585,18 @@ def test_a_source_full_of_junk_keeps_its_good_documents_only(spark, share):
 # ---- 10
 
 
+def test_cutoffs_depend_on_no_partitioning(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(prose(rng, rng.randrange(60, 90)).split() + ["#"] * rng.randrange(9)), "en", f"s{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    first, second = (rows_of(quality_sketch.quality(x).select("doc_id", "kept", "broken_rule")) for x in (df.repartition(7), df.orderBy(F.rand(3)).coalesce(1)))
+    assert first == second
+    # and quantiles are those of the values, within the sketch's error
+    got = quality_sketch.quantiles(quality_sketch.sketches(quality_sketch.with_features(df)), ["lang"], [0.3]).first()
+    symbols = sorted(quality_sketch.text_features(t.encode())[2] / quality_sketch.text_features(t.encode())[0] for _, t, *_ in rows)
+    assert got["symbol_ratio_30"] == pytest.approx(symbols[119], rel=0.006, abs=1e-9)
+
+
 def brute_hits(text, items, window=13):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))

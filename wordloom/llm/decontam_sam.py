@@ -2,8 +2,12 @@
 
 The automaton holds every run of words of every item. A document's words stream through it; at each word it knows the
 longest run ending there that some item contains. A run of at least ``WINDOW`` words, or one equal to a shorter whole
-item, is an occurrence; its words are hit. Items are read to the driver in shards of at most ``SHARD_WORDS`` words (a
-few automata of bounded size, broadcast; an item longer than a shard stands alone); documents are read once for all.
+item, is an occurrence; its words are hit.
+
+Items are read to the driver in shards of at most ``SHARD_WORDS`` words (a longer item stands alone), and driver, broadcast
+and tasks hold one shard and its automaton at a time. With a single shard, one pass over the texts gives the results. With
+more, each shard is broadcast for a pass of its own, which writes the hit ranges and items of the texts that have some; they
+are united by text and joined to the documents at the end. So memory doesn't grow with the benchmark; passes do.
 
 Defined results: a null or empty text has no words and no hits; items without words are skipped; equal items under
 several ids all count; items with null ids take part in hits but not in the id list; repeated document rows are judged
@@ -13,6 +17,7 @@ one by one; empty tables give empty results, and no items give no hits.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_map, as_bytes, ascii_lower_table, tune
+from wordloom.llm.common import arrow_map, as_bytes, ascii_lower_table, tune, written
 
 WINDOW = 13
 
@@ -146,37 +151,76 @@ def shards(benchmark: DataFrame, most: int = SHARD_WORDS) -> Iterator[list[tuple
         yield now
 
 
-def _scanner(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int):
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(x) for x in shards(benchmark, shard_words)]
+def _ranges(hit: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    return [{"a": a, "z": z} for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
 
-    def setup() -> list[Automaton]:
-        return [Automaton(x.value, window) for x in sent]
+_FOUND = "_ranges array<struct<a:bigint,z:bigint>>, _items array<string>"
 
-    def scan(automata: list[Automaton], text: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        hit = np.zeros(len(text), bool)
-        items = {a.ids[k] for a in automata for k in a.scan(text, hit)}
-        return hit, {x for x in items if x is not None}
 
-    return setup, scan
+def _prepared(docs: DataFrame, text: str, benchmark: DataFrame, window: int, shard_words: int):
+    """``docs`` with columns ``_ranges`` and ``_items`` (hits found so far), and what makes the automaton that finds them all
+    (None: they are found)."""
+    sc = docs.sparkSession.sparkContext
+    groups = shards(benchmark, shard_words)
+    now, later = next(groups, []), next(groups, None)
+    if later is None:
+        sent = sc.broadcast(now)
+        empty = [F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in _FOUND.split(", ")]
+        return docs.select("*", *empty), lambda: Automaton(sent.value, window)
+    keyed = docs.select("*", F.xxhash64(text).alias("_h1"), F.md5(text).alias("_h2"))
+    texts = keyed.select("_h1", "_h2", F.col(text).alias("_t"))
+    found = None
+    for group in itertools.chain((now, later), groups):
+        sent = sc.broadcast(group)
+
+        def run(batch: pa.RecordBatch, automaton: Automaton) -> dict:
+            out: dict[str, list] = {c: [] for c in ("at", "_ranges", "_items")}
+            for i, t in enumerate(as_bytes(batch.column("_t"))):
+                w = words(t)
+                hit = np.zeros(len(w), bool)
+                if items := automaton.scan(w, hit):
+                    out["at"].append(i), out["_ranges"].append(_ranges(hit)), out["_items"].append([x for k in items if (x := automaton.ids[k]) is not None])
+            at = pa.array(out.pop("at"), pa.int64())
+            return {c: batch.column(c).take(at) for c in ("_h1", "_h2")} | out
+
+        part = written(arrow_map(texts, "_t", run, f"_h1 long, _h2 string, {_FOUND}", lambda sent=sent: Automaton(sent.value, window)), "shard-hits")
+        sent.unpersist()
+        part = part.dropDuplicates(["_h1", "_h2"])
+        found = part if found is None else found.unionByName(part)
+    # a text has at most one row a shard
+    united = found.groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("_ranges")).alias("_ranges"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+    return keyed.join(united, ["_h1", "_h2"], "left").drop("_h1", "_h2"), None
+
+
+def _hits(batch: pa.RecordBatch, text: str, automaton: Automaton | None) -> Iterator[tuple[list[bytes], np.ndarray, set[str], bytes | None]]:
+    """Of each row its words, which of them are hit, the ids of the items, and the text."""
+    known = zip(batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist(), strict=True)
+    for t, (ranges, items) in zip(as_bytes(batch.column(text)), known, strict=True):
+        w = words(t)
+        hit = np.zeros(len(w), bool)
+        if automaton is not None:
+            items = [x for k in automaton.scan(w, hit) if (x := automaton.ids[k]) is not None]
+        for r in ranges or ():
+            hit[r["a"] : r["z"]] = True
+        yield w, hit, set(items or ()), t
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (sorted), items_sha256 and contaminated of every document."""
     tune(docs.sparkSession)
-    setup, scan = _scanner(docs, benchmark, window, shard_words)
+    rows, setup = _prepared(docs.select("doc_id", "text"), "text", benchmark, window, shard_words)
 
-    def run(batch: pa.RecordBatch, automata: list[Automaton]) -> dict:
+    def run(batch: pa.RecordBatch, automaton: Automaton | None = None) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated")}
-        for text in as_bytes(batch.column("text")):
-            w = words(text)
-            hit, items = scan(automata, w)
+        for w, hit, items, _ in _hits(batch, "text", automaton):
             n, ids = int(hit.sum()), sorted(items)
             for c, x in zip(out, (len(w), n, len(ids), ids, hashlib.sha256(",".join(ids).encode()).hexdigest(), n > 0 and 100 * n >= LEAST_PERCENT * len(w)), strict=True):
                 out[c].append(x)
         return {"doc_id": batch.column("doc_id")} | out
 
-    return arrow_map(docs.select("doc_id", "text"), "text", run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, item_ids array<string>, items_sha256 string, contaminated boolean", setup)
+    return arrow_map(rows, "text", run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, item_ids array<string>, items_sha256 string, contaminated boolean", setup)
 
 
 def cut(text: bytes, w: list[bytes], hit: np.ndarray) -> str:
@@ -200,21 +244,19 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     Documents without an occurrence come back as they are. A column n_chars, where there is one, follows the text.
     """
     tune(docs.sparkSession)
-    setup, scan = _scanner(docs, benchmark, window, shard_words)
+    packed = docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    rows, setup = _prepared(packed, "_text", benchmark, window, shard_words)
 
-    def run(batch: pa.RecordBatch, automata: list[Automaton]) -> dict:
+    def run(batch: pa.RecordBatch, automaton: Automaton | None = None) -> dict:
         new: list[str | None] = []
         drop: list[bool] = []
-        for text in as_bytes(batch.column("_text")):
-            w = words(text)
-            hit, _ = scan(automata, w)
+        for w, hit, _, text in _hits(batch, "_text", automaton):
             n = int(hit.sum())
             drop.append(n > 0 and 100 * n >= LEAST_PERCENT * len(w))
             new.append(None if not n or drop[-1] else cut(text, w, hit))
         return {"_row": batch.column("_row"), "_drop": drop, "_cut": new}
 
-    packed = docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
-    out = arrow_map(packed, "_text", run, f"_row {packed.schema['_row'].dataType.simpleString()}, _drop boolean, _cut string", setup).filter("NOT _drop")
+    out = arrow_map(rows, "_text", run, f"_row {packed.schema['_row'].dataType.simpleString()}, _drop boolean, _cut string", setup).filter("NOT _drop")
     text = F.coalesce("_cut", F.col("_row.text"))
     changed = {"text": text, "n_chars": F.when(F.col("_cut").isNull(), F.col("_row.n_chars")).otherwise(F.length("_cut")) if "n_chars" in docs.columns else None}
     return out.select(*[(changed[c] if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
