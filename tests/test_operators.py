@@ -107,7 +107,7 @@ def test_overlap_pairs_in_groups_of_many_copies(spark):
 def test_nearest_by_overlap_counts_frequent_words(spark):
     targets = spark.createDataFrame([(i, w) for i in range(20) for w in ("a", "b")] + [(20, "rare"), (7, "c")], "id int, w string")
     queries = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "rare"), (2, "b")], "id int, w string")
-    assert sorted(map(tuple, matching.nearest_by_overlap(queries, targets).collect())) == [(1, 7, 3), (2, 0, 1)]
+    assert sorted(map(tuple, matching.nearest_by_overlap(queries, targets).select("id", "best", "common").collect())) == [(1, 7, 3), (2, 0, 1)]
 
 
 def test_mastery_equals_a_fold(spark):
@@ -177,6 +177,56 @@ def test_files(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "out")).first()["x"] == "a b"
 
 
+def test_strict_lines_and_corrupt_lines(spark, tmp_path):
+    (tmp_path / "s.tsv").write_text("a\tb\tc\none\n")
+    with pytest.raises(Exception, match="not 3 fields"):
+        files.strict_tsv(spark, str(tmp_path / "s.tsv"), ["x", "y", "z"]).count()
+    with pytest.raises(Exception, match="not 3 fields"):
+        files.strict_tsv(spark, str(tmp_path / "s.tsv"), ["x", "y", "z"]).select("x").collect()
+    (tmp_path / "j.jsonl").write_text('{"k": 1}\n{"k": \n\n{"k": 2, "z": 3}\n')
+    good, bad = files.json_lines(spark, str(tmp_path / "j.jsonl"), "k INT")
+    assert sorted(r[0] for r in good.collect()) == [1, 2] and good.count() == 2 and [r[0] for r in bad.collect()] == ['{"k": ']
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "v.tsv").write_text("big (red) dog\t1\nplain\t2\n")
+    assert sorted(r[0] for r in files.lenient_tsv(spark, str(tmp_path / "v.tsv"), ["w", "n"], variants=True).collect()) == ["big dog", "big red dog", "plain"]
+    (tmp_path / "x.txt").write_text("# no\nkeep\tbecause\n\nkeep\n")
+    assert [r[0] for r in files.exceptions(spark, str(tmp_path / "x.txt")).collect()] == ["keep"]
+    (tmp_path / "w.txt").write_text(" one \n#c\n\none\ntwo\n")
+    assert sorted(r[0] for r in files.word_list(spark, str(tmp_path / "w.txt")).collect()) == ["one", "two"]
+    for k in (1, 2):
+        (tmp_path / f"unit-{k}-words.tsv").write_text(f"w{k}\n")
+    assert [tuple(r) for r in files.other_files(spark, str(tmp_path / "unit-*-words.tsv"), "unit-2-words.tsv").collect()] == [("unit-1-words.tsv", "w1")]
+    (tmp_path / "c" / "d").mkdir(parents=True)
+    (tmp_path / "c" / "a.md").write_text("One two")
+    (tmp_path / "c" / "d" / "b.md").write_text("two two")
+    assert sorted(map(tuple, files.corpus_tokens(spark, str(tmp_path / "c"), "md").collect())) == [("one", 1, 1), ("two", 2, 3)]
+    (tmp_path / "dump.xml").write_text("<page><title>A</title><text>x\n# a [[b|c]] {{d}}\n## no\n</text></page><page><title>B</title><redirect title=\"A\" /><text></text></page>")
+    assert sorted(map(tuple, files.dump_entries(spark, str(tmp_path / "dump.xml")).collect())) == [("A", None, ["a c"]), ("B", "A", [])]
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    files.write_tsv(rows.coalesce(1), str(tmp_path / "t"), "made by hand")
+    assert next((tmp_path / "t").glob("part-*")).read_text() == "# made by hand\nk\tv\n1\ta\n2\tb\n"
+    files.write_json(rows, str(tmp_path / "j"))
+    files.write_json(rows, str(tmp_path / "j"), "append")
+    assert spark.read.json(str(tmp_path / "j")).count() == 4
+    lines = spark.createDataFrame([("a",), ("b",), ("a",)], "value string")
+    assert files.fingerprint(lines).first() == files.fingerprint(lines.orderBy(F.desc("value")).repartition(3)).first() != files.fingerprint(lines.distinct()).first()
+
+
+def test_short_passages_are_found(spark):
+    texts = spark.createDataFrame([(1, "the big red dog ran"), (2, "bigger"), (3, None)], "id long, text string")
+    passages = spark.createDataFrame([(1, "big red dog"), (2, "big"), (3, "e big red dog ra"), (4, ""), (5, "red dog")], "id long, text string")
+    assert sorted(map(tuple, matching.contained(passages, texts).collect())) == [(1, 1), (2, 1), (2, 2), (3, 1), (5, 1)]
+
+
+def test_ordinals_hold_on_many_rows(spark):
+    """More rows than range bounds are sampled from: both sides of the numbering must see one partitioning."""
+    df = spark.range(0, 200_000, 1, 7).select(F.xxhash64("id").alias("v"), F.lit("x").alias("wide"))
+    out = with_ordinal(df, F.col("v")).agg(F.count_distinct("ordinal"), F.max("ordinal")).first()
+    assert tuple(out) == (200_000, 200_000)
+
+
 def test_streams_equal_batches(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet")
     e.withColumn("p", F.col("event_id") % 3).repartition(3, "p").drop("p").write.parquet(str(tmp_path / "in"))
