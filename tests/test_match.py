@@ -193,7 +193,7 @@ def test_merge_takes_the_later_side_and_caps_clocks(spark):
     out = {r["k"]: r for r in progress.merged(local, remote, ["k"], F.lit(now), spark.createDataFrame([("d",)], "k string")).collect()}
     assert set(out) == {"a", "b", "c", "e"} and out["a"]["level"] == 1 and out["a"]["seen"] == 2
     assert out["b"]["level"] == 3 and out["b"]["last"] == now + timedelta(minutes=5)
-    assert out["c"]["t0"] == now - timedelta(days=3) and out["c"]["sens"] == [1, 2, 3] and out["e"]["src"] == "lv"
+    assert out["c"]["t0"] == now - timedelta(days=3) and out["c"]["sens"] == [1, 2, 3] and out["e"]["src"] == "lv" and out["e"]["last"] == now
 
 
 def test_guards(spark):

@@ -65,7 +65,8 @@ def merged(local: DataFrame, remote: DataFrame, keys: list[str], now: Column, re
         both = both.join(restored.select(*keys).distinct().withColumn("_back", F.lit(True)), keys, "left")
         both = both.filter(~(F.col("l").isNull() & (F.col("r.src") == "lv") & F.col("_back")) | F.col("_back").isNull() | F.col("l").isNotNull() | F.col("r.src").isNull())
     cap = now + F.expr("INTERVAL 5 MINUTES")
-    la, ra = F.least(F.col("l.last"), cap), F.least(F.col("r.last"), cap)
+    # least() passes over nulls, and a side without a record must not get the cap for a clock
+    la, ra = (F.when(F.col(f"{x}.last").isNotNull(), F.least(F.col(f"{x}.last"), cap)) for x in "lr")
     newer_remote = F.col("l").isNull() | (F.col("r").isNotNull() & F.coalesce(ra > la, la.isNull() & ra.isNotNull()))
     pick = lambda c: F.when(newer_remote, F.col(f"r.{c}")).otherwise(F.col(f"l.{c}"))
     none = F.array().cast("array<int>")

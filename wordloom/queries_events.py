@@ -31,7 +31,7 @@ _SIDE = """SELECT user_id, event_type, count(*) AS seen, count(*) FILTER (value
 CASE WHEN max(event_id) % 7 = 0 THEN 'lv' END AS src, list_sort(list(DISTINCT (event_id % 8)::INT)) AS sens, max(event_id % 3)::INT AS k0 FROM events WHERE event_id % 2 = {0} GROUP BY 1, 2"""
 
 
-@query(f"""WITH n AS (SELECT max(ts) - INTERVAL 6 MINUTE AS now FROM events), l AS ({_SIDE.format(0)}), r AS ({_SIDE.format(1)}), j AS (SELECT coalesce(l.user_id, r.user_id) AS user_id, coalesce(l.event_type, r.event_type) AS event_type, l, r, least(l.last, now + INTERVAL 5 MINUTE) AS la, least(r.last, now + INTERVAL 5 MINUTE) AS ra FROM n, l FULL JOIN r ON l.user_id = r.user_id AND l.event_type = r.event_type)
+@query(f"""WITH n AS (SELECT max(ts) - INTERVAL 6 MINUTE AS now FROM events), l AS ({_SIDE.format(0)}), r AS ({_SIDE.format(1)}), j AS (SELECT coalesce(l.user_id, r.user_id) AS user_id, coalesce(l.event_type, r.event_type) AS event_type, l, r, CASE WHEN l.last IS NOT NULL THEN least(l.last, now + INTERVAL 5 MINUTE) END AS la, CASE WHEN r.last IS NOT NULL THEN least(r.last, now + INTERVAL 5 MINUTE) END AS ra FROM n, l FULL JOIN r ON l.user_id = r.user_id AND l.event_type = r.event_type)
 SELECT user_id, event_type, greatest(l.seen, r.seen) AS seen, greatest(l.first, r.first) AS first, greatest(l.ever, r.ever) AS ever, greatest(l.wrong, r.wrong) AS wrong, CASE WHEN la IS NULL OR ra > la THEN r.level ELSE l.level END AS level, greatest(la, ra) AS last, least(l.t0, r.t0) AS t0,
 CASE WHEN la IS NULL OR ra > la THEN r.src ELSE l.src END AS src, array_to_string(list_sort(list_distinct(coalesce(l.sens, []) || coalesce(r.sens, []))), ',') AS sens, greatest(l.k0, r.k0) AS k0 FROM j""".replace("FROM n, l FULL JOIN r ON l.user_id = r.user_id AND l.event_type = r.event_type)", "FROM l FULL JOIN r ON l.user_id = r.user_id AND l.event_type = r.event_type, n)"))
 def merge_progress(s, d):
