@@ -30,6 +30,7 @@ import html as entities
 import re
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -224,9 +225,14 @@ def templates(pages: DataFrame) -> DataFrame:
     ``pages`` has host and html.
     """
 
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("token", "parent", "n", "depth", "own")]))
+
     def run(batch: pa.RecordBatch) -> dict:
         rows = [tokens_of(x) for x in batch.column("html").to_pylist()]
-        return {"host": batch.column("host"), "page": [r[0] for r in rows], "tokens": [[dict(zip(("token", "parent", "n", "depth", "own"), t, strict=True)) for t in r[1]] for r in rows]}
+        flat = np.array([t for r in rows for t in r[1]], np.int64).reshape(-1, 5)
+        ends = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], ["token", "parent", "n", "depth", "own"]))
+        return {"host": batch.column("host"), "page": [r[0] for r in rows], "tokens": tokens.cast(kind)}
 
     seen = written(arrow_map(pages.select("host", "html"), "html", run, "host string, page long, tokens array<struct<token:bigint,parent:bigint,n:bigint,depth:bigint,own:bigint>>"), "page-tokens")
     # one row for each different page of a host
@@ -276,7 +282,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         texts = []
         for page, host, slot in zip(batch.column("html").to_pylist(), batch.column("template"), batch.column("slot").to_pylist(), strict=True):
-            tokens = frozenset(host.as_py() or ()) if host.is_valid else frozenset()
+            tokens = frozenset(host.values.to_pylist()) if host.is_valid else frozenset()
             texts.append("\n".join(main_blocks(page, tokens, slot)))
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": list(map(len, texts))}
 
