@@ -2,6 +2,12 @@
 
 ``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``; the last returns one row of each sampled segmentation, with its token ids.
+
+Defined results: rows with a null or empty text fail the quality rules; later stages, given such rows, keep them (a null
+text has no segmentation, an empty one a single empty one). Rows of equal doc_id are judged one by one by their text, but
+count as one document where documents are counted and are near-duplicates of one another only by their texts; null doc_ids
+are never near-duplicates. Columns beyond those of ``documents`` pass through, whatever their names, up to the last stage. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
