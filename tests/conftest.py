@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from wordloom.plans.session import session
 
-    s = session("local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "2g", "spark.driver.host": "127.0.0.1"})
+    s = session("local[4]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "2g", "spark.driver.host": "127.0.0.1"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
