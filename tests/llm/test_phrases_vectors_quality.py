@@ -63,13 +63,13 @@ def phrase_rows(rng):
     return [(rng.choice(["en", "en", "en", None, "und", "日"]), t) for t in [*texts, *EDGES, "a b c d e a b c d e", "x " * 3000, ".,;" * 50]]
 
 
-@pytest.mark.parametrize("block_words", [50, 1 << 20])
-def test_phrases_equal_brute_force(spark, block_words):
+@pytest.mark.parametrize(("block_words", "most_sent"), [(50, 1 << 20), (1 << 20, 1 << 20), (50, 0)])
+def test_phrases_equal_brute_force(spark, block_words, most_sent):
     rows = phrase_rows(random.Random(1))
     rows += rows[:20]
     table = spark.createDataFrame([(i, t, lang, 1, 2) for i, (lang, t) in enumerate(rows)], "n long, text string, lang string, id int, phrase int").repartition(3)
     for most_words, least, top in ((5, 4, 1000), (3, 2, 7), (2, 30, 3)):
-        got = phrase_lists.collocations(table, most_words, least, top, block_words)
+        got = phrase_lists.collocations(table, most_words, least, top, block_words, most_sent)
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         assert sorted(map(tuple, got.collect())) == sorted(brute_phrases(rows, most_words, least, top))
 
@@ -96,6 +96,19 @@ def test_positions_never_cross_pieces():
     assert b"".join(phrase_lists._slices(long)) == long and all(x.endswith(b".") for x in list(phrase_lists._slices(long))[:-1])
 
 
+def test_pairs_survive_packing_and_are_found():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 2**40, (3, 500))
+    rows[0, :300] = rows[0, 0]
+    prefix, suffix, n = phrase_lists._summed(*np.concatenate([rows, rows[:, :50]], axis=1))
+    assert n.sum() == rows[2].sum() + rows[2, :50].sum()
+    assert (phrase_lists._unpack_pairs(len(n), phrase_lists._pack_pairs(prefix, suffix, n)) == np.stack([prefix, suffix, n])).all()
+    assert (phrase_lists._find_pairs(prefix, suffix, prefix, suffix) == np.arange(len(n))).all()
+    assert (phrase_lists._find_pairs(prefix, suffix, prefix, suffix + 1)[prefix == prefix[0]] < len(n)).all()
+    assert (phrase_lists._find_pairs(prefix, suffix, np.array([-1, prefix[0]]), np.array([3, 2**41])) == -1).all()
+    assert (phrase_lists._find_pairs(prefix[:0], suffix[:0], prefix, suffix) == -1).all()
+
+
 # ---- 12
 
 

@@ -8,10 +8,11 @@ words which begins one place later, for a phrase can't be frequent unless both a
 the exact number of occurrences in the block; Spark adds up the blocks' lengths, and only frequent phrases keep lists.
 
 Each level is one pass over the blocks for the lengths, a count by Spark, and one pass for the lists of what proved
-frequent. The second pass drops most candidates by a bitmap of the frequent phrases' hashes (8 MB, whatever there is;
-fuller bitmaps only let more through) and an exact join with the table of frequent phrases keeps the others. No
-dictionary is gathered anywhere: words and phrases are rows, and numbers of phrases stand for them in lists. Frequencies of
-all beginnings and ends of a phrase come along from level to level, so that its cuts are scored without another join.
+frequent. Lengths travel sorted and compressed, in as many buckets of phrases as the corpus needs for each to fit a task. For
+the lists, tasks get the frequent phrases' numbers if they are at most ``MOST_SENT`` (and words of ``MOST_SENT_BYTES``);
+if they are more, candidates pass a bitmap of the frequent phrases' hashes (8 MB, whatever there is; fuller bitmaps only let
+more through), then an exact join keeps the frequent ones, and lists meet by block. Frequencies of all beginnings
+and ends of a phrase come along from level to level, so that its cuts are scored without another join.
 
 Defined results: a null or empty text has no words, a null language is ``und``; rows are counted one by one, repeated or not;
 a piece is never split, however long; an empty table gives an empty result; other columns are ignored. Scores are exact.
@@ -38,6 +39,12 @@ MOST_WORDS, LEAST, TOP = 5, 100, 2000
 #: Words of a block (a document is in one block), bits of the bitmap of frequent phrases.
 BLOCK_WORDS, FILTER_BITS = 1 << 20, 1 << 26
 
+#: Frequent phrases whose numbers are sent to all tasks at most (24 bytes each), and bytes of words so sent.
+MOST_SENT, MOST_SENT_BYTES = 1 << 20, 32 << 20
+
+#: Words of the corpus for each bucket of phrases, pairs that a task holds before it sends them.
+BUCKET_WORDS, HELD_PAIRS = 1 << 17, 1 << 22
+
 NO_LANG = "und"
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -166,26 +173,70 @@ def word_lists(docs: DataFrame, words: DataFrame, block_words: int = BLOCK_WORDS
     return lists.join(words.select("id", "lang", "phrase"), ["lang", "phrase"]).select("block", "id", "places")
 
 
+_BLOCK = "block long, ids array<long>, sizes array<int>, places array<int>"
+
+
+def _block_row(block: int, ids: pa.Array, sizes: np.ndarray, places: pa.Array) -> pa.RecordBatch:
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(ids), one(pa.array(sizes, pa.int32())), one(places)], ["block", "ids", "sizes", "places"])
+
+
 def packed(lists: DataFrame) -> DataFrame:
-    """One row a block: ids, lengths and positions of its lists. A block has a bounded number of words."""
+    """Block rows from (block, id, places): ids, lengths and positions of a block's lists. A block has a bounded number of words."""
     import pyarrow.compute as pc
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
         ids, places = (t.column(c).combine_chunks() for c in ("id", "places"))
-        sizes = pc.list_value_length(places).cast(pa.int32())
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.table({"block": t.column("block").slice(0, 1), "ids": one(ids), "sizes": one(sizes), "places": one(places.flatten())})
-
-    out = lists.groupBy("block").applyInArrow(pack, "block long, ids array<long>, sizes array<int>, places array<int>")
-    spark = lists.sparkSession
-    # small row groups: readers hold whole ones
-    out.write.option("parquet.block.size", str(8 << 20)).parquet(path := work_dir(spark, "phrase-blocks"))
-    found = spark.read.schema(out.schema).parquet(path)
+        return pa.Table.from_batches([_block_row(t.column("block")[0].as_py(), ids, pc.list_value_length(places).to_numpy(), places.flatten())])
+
+    return lists.groupBy("block").applyInArrow(pack, _BLOCK)
+
+
+def written_blocks(blocks: DataFrame) -> DataFrame:
+    """Block rows in the shared folder, in small row groups, for readers hold whole ones."""
+    spark = blocks.sparkSession
+    blocks.write.option("parquet.block.size", str(8 << 20)).parquet(path := work_dir(spark, "phrase-blocks"))
+    found = spark.read.schema(blocks.schema).parquet(path)
     found.path = path
     return found
 
 
+def word_blocks(docs: DataFrame, words: DataFrame, block_words: int, most_sent: int = MOST_SENT) -> DataFrame:
+    """Block rows of the frequent ``words`` (id, lang, phrase)."""
+    import pyarrow.compute as pc
+
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.length("phrase") + F.length("lang") + 8), F.lit(0))).first()
+    if n > most_sent or size > MOST_SENT_BYTES:
+        return packed(word_lists(docs, words, block_words))
+    table = words.select("lang", "phrase", "id").toArrow()
+    known = {}
+    for lang in pc.unique(table["lang"]).to_pylist():
+        own = table.filter(pc.equal(table["lang"], lang))
+        known[lang] = own["phrase"].combine_chunks(), own["id"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TaskContext.get().partitionId() << 32
+        for block in _blocks(batches, block_words):
+            ids, at = [], []
+            for lang, found, places in block:
+                if lang not in sent.value:
+                    continue
+                coded = found.dictionary_encode()
+                phrases, numbers = sent.value[lang]
+                place = pc.index_in(coded.dictionary, value_set=phrases)
+                which = pc.fill_null(place, -1).to_numpy()[coded.indices.to_numpy()]
+                ids.append(numbers[which[which >= 0]])
+                at.append(places[which >= 0])
+            if ids:
+                owners, group = np.unique(np.concatenate(ids), return_inverse=True)
+                sizes, lists = _grouped(group, len(owners), np.concatenate(at))
+                yield _block_row(own, pa.array(owners), sizes, lists.values)
+            own += 1
+
+    return docs.select("lang", "text").mapInArrow(run, _BLOCK)
+
+
 def merged(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's lists merged with those one place later: numbers (within ``ids``) of the former and the latter, and positions."""
     order = np.argsort(places, kind="stable")
@@ -194,42 +245,132 @@ def merged(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.n
     return owner[:-1][meets], owner[1:][meets], places[:-1][meets]
 
 
-def _extended(blocks: DataFrame, sent: Broadcast | None) -> DataFrame:
-    """(prefix, suffix, n) of each block's candidates, or with a bitmap also block and places of those in it."""
+def _block_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block's number, ids, and the merged lists' first and second owners and positions."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, sizes, places = (batch.column(c)[row].values.to_numpy() for c in ("ids", "sizes", "places"))
+            yield batch.column("block")[row].as_py(), ids, *merged(ids, sizes, places)
+
+
+def _pack_pairs(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs and counts, byte by byte of all numbers, compressed: high bytes and equal prefixes take hardly any room."""
+    rows = np.stack([np.diff(prefix, prepend=0), suffix, n]).astype("<i8")
+    return pa.compress(rows.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack_pairs(n: int, packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, 24 * n, codec="zstd", asbytes=True), np.uint8)
+    rows = np.ascontiguousarray(raw.reshape(3, 8, n).transpose(0, 2, 1)).view("<i8").reshape(3, n)
+    return np.stack([np.cumsum(rows[0]), rows[1], rows[2]])
+
+
+def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and their sums."""
+    order = np.lexsort((suffix, prefix))
+    prefix, suffix, n = prefix[order], suffix[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])])) if len(prefix) else np.zeros(0, int)
+    return prefix[first], suffix[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def pair_counts(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
+    """(prefix, suffix, f) of all pairs of phrases that follow one another by one word at least ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, sizes, places = (batch.column(c)[row].values.to_numpy() for c in ("ids", "sizes", "places"))
-                first, second, places = merged(ids, sizes, places)
-                if sent is not None:
-                    seen = _in(sent.value, _pair_bits(ids[first], ids[second]))
-                    first, second, places = first[seen], second[seen], places[seen]
-                keys, group = np.unique(first * np.int64(len(ids)) + second, return_inverse=True)
-                prefix, suffix = ids[keys // max(len(ids), 1)], ids[keys % max(len(ids), 1)]
-                if sent is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(suffix), pa.array(np.bincount(group, minlength=len(keys)))], ["prefix", "suffix", "n"])
-                else:
-                    _, lists = _grouped(group, len(keys), places)
-                    block = pa.array(np.full(len(keys), batch.column("block")[row].as_py()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([block, pa.array(prefix), pa.array(suffix), lists], ["block", "prefix", "suffix", "places"])
-
-    return blocks.mapInArrow(run, "prefix long, suffix long, n long" if sent is None else "block long, prefix long, suffix long, places array<int>")
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def send() -> pa.RecordBatch:
+            prefix, suffix, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bucket = (mix64(mix64(prefix) + suffix.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            parts = [order[a:b] for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array(list(map(len, parts)), pa.int32()), pa.array([_pack_pairs(prefix[x], suffix[x], n[x]) for x in parts], pa.binary())], ["bucket", "n", "pairs"])
+
+        for _, ids, first, second, _ in _block_lists(batches):
+            keys, n = np.unique(first * np.int64(len(ids)) + second, return_counts=True)
+            if len(keys):
+                held.append((ids[keys // len(ids)], ids[keys % len(ids)], n))
+            if sum(len(x[0]) for x in held) > HELD_PAIRS:
+                yield send()
+                held = []
+        if held:
+            yield send()
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = [_unpack_pairs(n, x) for n, x in zip(t.column("n").to_pylist(), t.column("pairs").to_pylist(), strict=True)]
+        prefix, suffix, n = _summed(*np.concatenate(rows, axis=1))
+        often = n >= least
+        return pa.table({"prefix": prefix[often], "suffix": suffix[often], "f": n[often]})
+
+    return blocks.mapInArrow(run, "bucket int, n int, pairs binary").groupBy("bucket").applyInArrow(add, "prefix long, suffix long, f long")
+
+
+def pair_lists(blocks: DataFrame, sent: Broadcast) -> DataFrame:
+    """(block, prefix, suffix, places) of each block's pairs that are in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, first, second, places in _block_lists(batches):
+            seen = _in(sent.value, _pair_bits(ids[first], ids[second]))
+            first, second, places = first[seen], second[seen], places[seen]
+            keys, group = np.unique(first * np.int64(len(ids)) + second, return_inverse=True)
+            _, lists = _grouped(group, len(keys), places)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block), pa.int64()), pa.array(ids[keys // max(len(ids), 1)]), pa.array(ids[keys % max(len(ids), 1)]), lists], ["block", "prefix", "suffix", "places"])
+
+    return blocks.mapInArrow(run, "block long, prefix long, suffix long, places array<int>")
 
 
 #: starts and ends: frequencies of a phrase's beginnings and ends, shortest first.
 _FREQUENT = ("id", "lang", "phrase", "last", "f", "starts", "ends", "prefix", "suffix")
 
 
-def longer(blocks: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
+def longer(blocks: DataFrame, phrases: DataFrame, least: int, buckets: int) -> DataFrame:
     """Frequent phrases of one word more than ``phrases``, whose lists ``blocks`` holds."""
-    counts = _extended(blocks, None).groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    counts = pair_counts(blocks, least, buckets)
     one = phrases.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("_start"), F.concat("starts", F.array("f")).alias("starts"))
     two = phrases.select(F.col("id").alias("suffix"), "last", F.concat("ends", F.array("f")).alias("ends"))
     rows = counts.join(one, "prefix").join(two, "suffix").withColumn("phrase", F.concat("_start", F.expr("X'20'"), "last"))
     return written(rows.withColumn("id", F.monotonically_increasing_id()).select(*_FREQUENT), "phrases")
 
 
+def longer_blocks(blocks: DataFrame, phrases: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """Block rows of ``phrases``, from those of phrases of one word less."""
+    if phrases.count() > most_sent:
+        return packed(longer_lists(blocks, phrases))
+    table = phrases.select("prefix", "suffix", "id").toArrow()
+    prefix, suffix, ids = (table[c].to_numpy() for c in ("prefix", "suffix", "id"))
+    order = np.lexsort((suffix, prefix))
+    sent = blocks.sparkSession.sparkContext.broadcast((prefix[order], suffix[order], ids[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, suffix, numbers = sent.value
+        for block, ids, first, second, places in _block_lists(batches):
+            # positions of the block's ids among the sent ones, then of its pairs within a prefix's run
+            keys, group = np.unique(first * np.int64(len(ids)) + second, return_inverse=True)
+            a, b = ids[keys // max(len(ids), 1)], ids[keys % max(len(ids), 1)]
+            place = _find_pairs(prefix, suffix, a, b)
+            seen = place[group] >= 0
+            owners, group = np.unique(place[group[seen]], return_inverse=True)
+            if len(owners):
+                sizes, lists = _grouped(group, len(owners), places[seen])
+                yield _block_row(block, pa.array(numbers[owners]), sizes, lists.values)
+
+    return blocks.mapInArrow(run, _BLOCK)
+
+
+def _find_pairs(prefix: np.ndarray, suffix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where each pair (a, b) stands among the pairs sorted by prefix and suffix; -1: nowhere."""
+    low, high = np.searchsorted(prefix, a, "left"), np.searchsorted(prefix, a, "right")
+    end = high.copy()
+    while (open_ := low < high).any():  # the binary searches of all pairs, a step at a time
+        mid = (low + high) // 2
+        less = open_ & (suffix[np.minimum(mid, len(suffix) - 1)] < b)
+        low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+    hit = low < end
+    hit[hit] = suffix[low[hit]] == b[hit]
+    return np.where(hit, low, -1)
+
+
 def longer_lists(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     """(block, id, places) of ``phrases``, from the lists of phrases of one word less."""
 
@@ -238,7 +379,7 @@ def longer_lists(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_pair_bits(b.column("prefix").to_numpy(), b.column("suffix").to_numpy()))], ["bit"])
 
     sent = _bitmap(phrases.select("prefix", "suffix").mapInArrow(hashed, "bit long"))
-    return _extended(blocks, sent).join(phrases.select("id", "prefix", "suffix"), ["prefix", "suffix"]).select("block", "id", "places")
+    return pair_lists(blocks, sent).join(phrases.select("id", "prefix", "suffix"), ["prefix", "suffix"]).select("block", "id", "places")
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -250,7 +391,7 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("f").alias("a"), "_best.l", "_best.r", "n", "_best.score")
 
 
-def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, top: int = TOP, block_words: int = BLOCK_WORDS) -> DataFrame:
+def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, top: int = TOP, block_words: int = BLOCK_WORDS, most_sent: int = MOST_SENT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: the ``top`` phrases of each language (columns text, lang)."""
     spark = docs.sparkSession
     tune(spark)
@@ -262,11 +403,12 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEA
     level = written(level, "phrases")
     drop(words)
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    blocks, levels = packed(word_lists(docs, level, block_words)), []
+    buckets = min(max((totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS, 16), 1 << 24)
+    blocks, levels = written_blocks(word_blocks(docs, level, block_words, most_sent)), []
     found = None
     for k in range(2, most_words + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are whole blocks
-        above = longer(blocks, level, least)
+        above = longer(blocks, level, least, buckets)
         levels.append(level)
         # a phrase inside one more often or as often found is told by the phrases of one word more
         inside = above.select(F.explode(F.array("prefix", "suffix")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("_within"))
@@ -275,7 +417,7 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEA
             found = kept.select(*_FREQUENT) if found is None else found.unionByName(kept.select(*_FREQUENT))
         level = above
         if k < most_words:
-            before, blocks = blocks, packed(longer_lists(blocks, level))
+            before, blocks = blocks, written_blocks(longer_blocks(blocks, level, most_sent))
             drop(before)
     drop(blocks)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
