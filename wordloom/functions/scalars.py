@@ -143,7 +143,7 @@ def subsequence_share(a: Column, b: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def step(s: Column, x: Column) -> Column:
-        p = F.locate_col(x, b, s["at"] + 1) if hasattr(F, "locate_col") else F.call_function("locate", x, b, s["at"] + 1)
+        p = F.call_function("locate", x, b, s["at"] + 1)
         return F.when(p > 0, F.struct(p.alias("at"), (s["n"] + 1).alias("n"))).otherwise(s)
 
     return F.coalesce(F.try_divide(F.aggregate(chars(a), start, step, lambda s: s["n"]), F.length(a)), F.lit(0.0))
