@@ -311,3 +311,44 @@ def test_acquisition_equals_turns(spark):
     turns = [k for row in itertools.zip_longest(*[sorted(cells[c]) for c in sorted(cells)]) for k in row if k]
     got = fitting.acquired(frame(spark, items), spark.createDataFrame([(i,) for i in labelled], "item long"), w, limits, 30)
     assert [(r["tier"], r["distance"], r["item"]) for r in got.orderBy("turn").collect()] == turns[:30]
+
+
+# ---- places within hot keys
+
+
+def test_rounds_and_ladder_with_a_hot_key(spark):
+    from wordloom.operators import progress
+
+    rng = random.Random(17)
+    rows = [("hot" if i % 3 == 0 else rng.choice(["a", "b", None, "c"]), i, rng.randint(0, 2), rng.random() < 0.6, rng.random() < 0.5, rng.random() < 0.2) for i in range(900)]
+    events = spark.createDataFrame(rows, "u string, t long, attempts int, mastered boolean, first_try boolean, retry boolean")
+    got = {r["u"]: r for r in progress.committed(events, ["u"], "t", run=7).collect()}
+    for u in {r[0] for r in rows}:
+        level, seen, t0, answered = 0, 0, None, False
+        for k, (_, t, attempts, mastered, first, retry) in enumerate(x for x in rows if x[0] == u):
+            seen += 1
+            if attempts > 0:
+                right = mastered and first
+                if not answered:
+                    answered, t0 = True, None if right else t
+                if right and not retry:
+                    level = 3 if k == 0 else min(level + 1, 3)
+                elif not right:
+                    level = max(level - 1, 0)
+        assert (got[u]["seen"], got[u]["level"], got[u]["t0"]) == (seen, level, t0), u
+    bands = {r["u"]: r["band"] for r in progress.ladder(events.withColumn("right", F.col("mastered")), "u", "right", "t", run=5).collect()}
+    for u in bands:
+        band = 3
+        for r in rows:
+            if r[0] == u:
+                band = min(max(band + (1 if r[3] else -1), 1), 6)
+        assert bands[u] == band
+
+
+def test_nearest_words(spark):
+    from wordloom.operators import fuzzy
+
+    words = spark.createDataFrame([("cat",), ("cot",), ("coat",), ("dog",), ("cats",)], "w string")
+    rows = spark.createDataFrame([(1, "cat"), (2, "cat"), (3, "zzzzz"), (4, None)], "id int, q string")
+    got = {r["id"]: r["nearest"] for r in fuzzy.nearest_words(rows, "q", words, "w", keep=3).collect()}
+    assert got == {1: ["cat", "cot", "cats"], 2: ["cat", "cot", "cats"]}

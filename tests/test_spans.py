@@ -147,3 +147,16 @@ def test_phrase_parts(spark):
     items = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(cases)], "id int, phrase string, text string")
     got = {r["id"]: None if r["parts"] is None else [tuple(p) for p in r["parts"]] for r in spans.phrase_parts(items, equal).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_cascade_tiers(spark):
+    from wordloom.operators import cascade
+
+    bank = spark.createDataFrame([("ספר", ["ספר"]), ("נק(וד)ה", ["נקד"]), ("שולחן", []), ("בית ספר", []), ("אב", ["אב"]), ("מרד", None)], "word string, roots array<string>")
+    cases = [("ספר", "full", "ספר"), ("והספר", "full", "ספר"), ("ספרים", "full", "ספר"), ("הספרות", "full", "ספר"), ("שלחן", "full", "שולחן"), ("נקודה", "full", "נק(וד)ה"), ("מספרה", "close", "ספר"), ("בית ספר", "full", "בית ספר"), ("ובית ספר", "full", "בית ספר"), ("ספר גדול", "close", "ספר"), ("של ספרן", "close", "ספר"), ("xyz", "miss", None), ("", "miss", None), (None, "miss", None), ("אב טוב", "miss", None)]
+    items = spark.createDataFrame([(i, x, 1) for i, (x, *_) in enumerate(cases)], "id int, item string, word int")
+    got = {r["id"]: (r["tier"], r["hit"]) for r in cascade.match_items(items, bank, ("של",)).collect()}
+    assert got == {i: (tier, hit) for i, (_, tier, hit) in enumerate(cases)}
+    shares = cascade.tier_shares(cascade.match_items(items, bank).withColumn("exam", F.lit("x")), "exam").first()
+    assert (shares["items"], shares["full"], shares["covered"]) == (15, 5333, 7333)
+    assert cascade.match_items(items.limit(0), bank).count() == 0

@@ -139,3 +139,14 @@ def mixed(rows: DataFrame, tier: str, order: str, shares: dict[str, int]) -> Dat
 def filled_up(rows: DataFrame, tier: Column, order: str, n: int) -> DataFrame:
     """The first ``n`` rows by tier and order: a later tier's come only when those before are too few. A top-k."""
     return rows.withColumn("tier", tier).filter(F.col("tier").isNotNull()).orderBy("tier", order).limit(n)
+
+
+def representatives(groups: DataFrame, place: str, words: str) -> DataFrame:
+    """w and rep: the first word of the last group (by ``place``) that holds the word."""
+    return groups.select(place, F.get(words, F.lit(0)).alias("rep"), F.explode(words).alias("w")).groupBy("w").agg(F.max_by("rep", place).alias("rep"))
+
+
+def entitled(asked: DataFrame, grants: DataFrame, user: str, holds: Column) -> DataFrame:
+    """Each asking user once and ``entitled``: whether a grant of theirs holds; without any, no."""
+    found = grants.join(asked.select(user).distinct(), user, "left_semi").groupBy(user).agg(F.bool_or(holds).alias("_any"))
+    return asked.select(user).distinct().join(found, user, "left").select(user, F.coalesce("_any", F.lit(False)).alias("entitled"))

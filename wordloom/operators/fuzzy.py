@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.scalars import KEY_NEIGHBOURS, inflects, shared_letters
 from wordloom.functions.text import deletions
+from wordloom.plans.joins import spread_join
 
 #: Kinds of edits, in the order of cost sums.
 KINDS = ("sub", "adjSub", "transpose", "ins", "del", "doubleLetter", "materVI", "homophone")
@@ -150,6 +151,15 @@ def near_words(typed: DataFrame, word: str, forms: DataFrame, most: int = RADIUS
     return pairs.join(forms.distinct(), "form").select("word", "form", "owner", "raw")
 
 
+def nearest_words(rows: DataFrame, word: str, words: DataFrame, candidate: str, most: int = RADIUS, keep: int = MOST_CANDIDATES) -> DataFrame:
+    """``rows`` and ``nearest``: the nearest candidates within ``most`` edits, by distance, length and letters, ``keep`` at most.
+
+    Each distinct word is looked up once, by deletion variants; rows without a near word are left out."""
+    near = near_words(rows, word, words.select(F.col(candidate).alias("form"), F.lit(0).alias("owner")), most)
+    found = near.groupBy(F.col("word").alias("_w")).agg(F.slice(F.array_sort(F.collect_set(F.struct("raw", F.length("form").alias("n"), "form"))), 1, keep).alias("x"))
+    return spread_join(rows.withColumnRenamed(word, "_w"), found.select("_w", F.col("x.form").alias("nearest")), "_w").withColumnRenamed("_w", word)
+
+
 def near_match(answers: DataFrame, forms: DataFrame, lexicon: DataFrame, rules: dict) -> DataFrame:
     """id, ok, why and dist of answers (id, typed, owner, candidates) against forms (form, owner) and a lexicon (word).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.plans.ordinals import with_place
+
 #: Runs into which a key's events are cut by order, so that no row gathers them all.
 _SHIFT = "struct<shift:int,low:int,high:int>"
 
@@ -23,12 +25,12 @@ def committed(events: DataFrame, keys: list[str], *order: str, run: int = 1000)
     seen. An answer on the first try sets a new item's level to 3 and raises others by one, but not in a retry round; a
     later success and a failure lower it by one. ``t0`` is the time of the first answer, if that wasn't right at once.
 
-    The events of a key are cut into runs of ``run`` by their order. Each run's level steps compose to one clamped shift,
+    A key's events are numbered in order from range partitions and cut into runs of ``run``. Each run's level steps compose to one clamped shift,
     and the runs' shifts compose in order, so a key with very many events never stands in one row.
     """
     right = F.col("mastered") & F.col("first_try")
     answered = F.col("attempts") > 0
-    at = events.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    at = with_place(events, keys, *map(F.col, order), name="_n")
     new = F.col("_n") == 0
     # what an event does to the level
     step = F.when(~answered, 0).when(right & F.col("retry"), 0).when(right, 1).otherwise(-1)
@@ -106,9 +108,8 @@ def due(users: DataFrame, sent: DataFrame, user: str, last_seen: str, now: Colum
 
 def ladder(answers: DataFrame, user: str, right: str, *order: str, start: int = 3, top: int = 6, run: int = 1000) -> DataFrame:
     """The band after all of a user's answers, one up for a right one and one down for a wrong one within 1 and ``top``."""
-    n = F.row_number().over(Window.partitionBy(user).orderBy(*order)) - 1
     step = F.struct(F.when(F.col(right), 1).otherwise(-1).alias("shift"), F.lit(1).alias("low"), F.lit(top).alias("high")).cast(_SHIFT)
-    rows = answers.select(user, n.alias("_n"), step.alias("s")).withColumn("_run", F.floor(F.col("_n") / run))
+    rows = with_place(answers, [user], *map(F.col, order), name="_n").select(user, "_n", step.alias("s")).withColumn("_run", F.floor(F.col("_n") / run))
     identity = F.struct(F.lit(0).alias("shift"), F.lit(1).alias("low"), F.lit(top).alias("high")).cast(_SHIFT)
     fold = lambda c: F.aggregate(F.transform(F.array_sort(c), lambda x: x["s"]), identity, lambda a, b: _then(a, b).cast(_SHIFT))
     runs = rows.groupBy(user, "_run").agg(fold(F.collect_list(F.struct("_n", "s"))).alias("s"))

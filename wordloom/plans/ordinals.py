@@ -31,3 +31,12 @@ def with_running_sum(df: DataFrame, value: Column, *order: Column, name: str = "
     before = rows.groupBy("_part").agg(F.sum("_v").alias("_n")).select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.sum("_v").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_at", "_before", "_in", "_v")
+
+
+def with_place(df: DataFrame, keys: list[str], *order: Column, name: str = "place") -> DataFrame:
+    """``name``: 0 for the first row of its key in ``order``; a key's rows, however many, are sorted in many tasks."""
+    from wordloom.plans.joins import spread_join
+
+    at = with_ordinal(df, *[F.col(k) for k in keys], *order, name="_o").withColumn("_key", F.struct(*keys))
+    first = at.groupBy("_key").agg(F.min("_o").alias("_first"))
+    return spread_join(at, first, "_key").withColumn(name, F.col("_o") - F.col("_first")).drop("_o", "_first", "_key")

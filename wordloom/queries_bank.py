@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import scalars as S
 from wordloom.functions import text as T
-from wordloom.operators import bank, dedup, sampling
+from wordloom.operators import bank, dedup, fuzzy, sampling
 from wordloom.plans.ordinals import with_ordinal
 from wordloom.registry import query
 from wordloom.sources.files import table
@@ -111,13 +111,11 @@ def seeded_shuffle(s, d):
 
 
 @query("""SELECT a.p_partkey AS item, array_to_string(list_transform(list_sort(list(DISTINCT {'d': levenshtein(a.w, b.w), 'n': length(b.w), 'w': b.w}))[1:8], lambda x: x.w), '|') AS nearest
-FROM (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS w FROM part WHERE p_size = 1) a CROSS JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) b GROUP BY 1""")
+FROM (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS w FROM part) a JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) b ON levenshtein(a.w, b.w) <= 2 GROUP BY 1""")
 def nearest_candidates(s, d):
     words = table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    a = table(s, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("item"), F.substring_index("p_name", " ", 1).alias("a"))
-    # the candidates are the vocabulary of names, a few dozen words; each item keeps eight
-    near = F.slice(F.array_sort(F.collect_set(F.struct(F.levenshtein("a", "w").alias("d"), F.length("w").alias("n"), "w"))), 1, 8)
-    return a.join(F.broadcast(words)).groupBy("item").agg(near.alias("x")).select("item", F.array_join(F.transform("x", lambda x: x["w"]), "|").alias("nearest"))
+    a = table(s, d, "part").select(F.col("p_partkey").alias("item"), F.substring_index("p_name", " ", 1).alias("a"))
+    return fuzzy.nearest_words(a, "a", words, "w").select("item", F.array_join("nearest", "|").alias("nearest"))
 
 
 # ---- joins
@@ -161,10 +159,10 @@ def distractor_pick(s, d):
     return bank.distractors(table(s, d, "part"), "p_partkey", "p_name", "p_brand")
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE p_size <= 25 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size > 30)")
+@query("SELECT DISTINCT p_name, p_brand FROM part a WHERE p_size <= 25 AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_name = a.p_name AND b.p_brand = a.p_brand AND b.p_size > 30)")
 def table_diff(s, d):
     p = table(s, d, "part")
-    return bank.without(p.filter("p_size <= 25").select("p_name").distinct(), p.filter("p_size > 30"), on=["p_name"])
+    return bank.without(p.filter("p_size <= 25").select("p_name", "p_brand").distinct(), p.filter("p_size > 30"), on=["p_name", "p_brand"])
 
 
 @query("""WITH n AS (SELECT p_name, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, first AS representative, n - 1 AS alternatives FROM part JOIN n USING (p_name)""")
@@ -174,9 +172,9 @@ def accept_alternatives(s, d):
     return p.join(g, "p_name").select("p_partkey", "representative", "alternatives")
 
 
-@query("SELECT DISTINCT p_type FROM part WHERE lower(p_type) IN (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) FROM part WHERE p_size < 3)")
+@query("SELECT DISTINCT p_type FROM part WHERE lower(p_type) IN (SELECT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) FROM part)")
 def gloss_is_a_word(s, d):
-    words = table(s, d, "part").filter("p_size < 3").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w")).distinct()
+    words = table(s, d, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w")).distinct()
     return table(s, d, "part").select("p_type", F.lower("p_type").alias("w")).distinct().join(words, "w", "left_semi").select("p_type")
 
 
@@ -273,11 +271,12 @@ def backup_check(s, d):
     return one("orders", "o_orderkey", "o_custkey").unionByName(one("events", "user_id", "value"))
 
 
-@query("""WITH g AS (SELECT 0 AS o, ['red', 'blue', 'hot'] AS ws UNION ALL SELECT 1, ['cold', 'blue'] UNION ALL SELECT 2, ['big', 'large']), w AS (SELECT o, ws[1] AS rep, unnest(ws) AS w FROM g)
+@query("""WITH g AS (SELECT p_partkey AS o, string_split(lower(p_type || ' ' || p_name), ' ') AS ws FROM part), w AS (SELECT o, ws[1] AS rep, unnest(ws) AS w FROM g)
 SELECT w, arg_max(rep, o) AS rep FROM w GROUP BY w""")
 def synonym_representatives(s, d):
-    groups = s.createDataFrame([(0, ["red", "blue", "hot"]), (1, ["cold", "blue"]), (2, ["big", "large"])], "o int, ws array<string>")
-    return groups.select("o", F.get("ws", F.lit(0)).alias("rep"), F.explode("ws").alias("w")).groupBy("w").agg(F.max_by("rep", "o").alias("rep"))
+    """Every part's type and name are a group of synonyms that its first word stands for."""
+    words = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")
+    return bank.representatives(table(s, d, "part").select(F.col("p_partkey").alias("place"), words.alias("words")), "place", "words")
 
 
 @query("""WITH q AS (SELECT p_size // 10 AS band, p_partkey FROM part), e AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (l_returnflag = 'N') AS ok FROM lineitem GROUP BY 1)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import scalars as S
-from wordloom.operators import progress, state
+from wordloom.operators import bank, progress, state
 from wordloom.registry import query
+from wordloom.sources import files
 from wordloom.sources.files import table
 
 _E = "e AS (SELECT user_id, event_type, ts, event_id, event_id % 4 AS attempts, value >= 60 AS mastered, event_id % 4 = 1 AS first_try, event_id % 10 = 0 AS retry FROM events)"
@@ -159,10 +160,11 @@ def exact_count(s, d):
     return table(s, d, "orders").filter("o_orderstatus <> 'F'").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey, max(o_totalprice > 250000) AS entitled FROM orders WHERE o_custkey IN (1, 2, 4, 5, 7) GROUP BY 1""".replace("max(o_totalprice > 250000)", "bool_or(o_totalprice > 250000)"))
+@query("""SELECT c_custkey AS o_custkey, coalesce(bool_or(o_totalprice > 250000), false) AS entitled FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY 1""")
 def entitlement_lookup(s, d):
-    keys = s.createDataFrame([(k,) for k in (1, 2, 4, 5, 7)], "o_custkey long")
-    return table(s, d, "orders").join(F.broadcast(keys), "o_custkey", "left_semi").groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") > 250000).alias("entitled"))
+    """The customers of a nation ask whether they are entitled; one without an order isn't."""
+    asked = table(s, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return bank.entitled(asked, table(s, d, "orders"), "o_custkey", F.col("o_totalprice") > 250000)
 
 
 @query("""WITH a AS (SELECT o_orderkey, '1: ' || substr('ABCD', (o_orderkey % 4)::INT + 1, 1) || ' 2. ' || substr('ABCD', (o_custkey % 4)::INT + 1, 1) || ' 1:D' AS t FROM orders)
@@ -191,11 +193,11 @@ def changed_since(s, d):
     return new.join(old, ["page_id", "h"], "left_anti").select("page_id", "n", "h")
 
 
-@query("""SELECT sha256(string_agg(p_partkey || ':' || p_name, chr(10) ORDER BY p_partkey)) AS fingerprint FROM (SELECT * FROM part WHERE p_size = 1)""")
+@query("""SELECT count(*) AS n, sum(('0x' || left(sha256(l_orderkey || ':' || l_linenumber || ':' || l_comment), 15))::BIGINT)::VARCHAR AS digest FROM (SELECT l_orderkey, l_linenumber, l_shipdate::VARCHAR || l_partkey AS l_comment FROM lineitem)""")
 def content_fingerprint(s, d):
-    # the content of one small file; larger ones are written and fingerprinted by part
-    lines = table(s, d, "part").filter("p_size = 1").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("l"))
-    return lines.select(F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["p_partkey"], x["p_name"])), "\n"), 256).alias("fingerprint"))
+    """A digest of all lines that their order doesn't change, added up by part."""
+    lines = table(s, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", F.concat(F.col("l_shipdate").cast("string"), "l_partkey")).alias("value"))
+    return files.fingerprint(lines).select("n", F.col("digest").cast("string").alias("digest"))
 
 
 @query("""SELECT 'orders' AS name, count(*) AS left_ FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0)""")

@@ -114,9 +114,9 @@ def skeleton_family(s, d):
     return c.select(F.col("p_name").alias("a"), "canon").join(c.select(F.col("p_name").alias("b"), "canon"), "canon").filter("a < b").select("a", "b")
 
 
-@query("""WITH f AS (SELECT p_name AS form, p_brand AS owner, p_type AS kind FROM part) SELECT DISTINCT a.form, a.owner FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.form = a.form AND b.owner <> a.owner AND b.kind <> 'ECONOMY')""")
+@query("""WITH f AS (SELECT p_name || ' ' || p_size AS form, p_brand AS owner, p_type AS kind FROM part) SELECT DISTINCT a.form, a.owner FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.form = a.form AND b.owner <> a.owner AND b.kind <> 'ECONOMY')""")
 def own_forms_only(s, d):
-    f = table(s, d, "part").select(F.col("p_name").alias("form"), F.col("p_brand").alias("owner"), F.col("p_type").alias("kind"))
+    f = table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("form"), F.col("p_brand").alias("owner"), F.col("p_type").alias("kind"))
     # another owner holds the form if it has two such owners, or one that isn't this
     g = f.filter("kind <> 'ECONOMY'").groupBy("form").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("one"))
     return f.select("form", "owner").distinct().join(g, "form", "left").filter(F.col("n").isNull() | ((F.col("n") == 1) & (F.col("one") == F.col("owner")))).select("form", "owner")

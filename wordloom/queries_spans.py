@@ -107,3 +107,41 @@ def phrase_parts_conversations(s, d):
     items = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", phrase.alias("phrase"))
     out = spans.phrase_parts(items, lambda a, b: soft_match(a, b, {"is": "was"}))
     return out.select("id", F.array_join(F.transform("parts", lambda p: F.concat(p["start"], F.lit("-"), p["end"])), ",").alias("parts"))
+
+
+def _folded_sql(x: str) -> str:
+    """Doubled vowel letters as one, single ones inside a word off, word by word."""
+    one = f"regexp_replace(regexp_replace(translate({x}, 'ךםןףץ', 'כמנפצ'), 'ו+', 'ו', 'g'), 'י+', 'י', 'g')"
+    return f"array_to_string(list_transform(string_split({one}, ' '), lambda y: CASE WHEN length(y) > 2 THEN left(y, 1) || regexp_replace(substr(y, 2, length(y) - 2), '[וי]', '', 'g') || right(y, 1) ELSE y END), ' ')"
+
+
+@query(f"""WITH bw AS (SELECT item_id, translate(translate(unnest(list_distinct(w)), '{_LATIN}', '{_SCRIPT}'), 'ךםןףץ', 'כמנפצ') AS item FROM (SELECT item_id, {_WORD} AS w FROM benchmark)),
+items AS MATERIALIZED (SELECT DISTINCT item AS id FROM bw UNION SELECT DISTINCT translate(w[2] || ' ' || w[3], '{_LATIN}', '{_SCRIPT}') FROM (SELECT {_WORD} AS w FROM benchmark) WHERE len(w) >= 3),
+bank AS MATERIALIZED (SELECT DISTINCT translate(w, '{_LATIN}', '{_SCRIPT}') AS word FROM (SELECT unnest({_WORD}) AS w, lang FROM documents WHERE lang = 'de') WHERE length(w) > 2),
+known AS MATERIALIZED (SELECT key, min(word) AS word FROM (SELECT 'exact:' || word AS key, word FROM bank UNION ALL SELECT 'fold:' || {_folded_sql('word')}, word FROM bank UNION ALL SELECT 'root:' || word, word FROM bank WHERE length(word) = 4) GROUP BY key),
+pre AS (SELECT id, unnest([id, CASE WHEN id LIKE 'ו%' AND length(id) > 2 THEN substr(id, 2) END]) AS f FROM items WHERE id NOT LIKE '% %'),
+pv AS (SELECT id, id AS c FROM pre UNION SELECT id, substr(f, 2) FROM pre WHERE left(f, 1) IN ('ה', 'ל') AND length(f) > 2),
+one AS MATERIALIZED (SELECT id, c FROM pv UNION SELECT id, left(c, length(c) - length(e)) FROM pv, (SELECT unnest(['יימ', 'ות', 'ימ']) AS e) WHERE suffix(c, e) AND length(c) - length(e) >= 2),
+pieces AS (SELECT id, {_folded_sql('c')} AS f FROM one),
+several AS (SELECT id, unnest([id, CASE WHEN id LIKE 'ו%' AND length(split_part(id, ' ', 1)) > 2 THEN substr(id, 2) END]) AS v FROM items WHERE id LIKE '% %'),
+tok AS (SELECT id, t, i, {_folded_sql('t')} AS f FROM (SELECT id, unnest(string_split(id, ' ')) AS t, unnest(range(2)) AS i FROM items WHERE id LIKE '% %') WHERE length(t) >= 3),
+tried AS (SELECT id, 0 AS rank, 'exact:' || c AS key, NULL AS told FROM one UNION ALL SELECT id, 1, 'fold:' || {_folded_sql('c')}, NULL FROM one
+UNION ALL SELECT id, 2, 'root:' || substr(f, a, n), NULL FROM pieces, range(1, 40) x(a), range(3, 40) y(n) WHERE a + n <= length(f) + 1
+UNION ALL SELECT id, 0, 'exact:' || v, NULL FROM several WHERE v IS NOT NULL UNION ALL SELECT id, 1, 'fold:' || {_folded_sql('v')}, NULL FROM several WHERE v IS NOT NULL
+UNION ALL SELECT id, 2 + 2 * i, 'exact:' || t, t FROM tok UNION ALL SELECT id, 2 + 2 * i, 'fold:' || f, t FROM tok
+UNION ALL SELECT id, 3 + 2 * i, 'root:' || substr(f, a, n), NULL FROM tok, range(1, 40) x(a), range(3, 40) y(n) WHERE a + n <= length(f) + 1),
+best AS (SELECT id, min({{'rank': rank, 'hit': coalesce(told, word)}}) AS b FROM tried JOIN known USING (key) GROUP BY id)
+SELECT id, CASE WHEN b.rank < 2 THEN 'full' WHEN b.rank >= 2 THEN 'close' ELSE 'miss' END AS tier, b.hit AS hit FROM items LEFT JOIN best USING (id)""")
+def exam_cascade(s, d):
+    """The benchmark's words and some pairs of words against the German documents' words, all in Hebrew letters; words of four letters
+    are roots."""
+    from wordloom.operators import cascade
+
+    script = lambda c: F.translate(F.translate(c, _LATIN, _SCRIPT), "ךםןףץ", "כמנפצ")
+    w = T.tokens(F.col("text"))
+    bench = table(s, d, "benchmark").select(w.alias("w"))
+    words = bench.select(F.explode("w").alias("w")).select(script(F.col("w")).alias("id"))
+    pairs = bench.filter("size(w) >= 3").select(script(F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)))).alias("id"))
+    items = words.unionByName(pairs).distinct().withColumn("item", F.col("id"))
+    bank = table(s, d, "documents").filter("lang = 'de'").select(F.explode(w).alias("w")).filter("length(w) > 2").select(script(F.col("w")).alias("word")).distinct()
+    return cascade.match_items(items, bank.withColumn("roots", F.when(F.length("word") == 4, F.array("word")).otherwise(F.array().cast("array<string>"))))

@@ -96,7 +96,7 @@ def doc_words(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("w")).distinct()
 
 
-@query(f"WITH v AS ({_DOC_WORDS}), x AS (SELECT w, unnest(['s', 'es', 'ed', 'ing', 'ly']) AS suffix FROM v) SELECT x.w AS word, suffix, v.w AS inflected FROM x JOIN v ON v.w = x.w || suffix")
+@query(f"WITH v AS MATERIALIZED ({_DOC_WORDS}), x AS MATERIALIZED (SELECT w, suffix, w || suffix AS grown FROM (SELECT w, unnest(['s', 'es', 'ed', 'ing', 'ly']) AS suffix FROM v)) SELECT x.w AS word, suffix, v.w AS inflected FROM x JOIN v ON v.w = x.grown")
 def morph_pairs(s, d):
     v = doc_words(s, d)
     grown = v.select(F.col("w").alias("word"), F.explode(S.strings("s", "es", "ed", "ing", "ly")).alias("suffix")).withColumn("inflected", F.concat("word", "suffix"))
