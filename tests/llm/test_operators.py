@@ -568,6 +568,29 @@ def test_quality_cutoffs_adapt(spark):
     assert quality_sketch.keep_good(df).columns == df.columns
 
 
+def test_no_constant_cutoffs_give_the_same_decisions(spark):
+    """Sources that differ in marks, each with junk that would be plain text elsewhere; one is full of copies."""
+    rng = random.Random(31)
+
+    def text(per_word, n=None):
+        words = prose(rng, n or rng.randint(60, 400)).split()
+        return " ".join(w[:-1] + ("," if rng.random() < per_word else w[-1]) for w in words)
+
+    one = text(0.1, 80)
+    rows = [(i, text(0.1), "en", "plain", 0) for i in range(150)] + [(1000 + i, text(0.9), "en", "plain", 0) for i in range(10)]
+    rows += [(2000 + i, text(0.9), "en", "code", 0) for i in range(150)] + [(3000 + i, text(1.0).replace(",", ";;;"), "en", "code", 0) for i in range(10)]
+    rows += [(4000 + i, one, "en", "copies", 0) for i in range(300)] + [(5000 + i, text(0.15), "en", "copies", 0) for i in range(20)]
+    rows += [(6000 + i, text(0.12), "en", f"few{i}", 0) for i in range(5)]
+    out = {r["doc_id"]: r["kept"] for r in quality_sketch.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, kept in out.items() if not kept} == {r[0] for r in rows if r[0] // 1000 in (1, 3)}
+
+
+def test_without_a_group_only_the_base_rule_decides(spark):
+    rows = [(1, "word " * 60, "en", "a", 0), (2, prose(random.Random(1), 60), "en", "a", 0), (3, "#! " * 80 + prose(random.Random(2), 900), None, None, 0)]
+    out = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_sketch.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: (True, False), 2: (False, True), 3: (False, True)}
+
+
 @pytest.mark.parametrize("share", [0.3, 0.6])
 def test_a_source_full_of_junk_keeps_its_good_documents_only(spark, share):
     rng = random.Random(12)
@@ -593,8 +616,8 @@ def test_cutoffs_depend_on_no_partitioning(spark):
     assert first == second
     # and quantiles are those of the values, within the sketch's error
     got = quality_sketch.quantiles(quality_sketch.sketches(quality_sketch.with_features(df)), ["lang"], [0.3]).first()
-    symbols = sorted(quality_sketch.text_features(t.encode())[2] / quality_sketch.text_features(t.encode())[0] for _, t, *_ in rows)
-    assert got["symbol_ratio_30"] == pytest.approx(symbols[119], rel=0.006, abs=1e-9)
+    symbols = sorted(quality_sketch.text_features(t.encode())[5] / quality_sketch.text_features(t.encode())[0] for _, t, *_ in rows)
+    assert got["marks_30"] == pytest.approx(symbols[119], rel=0.006, abs=1e-9)
 
 
 def brute_hits(text, items, window=13):
