@@ -4,15 +4,16 @@
 2. *Generators* propose further spans, with high recall, from the text outside base spans: written-out or bracketed
    e-mail addresses and IP numbers, card numbers inside longer digit runs or with other separators, phone numbers without
    a plus sign; and with them version numbers, dates, hexadecimal tokens and other digit groups.
-3. *Boosted trees* of depth two score proposals from small-integer format and context features. They learn to tell base
-   spans from all else that is found, failed base matches and proposals alike; a kind's trees see no feature that the
-   check is computed from (``USED``). As features are small integers, one aggregation counts each (features, label), and
-   the trees are fitted on that bounded table of counts.
-4. *Thresholds* are calibrated for each kind on a fifth of the documents that the trees did not see. Shares of base spans
-   by score are made monotone by pooling neighbours; the threshold is the border below the lowest pool that has at
-   least ``PRECISION``. Proposals from there on that pass the check as well become spans: they look, in form and surroundings,
-   like what is personal data beyond doubt. Where nothing else of a kind is found there is nothing to learn from, and the
-   check alone decides.
+3. *Boosted trees* of depth two score proposals from small-integer format and context features. They learn from what is
+   certain. Every base span that passes its check is written anew in its own surroundings, the way people hide such data
+   ("at" and "dot", brackets, other separators, no plus sign): what the generators propose there, and base spans themselves,
+   are positive. Negative are decoys in the same surroundings that pass the check as well: sentences with "at" and "dot", versions,
+   dates, hexadecimal tokens. Whether a card number passes is chance, so those that fail, as found or made, stand for what passes
+   by chance. Proposals of unknown kind aren't learnt from. As features are small integers, one aggregation counts each
+   (features, label), and the trees are fitted on those counts.
+4. *Thresholds* are calibrated for each kind on a fifth of the documents that the trees did not see. Shares of positives by
+   score are made monotone by pooling neighbours; the threshold is the border below the lowest pool that has at least
+   ``PRECISION``. Proposals from there on become spans if they pass the check and overlap no base span.
 
 Scores are SQL expressions (sums of CASE), so text never leaves the JVM, and nothing is shuffled but counts.
 
@@ -63,17 +64,11 @@ _MARK, _PLAIN, _HOLE = "\x01", "\x02", "\x03"
 #: Trees, learning rate, share of calibration matches that must have passed; folds, of which one calibrates.
 ROUNDS, RATE, PRECISION, FOLDS = 20, 0.4, 0.9, 5
 
-#: Features that a kind's trees may use: the label isn't computed from them. Whether a phone number passes is its digit
-#: count, which its length all but tells. A card's label is the Luhn digit, among matches of a card's digit count.
-USED = {
-    "email": ("digits", "marks", "before", "after", "length", "groups"),
-    "ip": ("marks", "before", "after", "groups"),
-    "card": ("digits", "marks", "before", "after", "length", "groups"),
-    "phone": ("marks", "before", "after", "groups"),
-}
-
 FEATURES = ("digits", "checked", "marks", "before", "after", "length", "groups")
 
+#: What the trees may use: all but whether the check is passed.
+USED = tuple(f for f in FEATURES if f != "checked")
+
 
 def _pieces(text: Column, pattern: str, need: str | None) -> Column:
     """The text split so that the second, fourth, ... piece is a match."""
@@ -112,6 +107,9 @@ def _side(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]$"), 3).when(c.rlike("^\\p{L}$"), 2).when(c.rlike("^[^\\s\\x01-\\x03]$"), 1).otherwise(0)
 
 
+_MATCH = "array<struct<start:int,end:int,digits:int,checked:int,label:int,marks:int,before:int,after:int,length:int,groups:int>>"
+
+
 def _matches(pieces: Column, kind: str) -> Column:
     """array<struct<start,end,features...>> of the even pieces. One pass sums lengths, so positions are code points."""
     lengths = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
@@ -134,7 +132,59 @@ def _matches(pieces: Column, kind: str) -> Column:
             F.least(F.size(F.split(s, "[^A-Za-z0-9]+")), F.lit(9)).alias("groups"),
         )
 
-    return F.when(F.size(pieces) > 1, F.transform(odd, features)).otherwise(F.array().cast("array<struct<start:int,end:int,digits:int,checked:int,label:int,marks:int,before:int,after:int,length:int,groups:int>>"))
+    return F.when(F.size(pieces) > 1, F.transform(odd, features)).otherwise(F.array().cast(_MATCH))
+
+
+def _hidden(kind: str, s: Column, turn: Column) -> Column:
+    """A passed match as people hide it, one of three ways."""
+    host = F.substring_index(s, "@", -1)
+    local = F.substring_index(s, "@", 1)
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    in_fours = lambda mark: F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", f"$1{mark}")
+    rest = F.substring(s, F.lit(2), F.length(s))
+    ways = {
+        "email": (F.concat(local, F.lit(" [at] "), F.replace(host, F.lit("."), F.lit(" [dot] "))), F.concat(local, F.lit(" at "), F.replace(host, F.lit("."), F.lit(" dot "))), F.concat(local, F.lit("(at)"), host)),
+        "ip": tuple(F.replace(s, F.lit("."), F.lit(x)) for x in ("[.]", "(.)", " [dot] ")),
+        "card": tuple(in_fours(x) for x in ("./_")),
+        "phone": (rest, F.concat(F.lit("00"), rest), F.regexp_replace(rest, "[^0-9]+", ".")),
+    }[kind]
+    return F.when(turn == 0, ways[0]).when(turn == 1, ways[1]).otherwise(ways[2])
+
+
+def _decoy(kind: str, s: Column, turn: Column) -> Column:
+    """Something like a passed match that is no personal data, one of three ways."""
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    at = lambda i: F.substring(F.concat(digits, F.lit("4071")), F.lit(i), F.lit(1))
+    plain = F.concat(F.lit("so"), F.regexp_replace(F.substring_index(s, "@", 1), "[^A-Za-z]", ""))
+    wrong = F.concat(F.left(digits, F.length(digits) - 1), F.pmod(F.right(digits, F.lit(1)).cast("int") + 5, F.lit(10)).cast("string"))
+    ways = {
+        "email": (F.concat(plain, F.lit(" at the dot "), plain), F.concat(plain, F.lit("(at) the dot")), F.concat(F.left(plain, F.lit(4)), F.lit(" at a dot in"))),
+        "ip": tuple(F.replace(x, F.lit("."), F.lit("[.]")) for x in (F.concat(F.lit("v"), s), F.concat(s, F.lit("-rc1")), F.concat(F.lit("build"), s, F.lit("b")))),
+        "card": (F.concat(F.lit("#"), wrong), F.concat(F.lit("no."), wrong), F.concat(F.lit("ID"), F.regexp_replace(wrong, "([0-9]{4})(?=[0-9])", "$1-"))),
+        "phone": (F.concat(F.lit("20"), at(1), at(2), F.lit("-0"), at(3), F.lit("-1"), at(4), F.lit(" 1"), at(1), F.lit(".3"), at(2)), F.concat(F.lit("7e"), at(2), F.lit("b"), F.left(F.concat(digits, digits), F.lit(11)), F.lit("c"), at(1), F.lit("f")), F.concat(F.lit("v"), F.left(digits, F.lit(2)), F.lit("."), F.right(digits, F.lit(2)), F.lit(".10."), F.right(digits, F.lit(3)))),
+    }[kind]
+    return F.when(turn == 0, ways[0]).when(turn == 1, ways[1]).otherwise(ways[2])
+
+
+#: Characters on either side of a span that go with it when it is written anew.
+SURROUNDINGS = 12
+
+
+def _made(pieces: Column, kind: str) -> Column:
+    """What the generators propose where passed matches are written anew: hidden (label 1, if it passes) and as decoys (label 0)."""
+    padded = F.concat(F.array(F.lit("")), pieces, F.array(F.lit("")))
+    around = F.filter(F.transform(pieces, lambda s, i: F.struct(s.alias("s"), F.right(F.get(padded, i), F.lit(SURROUNDINGS)).alias("last"), F.left(F.get(padded, i + 2), F.lit(SURROUNDINGS)).alias("next"), (i % 2 == 1).alias("odd"))), lambda x: x["odd"] & _checked(kind, x["s"]))
+
+    def found(x: Column, text: Column, label: int) -> Column:
+        cut = F.split(F.regexp_replace(F.concat(x["last"], text, x["next"]), f"({GENERATORS[kind]})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+        start, end = F.length(x["last"]), F.length(x["last"]) + F.length(text)
+        hit = lambda m: (m["start"] < end) & (m["end"] > start) & (F.lit(True) if kind == "card" and not label else (m["checked"] == 1) & (m["label"] == 1))
+        every = F.flatten(F.transform(F.array(cut), lambda c: _matches(c, kind)))
+        return F.transform(F.filter(every, hit), lambda m: m.withField("label", F.lit(label)))
+
+    turn = lambda x: F.pmod(F.xxhash64(x["s"], x["last"]), F.lit(3))
+    both = lambda x: F.concat(found(x, _hidden(kind, x["s"], turn(x)), 1), found(x, _decoy(kind, x["s"], turn(x)), 0))
+    return F.when(F.size(pieces) > 1, F.flatten(F.transform(around, both))).otherwise(F.array().cast(_MATCH))
 
 
 def _masked(kind: str):
@@ -151,19 +201,21 @@ def _selected(model: "Model"):
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """doc_id, for each kind ``base_K`` (all matches of the base pattern) and ``more_K`` (proposals outside passed ones)."""
+    """doc_id, for each kind ``base_K`` (all matches of the base pattern), ``made_K`` (passed ones written anew) and ``more_K``
+    (proposals outside passed ones)."""
     rows = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), _MARK + _PLAIN + _HOLE, "\x04\x04\x04").alias("t"))
     rows = rows.select("doc_id", "t", *[_pieces(F.col("t"), BASE[k], NEEDS[k]).alias(f"p_{k}") for k in KINDS])
-    # what base spans cover, of any kind, is masked for the generators
-    rows = rows.select("doc_id", *[_matches(F.col(f"p_{k}"), k).alias(f"base_{k}") for k in KINDS], *[
+    # what base spans of the kind cover is masked for its generator
+    rows = rows.select("doc_id", *[_matches(F.col(f"p_{k}"), k).alias(f"base_{k}") for k in KINDS], *[_made(F.col(f"p_{k}"), k).alias(f"made_{k}") for k in KINDS], *[
         F.when(F.size(f"p_{k}") > 1, F.array_join(F.transform(F.col(f"p_{k}"), _masked(k)), "")).otherwise(F.col("t")).alias(f"t_{k}")
         for k in KINDS
     ])
-    rows = rows.select("doc_id", *[f"base_{k}" for k in KINDS], *[
+    kept = [f"{x}_{k}" for k in KINDS for x in ("base", "made")]
+    rows = rows.select("doc_id", *kept, *[
         F.when(F.col(f"t_{k}").rlike("[0-9][\\x20().\\[\\]/_-]{0,3}[0-9]" if k != "email" else "@|[(\\[{]\\x20?at\\x20?[)\\]}]|\\x20dot\\x20"), F.split(F.regexp_replace(f"t_{k}", f"({GENERATORS[k]})", f"{_MARK}$1{_MARK}"), _MARK, -1)).otherwise(F.array(f"t_{k}")).alias(f"g_{k}")
         for k in KINDS
     ])
-    return rows.select("doc_id", *[f"base_{k}" for k in KINDS], *[_matches(F.col(f"g_{k}"), k).alias(f"more_{k}") for k in KINDS])
+    return rows.select("doc_id", *kept, *[_matches(F.col(f"g_{k}"), k).alias(f"more_{k}") for k in KINDS])
 
 
 class Split(NamedTuple):
@@ -265,21 +317,24 @@ def boosted(rows: list[tuple[tuple[int, ...], int, float]], held: list[tuple[tup
 
 
 def fit(found: DataFrame) -> dict[str, Model]:
-    """A model of each kind from counts of all base matches and proposals by features, label and fold."""
+    """A model of each kind from counts by features, label and fold: of base matches, of what was written anew, and of card
+    numbers that fail."""
     fold = (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).cast("int").alias("fold")
     parts = None
     for k in KINDS:
         part = found.select(fold, F.lit(k).alias("kind"), F.explode(f"base_{k}").alias("m")).select("fold", "kind", "m.*")
-        if k == "card":
-            part = part.filter(F.col("digits").between(12, 19))
+        part = part.filter(F.col("digits").between(12, 19) if k == "card" else (F.col("checked") == 1) & (F.col("label") == 1))
         more = found.select(fold, F.lit(k).alias("kind"), F.explode(f"more_{k}").alias("m")).select("fold", "kind", "m.*")
-        part = part.unionByName(more.withColumn("label", F.lit(0)))
+        made = found.select(fold, F.lit(k).alias("kind"), F.explode(f"made_{k}").alias("m")).select("fold", "kind", "m.*")
+        part = part.unionByName(made)
+        if k == "card":
+            part = part.unionByName(more.filter("checked = 0").withColumn("label", F.lit(0)))
         parts = part if parts is None else parts.unionByName(part)
     counted = parts.groupBy("kind", "fold", "label", *FEATURES).agg(F.count("*").alias("n")).collect()
     out = {}
     for k in KINDS:
         rows = {f: [(tuple(r[c] for c in FEATURES), r["label"], float(r["n"])) for r in counted if r["kind"] == k and r["fold"] == f] for f in (0, 1)}
-        out[k] = boosted(rows[0], rows[1], USED[k])
+        out[k] = boosted(rows[0], rows[1], USED)
     return out
 
 
@@ -293,9 +348,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = written(proposals(docs), "proposals")
     models = fit(found)
     base, more = [], []
+    plain = F.concat(*[F.transform(F.filter(f"base_{k}", lambda x: x["checked"] == 1), _span(i)) for i, k in enumerate(KINDS, 1)])
+    alone = lambda x: ~F.exists(F.col("plain"), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    found = found.withColumn("plain", plain)
     for i, k in enumerate(KINDS, 1):
         base.append(F.transform(F.filter(f"base_{k}", lambda x: x["checked"] == 1), _span(i)))
         if (m := models[k]).threshold is not None:
-            more.append(F.transform(F.filter(f"more_{k}", _selected(m)), _span(i)))
+            more.append(F.transform(F.filter(F.filter(f"more_{k}", _selected(m)), alone), _span(i)))
     rows = found.select("doc_id", *[F.size(x).cast("long").alias(f"n_{k}") for x, k in zip(base, KINDS, strict=True)], F.concat(*base).alias("base"), F.concat(*base, *more).alias("all"))
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
