@@ -138,6 +138,23 @@ def test_star_steps_equal_local_components(spark, monkeypatch):
     assert rows_of(minhash_cps.components(links).filter("id <> label").select("id", "label")) == local
 
 
+def test_pairs_inside_a_dense_group_are_found(spark):
+    """Texts of 300 common and 60 own words overlap by 71 % and aren't linked; pairs that share 11 of the own ones overlap by
+    76 %. Little but chance tells the pairs from the rest, and each must be found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    common, texts = [word() for _ in range(300)], []
+    for k in range(1000):
+        shared = [word() for _ in range(11)]
+        for _ in range(2 if k < 500 else 1):
+            texts.append(" ".join(common + (shared if k < 500 else []) + [word() for _ in range(49 if k < 500 else 60)]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r["component_id"] for r in minhash_cps.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    want = {i: i - i % 2 if i < 1000 else i for i in range(1500)}
+    assert [i for i in want if out[i] < want[i]] == []
+    assert sum(out[i] != want[i] for i in want) <= 5
+
+
 def test_dense_group_keeps_its_components(spark, monkeypatch):
     """Hundreds of loose copies of one text, below the threshold to most others, among them near pairs: no component is lost."""
     rng = random.Random(1)
