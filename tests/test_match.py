@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,32 @@ def test_guards(spark):
     state = spark.createDataFrame([("x",), ("gone",)], "k string")
     assert bank.pruned(state, spark.createDataFrame([("x",)], "k string"), "k").count() == 2  # a bank of one item is broken
     assert [r[0] for r in bank.pruned(state, spark.createDataFrame([("x",)], "k string"), "k", 1).collect()] == ["x"]
+
+
+@pytest.mark.parametrize("letters", ["abs", "אעבוי"])
+def test_banded_costs_equal_all_alignments(letters):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(0, 9)))
+    pairs = [(word(), word()) for _ in range(1500)] + [("", ""), ("abc", "abc"), ("a" * 40, "a" * 42), ("x" * 30, "y")]
+    weights = np.array([[rng.choice([0.1, 0.5, 1.0, 2.5]) for _ in fuzzy.KINDS] for _ in pairs])
+    start = np.array([rng.random() for _ in pairs])
+    want = [min((s + sum(k * x for k, x in zip(v, w, strict=True)) for v, _ in fuzzy.alignments(a, b)), default=np.nan) for (a, b), w, s in zip(pairs, weights, start, strict=True)]
+    a, b = map(list, zip(*pairs, strict=True))
+    every = fuzzy.banded_costs(a, b, weights, start, np.full(len(a), 99.0))
+    assert np.allclose(every, want, equal_nan=True)
+    limited = fuzzy.banded_costs(a, b, weights, start, np.full(len(a), 2.0))
+    assert np.allclose(limited, [x if x <= 2.0 else np.nan for x in want], equal_nan=True)
+
+
+def test_near_match_of_hot_answers(spark):
+    """A third of all answers are one word, another third are null or empty; each gets what it gets alone."""
+    rows = [(i, ["tenht", "house", None, "", "hous", "fought"][i % 6] if i % 3 else "size", f"o{i % 3}" if i % 7 else None, ["tenth", None, "house"] if i % 5 else None) for i in range(300)]
+    forms = spark.createDataFrame([("tenth", "o1"), ("house", "o2"), ("fought", "o2"), ("fought", "o0"), ("sizes", None)], "form string, owner string")
+    df = spark.createDataFrame(rows, "id long, typed string, owner string, candidates array<string>")
+    out = {r["id"]: tuple(r)[1:] for r in fuzzy.near_match(df, forms, spark.createDataFrame([("size",)], "word string"), RULES).collect()}
+    assert sorted(out) == list(range(300))
+    by_key = {}
+    for i, t, o, c in rows:
+        by_key.setdefault((t, o, str(c)), set()).add(out[i])
+    assert all(len(x) == 1 for x in by_key.values())
+    assert fuzzy.near_match(df.limit(0), forms, forms.select(F.col("form").alias("word")), RULES).count() == 0

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """``rows`` joined with a table of at most one row a key; the rows of one key go to up to ``salts`` tasks.
+def spread_join(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) with a table of at most one row a key; the rows of one key go to up to ``salts`` tasks.
 
     The table is first joined with the distinct pairs of key and salt, at most ``salts`` a key.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     wanted = salted.select(key, "_salt").distinct().join(table, key)
-    return salted.join(wanted, [key, "_salt"]).drop("_salt")
+    return salted.join(wanted, [key, "_salt"], how).drop("_salt")
