@@ -466,4 +466,4 @@ def daily_pick(s, d):
     return days.join(n, "o").select("day", "n_name")
 
 
-from wordloom import queries_bank, queries_events, queries_fit, queries_match, queries_spans, queries_text  # noqa: E402, F401
+from wordloom import queries_bank, queries_events, queries_fit, queries_gloss, queries_match, queries_spans, queries_text  # noqa: E402, F401
