@@ -1,8 +1,5 @@
 """The gloss linter on made glosses, one for each fault."""
 
-import pytest
-from pyspark.sql import functions as F
-
 from wordloom.operators import lint
 
 STOPS, CONJUNCTION = ["אשר"], "^(and) |^ו[א-ת]"
@@ -40,7 +37,7 @@ def test_each_fault(spark):
     rows = [(i, *c[:3]) for i, c in enumerate(CASES)]
     df = spark.createDataFrame(rows, "id long, word string, root string, gloss string")
     got = {i: set() for i in range(len(CASES))}
-    for r in lint.broken_rules(df, "id", lint.gloss_rules(F.col("word"), F.col("root"), F.col("gloss"), STOPS, CONJUNCTION)).collect():
+    for r in lint.gloss_faults(df, STOPS, CONJUNCTION).collect():
         got[r["id"]].add(r["rule"])
     assert [(CASES[i], x) for i, x in got.items() if x != CASES[i][3]] == []
     assert set().union(*got.values()) == {"empty", "circular", "rootecho", "toolong", "parens", "repeat", "punct", "fragment", "niqqud"}

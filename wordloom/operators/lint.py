@@ -60,47 +60,48 @@ def bare_gloss(plain: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\([^)]*\)", " "), _BLANKS, " "))
 
 
-def gloss_senses(plain: Column) -> Column:
-    return F.filter(F.transform(F.split(bare_gloss(plain), "[;:.]"), lambda x: F.trim(x)), lambda x: x != "")
+def gloss_senses(bare: Column) -> Column:
+    """The senses of a gloss without brackets."""
+    return F.filter(F.transform(F.split(bare, "[;:.]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def gloss_rules(word: Column, root: Column, gloss: Column, stops: list[str], conjunction: str, most: int = 60) -> dict[str, Column]:
-    """What can be wrong with one gloss by itself; an empty (or null) one breaks ``empty`` alone.
+def gloss_faults(rows: DataFrame, stops: list[str], conjunction: str, most: int = 60) -> DataFrame:
+    """(id, rule) of what is wrong with a row's (id, word, root, gloss) gloss by itself; an empty (or null) one breaks ``empty``
+    alone.
 
     ``circular``: it repeats the word, or all words of a phrase, folded and outside of brackets, ``stops`` aside; else
     ``rootecho``: it has a word that is the root with at most two letters more; ``toolong``; ``parens``: brackets that don't
     match, hold everything, hold two examples, or are more than the senses; ``repeat``: three words stand twice; ``punct``:
     stops, dashes and blanks where none belong; ``fragment``: a later sense of at most four words that starts with a
     ``conjunction``; ``niqqud``: points.
+
+    What several rules read is a column of its own, in steps that the optimizer keeps apart, so it is worked out once a row.
     """
-    raw = F.coalesce(gloss, F.lit(""))
-    g = plain_gloss(raw)
-    some = g != ""
-    # in lambdas of array functions each use of an expression is computed again, so words stand in arrays of their own
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(bare_gloss(g)), F.lit(r"\p{L}{3,}"), F.lit(0)), lambda x: folded(x)))
-    known = F.filter(F.split(F.lower(F.coalesce(word, F.lit(""))), " "), lambda x: (F.length(x) >= 3) & ~x.isin(stops))
-    known = F.array_distinct(F.transform(known, lambda x: folded(x)))
-    circular = F.size(F.array_intersect(found, known)) >= F.greatest(F.lit(1), F.size(known))
-    key = folded(F.lower(F.coalesce(root, F.lit(""))))
-    usable = (F.length(root) >= 3) & ~F.contains(root, F.lit("-"))
-    echo = usable & F.exists(found, lambda x: F.contains(x, key) & (F.length(x) <= F.length(key) + 2))
-    opened, closed = F.regexp_count(g, F.lit(r"\(")), F.regexp_count(g, F.lit(r"\)"))
-    odd = (bare_gloss(g) == "") | (opened > F.greatest(F.lit(1), F.size(gloss_senses(g)))) | g.rlike(r"\([^)]*;[^)]*\)")
-    three = grams(F.regexp_extract_all(g, F.lit('[\\p{L}"\u05f3]+'), F.lit(0)), 3)
-    later = F.filter(gloss_senses(g), lambda x, i: i > 0)
-    marks = F.endswith(g, F.lit(".")) | g.rlike("[\u2014\u2013\u00b7]") | raw.rlike("[ \t\n\f\r][,;:]|[,;:]{2}|  ")
+    x = rows.select("id", F.lower(F.coalesce("word", F.lit(""))).alias("word"), F.coalesce("root", F.lit("")).alias("root"), F.coalesce("gloss", F.lit("")).alias("raw"))
+    x = x.withColumn("g", plain_gloss(F.col("raw"))).withColumn("bare", bare_gloss(F.col("g")))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    known = F.filter(F.split("word", " "), lambda w: (F.length(w) >= 3) & ~w.isin(stops))
+    x = x.withColumns({
+        "found": F.array_distinct(F.transform(found, lambda w: folded(w))), "known": F.array_distinct(F.transform(known, lambda w: folded(w))), "key": folded(F.lower("root")), "senses": gloss_senses(F.col("bare")),
+        "three": grams(F.regexp_extract_all("g", F.lit('[\\p{L}"׳]+'), F.lit(0)), 3), "opened": F.regexp_count("g", F.lit(r"\(")), "closed": F.regexp_count("g", F.lit(r"\)")),
+    })
+    x = x.withColumn("circular", F.size(F.array_intersect("found", "known")) >= F.greatest(F.lit(1), F.size("known")))
+    echo = (F.length("root") >= 3) & ~F.contains("root", F.lit("-")) & F.exists("found", lambda w: F.contains(w, F.col("key")) & (F.length(w) <= F.length("key") + 2))
+    odd = (F.col("bare") == "") | (F.col("opened") > F.greatest(F.lit(1), F.size("senses"))) | F.col("g").rlike(r"\([^)]*;[^)]*\)")
+    later = F.filter("senses", lambda w, i: i > 0)
     rules = {
-        "circular": circular, "rootecho": ~circular & F.coalesce(echo, F.lit(False)), "toolong": F.length(g) > most, "parens": (opened != closed) | ((opened > 0) & odd),
-        "repeat": F.size(three) > F.size(F.array_distinct(three)), "punct": marks, "fragment": F.exists(later, lambda x: x.rlike(conjunction) & (F.size(F.split(x, " ")) <= 4)), "niqqud": raw.rlike(POINTS),
+        "circular": F.col("circular"), "rootecho": ~F.col("circular") & echo, "toolong": F.length("g") > most, "parens": (F.col("opened") != F.col("closed")) | ((F.col("opened") > 0) & odd),
+        "repeat": F.size("three") > F.size(F.array_distinct("three")), "punct": F.endswith("g", F.lit(".")) | F.col("g").rlike("[—–·]") | F.col("raw").rlike("[ \t\n\f\r][,;:]|[,;:]{2}|  "),
+        "fragment": F.exists(later, lambda w: w.rlike(conjunction) & (F.size(F.split(w, " ")) <= 4)), "niqqud": F.col("raw").rlike(POINTS),
     }
-    return {"empty": ~some} | {name: some & c for name, c in rules.items()}
+    return broken_rules(x, "id", {"empty": F.col("g") == ""} | {name: (F.col("g") != "") & c for name, c in rules.items()})
 
 
 def shared_glosses(rows: DataFrame, least: int = 6) -> DataFrame:
     """Ids of rows (id, word, gloss) with a gloss that an earlier row has, or a sense of at least ``least`` letters that first
     stood at another word. Who is first is aggregated before anything is joined, and the join spreads what many share."""
     g = rows.select("id", "word", plain_gloss(F.coalesce("gloss", F.lit(""))).alias("g")).filter("g <> ''")
-    senses = g.select("id", "word", F.explode(F.array_distinct(F.filter(gloss_senses(F.col("g")), lambda x: F.length(x) >= least))).alias("k"))
+    senses = g.select("id", "word", F.explode(F.array_distinct(F.filter(gloss_senses(bare_gloss(F.col("g"))), lambda x: F.length(x) >= least))).alias("k"))
     first_id = g.groupBy("g").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
     same = spread_join(g.select("id", "g"), first_id, "g").filter("id <> first").select("id")
     first_word = senses.groupBy("k").agg(F.min(F.struct("id", "word")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("k", F.col("m.word").alias("at"))
@@ -109,8 +110,7 @@ def shared_glosses(rows: DataFrame, least: int = 6) -> DataFrame:
 
 
 def gloss_problems(rows: DataFrame, stops: list[str], conjunction: str, most: int = 60) -> DataFrame:
-    """(id, rule) of rows (id, word, root, gloss): all that ``gloss_rules`` and ``shared_glosses`` find, each once.
+    """(id, rule) of rows (id, word, root, gloss): all that ``gloss_faults`` and ``shared_glosses`` find, each once.
 
     ``id`` is unique and gives the order. An empty table gives an empty result; a null word or root breaks no rule by itself."""
-    rules = gloss_rules(F.col("word"), F.col("root"), F.col("gloss"), stops, conjunction, most)
-    return broken_rules(rows, "id", rules).unionByName(shared_glosses(rows).withColumn("rule", F.lit("shared")))
+    return gloss_faults(rows, stops, conjunction, most).unionByName(shared_glosses(rows).withColumn("rule", F.lit("shared")))
