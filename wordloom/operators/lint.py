@@ -78,12 +78,12 @@ def gloss_faults(rows: DataFrame, stops: list[str], conjunction: str, most: int
     What several rules read is a column of its own, in steps that the optimizer keeps apart, so it is worked out once a row.
     """
     x = rows.select("id", F.lower(F.coalesce("word", F.lit(""))).alias("word"), F.coalesce("root", F.lit("")).alias("root"), F.coalesce("gloss", F.lit("")).alias("raw"))
-    x = x.withColumn("g", plain_gloss(F.col("raw"))).withColumn("bare", bare_gloss(F.col("g")))
+    x = x.withColumn("g", plain_gloss(F.col("raw"))).withColumn("bare", bare_gloss(F.col("g"))).withColumn("words", F.regexp_extract_all("g", F.lit('[\\p{L}"׳]+'), F.lit(0)))
     found = F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(r"\p{L}{3,}"), F.lit(0)))
     known = F.filter(F.split("word", " "), lambda w: (F.length(w) >= 3) & ~w.isin(stops))
     x = x.withColumns({
         "found": F.array_distinct(F.transform(found, lambda w: folded(w))), "known": F.array_distinct(F.transform(known, lambda w: folded(w))), "key": folded(F.lower("root")), "senses": gloss_senses(F.col("bare")),
-        "three": grams(F.regexp_extract_all("g", F.lit('[\\p{L}"׳]+'), F.lit(0)), 3), "opened": F.regexp_count("g", F.lit(r"\(")), "closed": F.regexp_count("g", F.lit(r"\)")),
+        "three": grams(F.col("words"), 3), "opened": F.regexp_count("g", F.lit(r"\(")), "closed": F.regexp_count("g", F.lit(r"\)")),
     })
     x = x.withColumn("circular", F.size(F.array_intersect("found", "known")) >= F.greatest(F.lit(1), F.size("known")))
     echo = (F.length("root") >= 3) & ~F.contains("root", F.lit("-")) & F.exists("found", lambda w: F.contains(w, F.col("key")) & (F.length(w) <= F.length("key") + 2))
