@@ -68,7 +68,7 @@ def op_vectors(s, d):
     return found.select("typed", "term", F.explode("vectors").alias("v")).select("typed", "term", F.array_join(F.transform("v.counts", lambda x: x.cast("string")), ",").alias("counts"), F.col("v.first").alias("first"))
 
 
-#: Rules in the shape of the matcher's shipped ones, for English words.
+#: Thresholds and weights of the matcher for English words, on which its decisions depend.
 RULES = {
     "min_len": 0, "margin_hard": 1, "margin_soft": 2, "word": True, "first": 0.0, "share": 3.0, "first_tight": 0.2, "share_tight": 1.5,
     "bands": [(2, 0.0), (3, 1.05), (4, 2.1), (5, 1.95), (6, 1.9), (7, 1.85), (8, 3.35), (9, 3.25), (99, 1.45)],
