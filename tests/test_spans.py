@@ -85,6 +85,23 @@ def test_transliteration(spark):
 # ---- graded spans
 
 
+def test_word_places_need_little_memory():
+    """A batch has up to 10,000 texts; as dicts their words' places took some hundred bytes each."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"Word {i} has 'its' place, éx a{i}b " * 20 for i in range(3000)] + [None, ""])
+    tracemalloc.start()
+    found = spans.placed(texts, re.compile("[A-Za-z']+"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+    for i in (0, 63, 64, 2999):
+        assert found[i].as_py() == [{"w": m[0].lower(), "s": m.start(), "e": m.end()} for m in re.finditer("[A-Za-z']+", texts[i].as_py())]
+    assert found[3000].as_py() is None and found[3001].as_py() == []
+
+
 def plain_span(gloss, text, m):
     cut = lambda w, affixes, front: [w, *[w[len(a) :] if front else w[: -len(a)] for a in affixes if (w.startswith(a) if front else w.endswith(a)) and len(w) - len(a) >= 3][:1]]
     bare = lambda w: (lambda b: b if len(b) >= 3 else None)("".join(m.finals[1][m.finals[0].index(c)] if c in m.finals[0] else c for c in w if c not in m.weak))

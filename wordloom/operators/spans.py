@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +18,39 @@ from wordloom.functions.morphology import Morphology, bare_root, lemma_forms, to
 
 GRADES = ("exact", "form", "root")
 
+#: Texts of a batch whose words are Python objects at once.
+PART = 64
+
+
+_PLACE = pa.struct([("w", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
+
+
+def placed(texts: pa.Array, pattern: re.Pattern) -> pa.Array:
+    """The lower-cased matches in each text with their places. ``PART`` texts at a time become Python objects, the rest stays in Arrow's
+    buffers."""
+
+    def part(some: list[str | None]) -> pa.Array:
+        words, places, ends = [], [], [0]
+        for t in some:
+            for m in pattern.finditer(t or ""):
+                words.append(m[0].lower())
+                places += m.span()
+            ends.append(len(words))
+        at = np.array(places, np.int32).reshape(-1, 2)
+        rows = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(at[:, 0]), pa.array(at[:, 1])], fields=list(_PLACE))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=pa.array([t is None for t in some], pa.bool_()))
+
+    return pa.concat_arrays([part(texts[i : i + PART].to_pylist()) for i in range(0, len(texts), PART)] or [pa.array([], pa.list_(_PLACE))])
+
 
 def word_places(text: Column, letters: str) -> Column:
     """array<struct<w, s, e>>: runs of ``letters``, lower-cased, with their places (from 0, end exclusive)."""
     pattern = re.compile(f"{letters}+")
 
-    @F.pandas_udf("array<struct<w:string,s:int,e:int>>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<w:string,s:int,e:int>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([None if t is None else [{"w": m[0].lower(), "s": m.start(), "e": m.end()} for m in pattern.finditer(t)] for t in texts])
+            yield placed(texts, pattern)
 
     return found(text)
 
