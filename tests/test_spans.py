@@ -102,6 +102,11 @@ def test_word_places_need_little_memory():
     assert found[3000].as_py() is None and found[3001].as_py() == []
 
 
+def test_graded_spans_send_no_keys_through_the_driver(spark):
+    items = spark.createDataFrame([(1, "old house", "an old house")], "id long, gloss string, text string")
+    assert "Broadcast" not in spans.graded_spans(items, M.ENGLISH)._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_span(gloss, text, m):
     cut = lambda w, affixes, front: [w, *[w[len(a) :] if front else w[: -len(a)] for a in affixes if (w.startswith(a) if front else w.endswith(a)) and len(w) - len(a) >= 3][:1]]
     bare = lambda w: (lambda b: b if len(b) >= 3 else None)("".join(m.finals[1][m.finals[0].index(c)] if c in m.finals[0] else c for c in w if c not in m.weak))

@@ -77,7 +77,8 @@ def graded_spans(items: DataFrame, m: Morphology) -> DataFrame:
     gloss = items.select("id", F.inline(asked)).withColumn("_k", F.explode(_keys(F.col("g"), lemma_forms(F.col("g"), m), m))).select("id", "sense", "j", "n", "g", "_k.*")
     text = items.select("id", F.posexplode(word_places(F.col("text"), m.letters)).alias("i", "_t")).select("id", "i", "_t.*")
     text = text.withColumn("_k", F.explode(_keys(F.col("w"), token_forms(F.col("w"), m), m))).select("id", "i", "w", "s", "e", "_k.*")
-    hits = text.join(gloss, ["id", "grade", "key"]).groupBy("id", "sense", "n", "j", "g", "i", "w", "s", "e").agg(F.min("grade").alias("grade"))
+    # a merge join: the size of exploded keys isn't known when it is planned, and neither side is small enough to be sent through the driver
+    hits = text.join(gloss.hint("merge"), ["id", "grade", "key"]).groupBy("id", "sense", "n", "j", "g", "i", "w", "s", "e").agg(F.min("grade").alias("grade"))
     runs = hits.filter("n > 1").groupBy("id", "sense", "n", (F.col("i") - F.col("j")).alias("_at")).agg(F.count("*").alias("_n"), F.max("grade").alias("grade"), F.min("s").alias("s"), F.max("e").alias("e"))
     runs = runs.filter("_n = n").select("id", "sense", F.col("n").alias("words"), "grade", "s", "e")
     own = lambda c, words_: F.col(c).isin(sorted(words_)) if words_ else F.lit(False)
@@ -86,7 +87,7 @@ def graded_spans(items: DataFrame, m: Morphology) -> DataFrame:
     best = runs.unionByName(single).groupBy("id").agg(F.min(order).alias("b"), F.max("s").alias("_last"), F.min("e").alias("_first"))
     sure = (F.col("b.grade") == 0) | ~((F.col("_first") <= F.col("b.s")) | (F.col("_last") >= F.col("b.e")))
     best = best.filter(sure).select("id", F.col("b.s").alias("start"), F.col("b.e").alias("end"), F.get(F.array(*map(F.lit, GRADES)), F.col("b.grade")).alias("grade"), F.col("b.sense").alias("sense"), (-F.col("b.words")).alias("words"))
-    return items.select("id").join(best, "id", "left")
+    return items.select("id").join(best.hint("merge"), "id", "left")
 
 
 def phrase_parts(items: DataFrame, equal) -> DataFrame:
