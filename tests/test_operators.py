@@ -256,3 +256,17 @@ def test_windowed_counts(spark, sf, tmp_path):
     q.stop()
     want = {(str(r[0]), r[1]): r[2] for r in e.groupBy(F.to_date("ts"), "event_type").count().collect()}
     assert {(str(r["start"])[:10], r["event_type"]): r["n"] for r in spark.table("windows").collect()} == want
+
+
+def test_senses_are_split_once_and_parts_dealt_out(spark, sf):
+    from wordloom.functions import scalars as S
+    from wordloom.sources.files import table
+
+    x = S.joined_senses(S.senses(F.col("m"), ("also",)))
+    rows = spark.createDataFrame([(0, "a, b; c (x); also: d"), (1, "also; also"), (2, "one"), (3, ""), (4, None), (5, "a,b,c,d,e,f")], "i int, m string")
+    out = rows.repartition(1).select("i", x.alias("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    runs = lambda w: [" ".join(w[i : i + n]) for i in range(min(len(w), 5)) for n in range(2, min(len(w), 5) - i + 1) if w[i : i + n] != w]
+    want = [runs(list("abcd")), [], [], [], [], runs(list("abcdef"))]
+    assert [r["x"] for r in out.orderBy("i").collect()] == want
+    assert table(spark, sf, "part", deal=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -35,6 +35,11 @@ def places(n: Column, f: Callable[[Column], Column], kind: str = "array<string>"
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), f)).otherwise(F.array().cast(kind))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is worked out once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 # ---- keys
 
 
@@ -84,8 +89,10 @@ def senses(c: Column, markers: Iterable[str] = ()) -> Column:
     nothing else is left."""
     x = F.regexp_replace(F.coalesce(c, F.lit("")), r"\([^)]*\)", " ")
     parts = F.filter(F.transform(F.split(x, r"[,;/|:]|\s-\s|(?<!\.)\.(?!\.)"), lambda p: F.trim(p)), lambda p: p != "")
-    kept = F.filter(parts, lambda p: ~p.isin(list(markers)))
-    return F.when(F.size(kept) > 0, kept).otherwise(parts)
+    if not (known := list(markers)):
+        return parts
+    # the parts themselves where all of them are markers
+    return bound(parts, lambda ps: bound(F.filter(ps, lambda p: ~p.isin(known)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(ps)))
 
 
 def other_senses(parts: Column, typed: Column, most: int = 4) -> Column:
@@ -94,10 +101,11 @@ def other_senses(parts: Column, typed: Column, most: int = 4) -> Column:
 
 def joined_senses(parts: Column, first: int = 5) -> Column:
     """Contiguous runs of two or more of the first parts, but not all of the parts."""
-    head = F.slice(parts, 1, first)
-    runs = places(F.size(head), lambda i: places(F.size(head) - i, lambda k: F.struct(i.alias("i"), (k + 1).alias("n")), "array<struct<i:int,n:int>>"), "array<array<struct<i:int,n:int>>>")
-    whole = F.array_join(parts, " ")
-    return F.filter(F.transform(F.flatten(runs), lambda r: F.array_join(F.slice(head, r["i"], r["n"]), " ")), lambda x: x != whole)
+
+    def runs(ps: Column) -> Column:
+        return bound(F.slice(ps, 1, first), lambda head: bound(F.array_join(ps, " "), lambda whole: F.filter(F.flatten(F.transform(head, lambda _, i: F.when(F.size(head) - i >= 2, F.transform(F.sequence(F.lit(2), F.greatest(F.size(head) - i, F.lit(2))), lambda n: F.array_join(F.slice(head, i + 1, n), " "))).otherwise(strings()))), lambda x: x != whole)))
+
+    return bound(parts, runs)
 
 
 def replaced_words(c: Column, representative: dict[str, str]) -> Column:

@@ -63,14 +63,14 @@ def meaning() -> F.Column:
 @query(f"SELECT p_partkey, array_to_string({_SEGS.format(_MEANING)}, '|') AS senses, array_to_string(list_filter({_SEGS.format(_MEANING)}, lambda x: x <> p_brand)[1:2], '|') AS others FROM part")
 def meaning_senses(s, d):
     parts = S.senses(meaning(), ("also",))
-    return table(s, d, "part").select("p_partkey", F.array_join(parts, "|").alias("senses"), F.array_join(S.other_senses(parts, F.col("p_brand"), 2), "|").alias("others"))
+    return table(s, d, "part", deal=True).select("p_partkey", F.array_join(parts, "|").alias("senses"), F.array_join(S.other_senses(parts, F.col("p_brand"), 2), "|").alias("others"))
 
 
 @query(f"""WITH s AS (SELECT p_partkey, {_SEGS.format(_MEANING)} AS p FROM part), r AS (SELECT p_partkey, p, unnest(flatten([[array_to_string(p[i:i + k], ' ') FOR k IN range(1, least(len(p), 5) - i + 1)] FOR i IN range(1, least(len(p), 5) + 1)])) AS x FROM s)
 SELECT p_partkey, count(*) AS runs, max(x) AS last FROM r WHERE x <> array_to_string(p, ' ') GROUP BY p_partkey""")
 def joined_sense_runs(s, d):
-    runs = table(s, d, "part").select("p_partkey", F.explode(S.joined_senses(S.senses(meaning(), ("also",)))).alias("x"))
-    return runs.groupBy("p_partkey").agg(F.count("*").alias("runs"), F.max("x").alias("last"))
+    runs = table(s, d, "part", deal=True).select("p_partkey", S.bound(S.joined_senses(S.senses(meaning(), ("also",))), lambda x: F.struct(F.size(x).alias("n"), F.array_max(x).alias("last"))).alias("r"))
+    return runs.groupBy("p_partkey").agg(F.sum("r.n").alias("runs"), F.max("r.last").alias("last")).filter("runs > 0")
 
 
 @query("""SELECT p_partkey, array_to_string([CASE x WHEN 'small' THEN 'tiny' WHEN 'little' THEN 'tiny' WHEN 'large' THEN 'big' ELSE x END FOR x IN string_split(p_name, ' ')], ' ') AS canon FROM part""")

@@ -11,9 +11,10 @@ from pyspark.sql.types import StructType
 TEXTS = ("documents", "pages", "benchmark", "conversations")
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, deal: bool = False) -> DataFrame:
+    """``deal``: also a table that isn't in ``TEXTS`` is dealt out, for work on its rows that takes long."""
     df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if (deal or name in TEXTS) and df.rdd.getNumPartitions() < cores else df
 
 
 def strict_tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
