@@ -233,3 +233,11 @@ def test_near_match_of_hot_answers(spark):
         by_key.setdefault((t, o, str(c)), set()).add(out[i])
     assert all(len(x) == 1 for x in by_key.values())
     assert fuzzy.near_match(df.limit(0), forms, forms.select(F.col("form").alias("word")), RULES).count() == 0
+
+
+def test_distances_of_an_answer_are_worked_out_once(spark, sf):
+    from wordloom.queries import QUERIES
+
+    for name in ("diag_why", "credit_sense"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("levenshtein(") == 1 and plan.count("regexp_replace(") == 1

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.scalars import KEY_NEIGHBOURS, inflects, shared_letters
+from wordloom.functions.scalars import KEY_NEIGHBOURS, bound, inflects, shared_letters
 from wordloom.functions.text import deletions
 from wordloom.plans.joins import spread_join
 from wordloom.plans.shared import written
@@ -222,18 +222,20 @@ def tolerance(near: Column) -> Column:
 def why_rejected(typed: Column, raw: Column, targets: Column, whole: Column | None = None) -> Column:
     """struct<why, near, dist> of a rejected answer: empty, no-target, exact, typo, in-gloss (``whole`` holds the raw text)
     or other. ``typed`` and ``targets`` are keys."""
-    n = nearest_target(typed, F.filter(targets, lambda t: t != ""))
-    why = F.when(typed == "", "empty").when(n.isNull(), "no-target").when(n["dist"] == 0, "exact").when(n["dist"] <= tolerance(n["near"]), "typo")
-    if whole is not None:
-        why = why.when(F.contains(whole, F.trim(raw)), "in-gloss")
-    told = (typed != "") & n.isNotNull()
-    return F.struct(why.otherwise("other").alias("why"), F.when(told, n["near"]).alias("near"), F.when(told, n["dist"]).alias("dist"))
+
+    def told(n: Column) -> Column:
+        why = F.when(typed == "", "empty").when(n.isNull(), "no-target").when(n["dist"] == 0, "exact").when(n["dist"] <= tolerance(n["near"]), "typo")
+        if whole is not None:
+            why = why.when(F.contains(whole, F.trim(raw)), "in-gloss")
+        known = (typed != "") & n.isNotNull()
+        return F.struct(why.otherwise("other").alias("why"), F.when(known, n["near"]).alias("near"), F.when(known, n["dist"]).alias("dist"))
+
+    return bound(nearest_target(typed, F.filter(targets, lambda t: t != "")), told)
 
 
 def credited(typed: Column, targets: Column) -> Column:
     """The place (from 0) of the sense that an answer is credited to: an equal one, else the nearest within tolerance."""
-    n = nearest_target(typed, targets)
-    return F.when((F.size(targets) >= 2) & (typed != "") & ((n["dist"] == 0) | (n["dist"] <= tolerance(n["near"]))), n["place"])
+    return F.when((F.size(targets) >= 2) & (typed != ""), bound(nearest_target(typed, targets), lambda n: F.when((n["dist"] == 0) | (n["dist"] <= tolerance(n["near"])), n["place"])))
 
 
 def near_words(typed: DataFrame, word: str, forms: DataFrame, most: int = RADIUS) -> DataFrame:
