@@ -270,3 +270,23 @@ def test_senses_are_split_once_and_parts_dealt_out(spark, sf):
     want = [runs(list("abcd")), [], [], [], [], runs(list("abcdef"))]
     assert [r["x"] for r in out.orderBy("i").collect()] == want
     assert table(spark, sf, "part", deal=True).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nearest_by_overlap_shuffles_no_words_of_targets(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i % 55, " ".join(rng.choices("abcdefghij", k=rng.randrange(6)))) for i in range(60)] + [(99, None)]
+    items = [(f"q{i}", " ".join(rng.choices("abcdefgxyz", k=rng.randrange(1, 7)))) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sets = {i: {w for j, t in docs if i == j for w in (t or "").split()} for i, _ in docs}
+    want = set()
+    for q, text in items:
+        common, t = max((len(x & set(text.split())), -i) for i, x in sets.items())
+        if common:
+            want.add((q, -t, common, round(common / len(set(text.split())), 6)))
+    for most, held in ((400_000, 1 << 21), (9, 36)):  # one pass and several; all targets of a batch at once and a few
+        monkeypatch.setattr(matching, "MOST_QUERY_WORDS", most)
+        monkeypatch.setattr(matching, "HELD_COUNTS", held)
+        found = QUERIES["nearest_by_overlap"](spark, str(tmp_path))
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]

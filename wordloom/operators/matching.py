@@ -1,7 +1,12 @@
-"""Joins by similarity, containment, tiers and steps, all as equi-joins on blocking keys with a check behind."""
+"""Joins by similarity, containment, tiers and steps: equi-joins on blocking keys with a check behind, or a small side sent to all tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +67,69 @@ def overlap_pairs(sets: DataFrame, id_: str, word: str, share: tuple[int, int])
     return out.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "common", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("size_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("size_b"))
 
 
+#: Rows of query words that are sent to the tasks at once; counts that a task holds at once.
+MOST_QUERY_WORDS, HELD_COUNTS = 400_000, 1 << 21
+
+
 def nearest_by_overlap(queries: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, best, common, score): for each query (id, w) the target (id, w) that shares the most words; ties: least id.
-    ``score`` is the share of the query's words. Queries are the small side; hits are counted before they are shuffled."""
+    ``score`` is the share of the query's words. Queries are the small side."""
+    return nearest_sets(queries, targets.groupBy("id").agg(F.collect_set("w").alias("ws")))
+
+
+def nearest_sets(queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """``nearest_by_overlap`` of targets that have a row each: (id, ws), ids whole numbers, words repeated or not.
+
+    The queries' words go to all tasks, ``MOST_QUERY_WORDS`` at a time with a pass over the targets for each; a task counts the words that
+    its targets share with every query and sends on one row a query, so that nothing is shuffled that grows with the targets."""
     q = queries.select("id", "w").distinct()
-    hits = q.join(targets.select(F.col("id").alias("t"), "w").distinct(), "w").groupBy("id", "t").agg(F.count("*").alias("common"))
-    best = hits.groupBy("id").agg(F.max(F.struct("common", (-F.col("t")).alias("neg"))).alias("m"))
-    return best.join(q.groupBy("id").agg(F.count("*").alias("n")), "id").select("id", (-F.col("m.neg")).alias("best"), F.col("m.common").alias("common"), F.round(F.col("m.common") / F.col("n"), 6).alias("score"))
+    size = q.groupBy("id").agg(F.count("*").alias("n"))
+    passes = -(-q.count() // MOST_QUERY_WORDS)
+    best = None
+    for k in range(max(passes, 1)):
+        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == k) if passes > 1 else q
+        found = _nearest(part, sets)
+        best = found if best is None else best.unionByName(found)
+    best = best.groupBy("id").agg(F.max(F.struct("common", (-F.col("t")).alias("neg"))).alias("m"))
+    return best.join(size, "id").select("id", (-F.col("m.neg")).alias("best"), F.col("m.common").alias("common"), F.round(F.col("m.common") / F.col("n"), 6).alias("score"))
+
+
+def _nearest(queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, t, common): of each task, the nearest target of every query that shares a word with one."""
+    rows = queries.toArrow().combine_chunks()
+    ids = pc.unique(rows["id"])
+    item = pc.index_in(rows["id"], value_set=ids).to_numpy()
+    words = pc.unique(pc.drop_null(rows["w"]))
+    word = pc.fill_null(pc.index_in(rows["w"], value_set=words, skip_nulls=True), len(words)).to_numpy()
+    order = np.argsort(word, kind="stable")
+    start = np.searchsorted(word[order], np.arange(len(words) + 1))
+    sent = sets.sparkSession.sparkContext.broadcast((words.cast(pa.string()), start, item[order], len(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, start, items, n = sent.value
+        most, least = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        step = max(HELD_COUNTS // max(n, 1), 1)
+        for b in batches:
+            targets = b.column("t").to_numpy()
+            for at in range(0, b.num_rows, step):
+                ws = b.column("ws").slice(at, step)
+                row = pc.list_parent_indices(ws).to_numpy()
+                place = pc.fill_null(pc.index_in(pc.list_flatten(ws), value_set=words, skip_nulls=True), -1).to_numpy()
+                # each word of a target once
+                row, place = np.divmod(np.unique(row[place >= 0] * np.int64(len(words)) + place[place >= 0]), max(len(words), 1))
+                sizes = start[place + 1] - start[place]
+                own = np.arange(sizes.sum()) + np.repeat(start[place] - np.cumsum(sizes) + sizes, sizes)
+                common = np.bincount(np.repeat(row, sizes) * n + items[own], minlength=len(ws) * n).reshape(len(ws), n)
+                top = common.max(0)
+                first = np.where(common == top, targets[at : at + step, None], np.iinfo(np.int64).max).min(0)
+                better = (top > most) | ((top == most) & (first < least))
+                most, least = np.where(better, top, most), np.where(better, first, least)
+        hit = np.flatnonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(least[hit]), pa.array(most[hit])], ["q", "t", "common"])
+
+    found = sets.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("t"), "ws").mapInArrow(run, "q int, t long, common long")
+    names = sets.sparkSession.createDataFrame(pa.table({"q": pa.array(range(len(ids)), pa.int32()), "id": ids}))
+    return found.join(F.broadcast(names), "q").select("id", "t", "common")
 
 
 def tiered(rows: DataFrame, id_: str, *tiers: tuple[str, DataFrame]) -> DataFrame:

@@ -167,7 +167,12 @@ def overlap_near_dups(s, d):
 h AS (SELECT item_id AS id, s.id AS t, count(*) AS common FROM q JOIN s USING (w) GROUP BY 1, 2)
 SELECT id, t AS best, common, round(common / n, 6) AS score FROM h JOIN (SELECT item_id AS id, count(*) AS n FROM q GROUP BY 1) USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, t) = 1""")
 def nearest_by_overlap(s, d):
-    return matching.nearest_by_overlap(_words(s, d, "benchmark", "item_id"), _words(s, d))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    again = docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if not again.isEmpty():  # rows of one doc_id are one set
+        several = docs.join(again, "id").groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+        docs = docs.join(again, "id", "left_anti").unionByName(several)
+    return matching.nearest_sets(_words(s, d, "benchmark", "item_id"), docs.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("ws")))
 
 
 @query("SELECT item_id AS passage_id, doc_id AS text_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
