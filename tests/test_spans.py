@@ -43,6 +43,19 @@ def test_nested_templates(spark):
     assert column(spark, [None], M.without_templates)[0]["text"] == ""
 
 
+def test_nested_templates_take_time_in_proportion(spark):
+    """Appending each piece to what stands so far copied a long text's beginning for every piece."""
+    import time
+
+    text = "a{b}{{lb|x\u2003}}" * 100_000
+    rows = spark.createDataFrame([(text,)], "t string").select(M.without_templates(F.col("t"), ("lb",)).alias("r"))
+    rows.select("r.labels").first()
+    start = time.time()
+    found = rows.first()["r"]
+    assert time.time() - start < 30
+    assert found["text"] == "a{b}" * 100_000 and found["labels"] == ["lb x"] * 100_000
+
+
 HEBREW_WORDS = ["פשט", "התפשט", "לפשוט", "להתפשט", "פשיטה", "מרד", "מורד", "מרדנ", "עייפ", "נשבר", "שבר", "הפליג", "הפלגה", "אאא", "שומר", "שמור", "", "ab", "נננ"]
 
 

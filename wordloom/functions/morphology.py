@@ -1,9 +1,12 @@
-"""Word forms by peeled affixes, weak letters and root templates, all as built-in expressions."""
+"""Word forms by peeled affixes, weak letters and root templates as built-in expressions; nested templates of markup in Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,25 +165,45 @@ def transliterates(meaning: Column, term: Column, least_letters: int = 4, share:
 # ---- nested templates of markup
 
 
-def without_templates(text: Column, labels: tuple[str, ...] = ()) -> Column:
-    """struct<text, labels>: the text outside ``{{...}}`` of any depth, and the parts of templates whose first part is in ``labels``,
-    joined by spaces. A template's own text only is looked at, not what is nested in it; one that isn't closed hides all that follows;
-    closing braces outside stay."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\{\{|\}\}|[^{}]+|[{}])"), F.lit(1))
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit("").alias("text"), none.alias("stack"), none.alias("labels"))
+#: White space as Java's (?U)\\s has it, and the pieces that nested templates are made of.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(r"\{\{|\}\}|[^{}]+|[{}]")
+
+#: Texts of a batch that are Python objects at once.
+_PART = 64
 
-    def put(s: Column, text=None, stack=None, found=None) -> Column:
-        return F.struct((s["text"] if text is None else text).alias("text"), (s["stack"] if stack is None else stack).alias("stack"), (s["labels"] if found is None else found).alias("labels"))
 
-    def closed(s: Column) -> Column:
-        parts = F.transform(F.split(F.element_at(s["stack"], -1), r"\|", -1), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
-        label = F.when(parts[0].isin(list(labels)) if labels else F.lit(False), F.array(F.array_join(F.filter(parts, lambda p: p != ""), " "))).otherwise(none)
-        return put(s, stack=F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1), found=F.concat(s["labels"], label))
+def split_templates(text: str | None, labels: frozenset[str]) -> tuple[str, list[str]]:
+    """The text outside of templates and the labels, in one walk: pieces are joined once, not copied for each further one."""
+    out: list[str] = []
+    found: list[str] = []
+    stack: list[list[str]] = []
+    for p in _PIECES.findall(text or ""):
+        if p == "{{":
+            stack.append([])
+        elif p == "}}" and stack:
+            parts = [x.strip(_BLANKS) for x in "".join(stack.pop()).split("|")]
+            if parts[0] in labels:
+                found.append(" ".join(x for x in parts if x))
+        else:
+            (stack[-1] if stack else out).append(p)
+    return "".join(out), found
 
-    def step(s: Column, p: Column) -> Column:
-        deep = F.size(s["stack"]) > 0
-        grown = F.concat(F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(s["stack"], F.lit(-1)), p)))
-        return F.when(p == "{{", put(s, stack=F.concat(s["stack"], F.array(F.lit(""))))).when((p == "}}") & deep, closed(s)).when(deep, put(s, stack=grown)).otherwise(put(s, text=F.concat(s["text"], p)))
 
-    return F.aggregate(pieces, start, step, lambda s: F.struct(s["text"].alias("text"), s["labels"].alias("labels")))
+def without_templates(text: Column, labels: tuple[str, ...] = ()) -> Column:
+    """struct<text, labels>: the text outside ``{{...}}`` of any depth, and the parts of templates whose first part is in ``labels``,
+    joined by spaces. A template's own text only is looked at, not what is nested in it; one that isn't closed hides all that follows;
+    closing braces outside stay."""
+    known = frozenset(labels)
+    kind = pa.struct([("text", pa.string()), ("labels", pa.list_(pa.string()))])
+
+    @F.arrow_udf("struct<text:string,labels:array<string>>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for i in range(0, len(texts), _PART):
+                rows = [split_templates(t, known) for t in texts[i : i + _PART].to_pylist()]
+                parts.append(pa.StructArray.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.list_(pa.string()))], fields=list(kind)))
+            yield pa.concat_arrays(parts or [pa.array([], kind)])
+
+    return split(text)
