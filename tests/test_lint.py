@@ -60,3 +60,11 @@ def test_shared_glosses_on_a_hot_gloss(spark):
             owner.setdefault(x, w)
     assert {r["id"] for r in lint.shared_glosses(df).collect()} == want
     assert lint.gloss_problems(df.limit(0), STOPS, CONJUNCTION).count() == 0
+
+
+def test_shared_glosses_sort_no_senses_to_add_them_up(spark):
+    rows = spark.createDataFrame([(1, "a", "old house; long " + "x" * 60), (2, "b", "old house"), (3, "a", "old house"), (4, None, "long " + "x" * 60), (5, "c", "new thing"), (6, None, "new thing; other"), (7, "c", "new thing")], "id long, word string, gloss string")
+    found = lint.shared_glosses(rows)
+    assert sorted(r["id"] for r in found.collect()) == [2, 3, 4, 6, 7]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "regexp_replace" not in plan

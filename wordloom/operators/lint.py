@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.scalars import folded
+from wordloom.functions.scalars import bound, folded, strings
 from wordloom.functions.text import grams
 from wordloom.plans.joins import spread_join
+from wordloom.plans.shared import written
 
 
 def broken_rules(rows: DataFrame, id_: str, rules: dict[str, Column]) -> DataFrame:
@@ -49,15 +50,27 @@ def first_reason(rows: DataFrame, reasons: dict[str, Column], default: str = "ok
 POINTS = "[\u0591-\u05bd\u05bf-\u05c7]"
 _BLANKS = "[ \t\n\f\r]+"
 
+#: All kinds of rules of ``gloss_problems``.
+GLOSS_RULES = ("empty", "circular", "rootecho", "toolong", "parens", "repeat", "punct", "fragment", "niqqud", "shared")
+
+#: Letters that ``folded`` changes.
+FOLDED = "[ךםןףץוי]"
+
+
+def _short(key: Column) -> Column:
+    """A key to be shuffled: long ones by their digests."""
+    return F.when(F.length(key) > 40, F.concat(F.lit("\0"), F.md5(key))).otherwise(key)
+
 
 def plain_gloss(gloss: Column) -> Column:
     """Without points, with simple hyphens and single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(gloss, F.lit("\u05be"), F.lit("-")), POINTS, ""), _BLANKS, " "))
+    marked = F.when(gloss.rlike("[\u0591-\u05c7]"), F.regexp_replace(F.replace(gloss, F.lit("\u05be"), F.lit("-")), POINTS, "")).otherwise(gloss)
+    return F.trim(F.regexp_replace(marked, _BLANKS, " "))
 
 
 def bare_gloss(plain: Column) -> Column:
     """A plain gloss without what stands in brackets."""
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\([^)]*\)", " "), _BLANKS, " "))
+    return F.when(F.contains(plain, F.lit("(")), F.trim(F.regexp_replace(F.regexp_replace(plain, r"\([^)]*\)", " "), _BLANKS, " "))).otherwise(plain)
 
 
 def gloss_senses(bare: Column) -> Column:
@@ -79,19 +92,27 @@ def gloss_faults(rows: DataFrame, stops: list[str], conjunction: str, most: int
     """
     x = rows.select("id", F.lower(F.coalesce("word", F.lit(""))).alias("word"), F.coalesce("root", F.lit("")).alias("root"), F.coalesce("gloss", F.lit("")).alias("raw"))
     x = x.withColumn("g", plain_gloss(F.col("raw"))).withColumn("bare", bare_gloss(F.col("g"))).withColumn("words", F.regexp_extract_all("g", F.lit('[\\p{L}"׳]+'), F.lit(0)))
-    found = F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    # three words stand twice only if three words at least aren't the first of their kind
+    x = x.withColumn("repeat", (F.size("words") - F.size(F.array_distinct("words")) >= 3) & bound(grams(F.col("words"), 3), lambda three: F.size(three) > F.size(F.array_distinct(three))))
     known = F.filter(F.split("word", " "), lambda w: (F.length(w) >= 3) & ~w.isin(stops))
     x = x.withColumns({
-        "found": F.array_distinct(F.transform(found, lambda w: folded(w))), "known": F.array_distinct(F.transform(known, lambda w: folded(w))), "key": folded(F.lower("root")), "senses": gloss_senses(F.col("bare")),
-        "three": grams(F.col("words"), 3), "opened": F.regexp_count("g", F.lit(r"\(")), "closed": F.regexp_count("g", F.lit(r"\)")),
+        "low": F.lower("bare"), "known": F.array_distinct(F.transform(known, lambda w: folded(w))), "key": folded(F.lower("root")), "senses": gloss_senses(F.col("bare")),
+        "opened": F.length("g") - F.length(F.replace("g", F.lit("("), F.lit(""))), "closed": F.length("g") - F.length(F.replace("g", F.lit(")"), F.lit(""))),
     })
+    # folding changes a run of letters only if it has one of these; where the gloss has none, a word or root that it repeats stands in it
+    # as it is, and most glosses need no list of words
+    lossy = F.col("low").rlike(FOLDED)
+    maybe = lossy | F.exists("known", lambda w: F.contains("low", w)) | ((F.length("root") >= 3) & F.contains("low", "key"))
+    listed = F.regexp_extract_all("low", F.lit(r"(\p{L}{3,})"), F.lit(1))
+    found = F.when(lossy, F.array_distinct(F.transform(F.array_distinct(listed), lambda w: folded(w)))).when(maybe, F.array_distinct(listed)).otherwise(strings())
+    x = x.withColumn("found", found)
     x = x.withColumn("circular", F.size(F.array_intersect("found", "known")) >= F.greatest(F.lit(1), F.size("known")))
     echo = (F.length("root") >= 3) & ~F.contains("root", F.lit("-")) & F.exists("found", lambda w: F.contains(w, F.col("key")) & (F.length(w) <= F.length("key") + 2))
     odd = (F.col("bare") == "") | (F.col("opened") > F.greatest(F.lit(1), F.size("senses"))) | F.col("g").rlike(r"\([^)]*;[^)]*\)")
     later = F.filter("senses", lambda w, i: i > 0)
     rules = {
         "circular": F.col("circular"), "rootecho": ~F.col("circular") & echo, "toolong": F.length("g") > most, "parens": (F.col("opened") != F.col("closed")) | ((F.col("opened") > 0) & odd),
-        "repeat": F.size("three") > F.size(F.array_distinct("three")), "punct": F.endswith("g", F.lit(".")) | F.col("g").rlike("[—–·]") | F.col("raw").rlike("[ \t\n\f\r][,;:]|[,;:]{2}|  "),
+        "repeat": F.col("repeat"), "punct": F.endswith("g", F.lit(".")) | F.col("g").rlike("[—–·]") | F.col("raw").rlike("[ \t\n\f\r][,;:]|[,;:]{2}|  "),
         "fragment": F.exists(later, lambda w: w.rlike(conjunction) & (F.size(F.split(w, " ")) <= 4)), "niqqud": F.col("raw").rlike(POINTS),
     }
     return broken_rules(x, "id", {"empty": F.col("g") == ""} | {name: (F.col("g") != "") & c for name, c in rules.items()})
@@ -99,14 +120,24 @@ def gloss_faults(rows: DataFrame, stops: list[str], conjunction: str, most: int
 
 def shared_glosses(rows: DataFrame, least: int = 6) -> DataFrame:
     """Ids of rows (id, word, gloss) with a gloss that an earlier row has, or a sense of at least ``least`` letters that first
-    stood at another word. Who is first is aggregated before anything is joined, and the join spreads what many share."""
-    g = rows.select("id", "word", plain_gloss(F.coalesce("gloss", F.lit(""))).alias("g")).filter("g <> ''")
-    senses = g.select("id", "word", F.explode(F.array_distinct(F.filter(gloss_senses(bare_gloss(F.col("g"))), lambda x: F.length(x) >= least))).alias("k"))
-    first_id = g.groupBy("g").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
-    same = spread_join(g.select("id", "g"), first_id, "g").filter("id <> first").select("id")
-    first_word = senses.groupBy("k").agg(F.min(F.struct("id", "word")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("k", F.col("m.word").alias("at"))
-    parts = spread_join(senses, first_word, "k").filter(~F.col("at").eqNullSafe(F.col("word"))).select("id")
-    return same.unionByName(parts).distinct()
+    stood at another word. Who is first is aggregated before anything is joined, and the joins spread what many share."""
+    g = rows.select("id", "word", plain_gloss(F.coalesce("gloss", F.lit(""))).alias("g"))
+    parts = F.array_distinct(F.filter(gloss_senses(bare_gloss(F.col("g"))), lambda x: F.length(x) >= least))
+    lines = written(g.filter("g <> ''").select("id", "word", _short(F.col("g")).alias("g"), F.transform(parts, _short).alias("ks")), "gloss-lines")
+    first_id = lines.groupBy("g").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
+    same = spread_join(lines.select("id", "g"), first_id, "g").filter("id <> first").select("id")
+    # sums of numbers only, which are hashed: of each sense and word the first id, of each sense the first word's
+    senses = lines.select("id", "word", F.explode("ks").alias("k"))
+    pairs = written(senses.groupBy("k", "word").agg(F.min("id").alias("id")), "gloss-pairs")
+    first = pairs.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("k", "first")
+    later = spread_join(pairs, first, "k").filter("id <> first").select(_sense_at(F.col("k"), F.col("word")).alias("at"))
+    shared = spread_join(senses.select("id", _sense_at(F.col("k"), F.col("word")).alias("at")), later, "at").select("id")
+    return same.unionByName(shared).distinct()
+
+
+def _sense_at(sense: Column, word: Column) -> Column:
+    """A sense at a word, which may be null, as one key."""
+    return F.concat_ws("\0", sense, word)
 
 
 def gloss_problems(rows: DataFrame, stops: list[str], conjunction: str, most: int = 60) -> DataFrame:
