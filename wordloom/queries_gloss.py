@@ -58,7 +58,10 @@ def gloss_lint(s, d):
 
 @query(f"WITH {_PROBLEMS} SELECT doc_id, count(DISTINCT id) AS bad_lines, count(*) AS problems, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM (SELECT id // 1000000 AS doc_id, id, rule FROM problems) GROUP BY doc_id")
 def gloss_reports(s, d):
-    """Of each document with problems: bad lines, problems and their kinds. A line's problems are gathered first, at most ten."""
-    per_line = problems(s, d).groupBy("id").agg(F.count("*").alias("n"), F.collect_set("rule").alias("rules"))
-    per_doc = per_line.groupBy(F.floor(F.col("id") / 1_000_000).cast("long").alias("doc_id")).agg(F.count("*").alias("bad_lines"), F.sum("n").alias("problems"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))), ",").alias("rules"))
-    return per_doc
+    """Of each document with problems: bad lines, problems and their kinds. Kinds are bits, so that all sums are hashed."""
+    names = sorted(lint.GLOSS_RULES)
+    bit = F.array_position(F.array(*map(F.lit, names)), F.col("rule")).cast("int") - 1
+    per_line = problems(s, d).groupBy("id").agg(F.count("*").alias("n"), F.bit_or(F.call_function("shiftleft", F.lit(1), bit)).alias("m"))
+    per_doc = per_line.groupBy(F.floor(F.col("id") / 1_000_000).cast("long").alias("doc_id")).agg(F.count("*").alias("bad_lines"), F.sum("n").alias("problems"), F.bit_or("m").alias("m"))
+    kinds = F.array_compact(F.array(*[F.when(F.col("m").bitwiseAND(F.lit(1 << i)) != 0, name) for i, name in enumerate(names)]))
+    return per_doc.select("doc_id", "bad_lines", "problems", F.array_join(kinds, ",").alias("rules"))
