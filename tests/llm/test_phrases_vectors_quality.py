@@ -237,3 +237,45 @@ def test_quality_of_odd_rows(spark):
     out = quality_qda.quality(table, mixed).collect()
     assert len(out) == 15 and all(0 <= r["score"] <= 1 for r in out) and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
     assert quality_qda.quality(table.limit(0), mixed).count() == 0
+
+
+def test_held_pairs_are_added_up_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from wordloom.llm import phrase_lists as P
+
+    rng = np.random.default_rng(3)
+    held = [[] for _ in range(P.HELD_PARTS)]
+    total = 0
+    tracemalloc.start()
+    for _ in range(4):
+        prefix, suffix, n = rng.integers(0, 2000, 400_000), rng.integers(0, 500, 400_000), rng.integers(1, 9, 400_000)
+        P.hold(held, prefix, suffix, n, 500)
+        total += int(n.sum())
+    del prefix, suffix, n
+    tracemalloc.reset_peak()
+    start, seen, summed = tracemalloc.get_traced_memory()[0], set(), 0
+    for batch in P.sent_pairs(held, 500):
+        for bucket, n, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "pairs")), strict=True):
+            a, b, k = P._unpack_pairs(n, packed)
+            assert bucket not in seen and len(set(zip(a.tolist(), b.tolist(), strict=True))) == n
+            seen.add(bucket)
+            summed += int(k.sum())
+    peak = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    assert summed == total and not any(held)
+    assert peak < 12 << 20  # all at once took several times what is held, 32 MB
+
+
+def test_blocks_batches_are_bounded_by_bytes_and_settings_come_back(spark):
+    from wordloom.llm import phrase_lists as P
+
+    docs = spark.createDataFrame([("a b a b a b", "en")] * 60, "text string, lang string")
+    names = list(P.BATCHES)
+    spark.conf.set(names[0], "321")
+    found = P.collocations(docs, block_words=50, most_sent=0)
+    assert {r["phrase"] for r in found.collect()} == {"a b", "a b a b"}
+    assert names[1].endswith("maxBytesPerBatch") and spark.conf.get(names[1]) != P.BATCHES[names[1]]
+    assert spark.conf.get(names[0]) == "500"  # what ``tune`` sets
