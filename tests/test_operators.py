@@ -290,3 +290,13 @@ def test_nearest_by_overlap_shuffles_no_words_of_targets(spark, tmp_path, monkey
         found = QUERIES["nearest_by_overlap"](spark, str(tmp_path))
         assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+
+
+def test_sifted_keeps_all_known_keys_and_few_others(spark):
+    from wordloom.plans.joins import sifted
+
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
+    table = spark.range(0, 20_000, 100).select(F.concat(F.lit("k"), F.col("id")).alias("k"))
+    left = {r["k"] for r in sifted(rows, "k", table).collect()}
+    assert left >= {f"k{i}" for i in range(0, 20_000, 100)} and len(left) < 300
+    assert sifted(rows, "k", table.filter("false")).count() == 0

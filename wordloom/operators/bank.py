@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.plans.joins import sifted
 from wordloom.plans.ordinals import with_ordinal
 
 
@@ -78,10 +79,13 @@ def distractors(bank: DataFrame, id_: str, form: str, kind: str, most: int = 3)
 
 def phrases(texts: DataFrame, id_: str, words: str, lexicon: DataFrame, most: int = 3) -> DataFrame:
     """(id, at, n, phrase): phrases of up to ``most`` words that the lexicon (phrase) holds, leftmost first, the longest at
-    each place, without overlaps. Windows join by equality; only the hits of a text meet in its row."""
+    each place, without overlaps. Windows are sifted by a filter of the
+    lexicon and join by equality; only the hits of a text meet in its row."""
     sizes = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i + n - 1 <= F.size(words)), lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i, n), " ").alias("phrase")))))
     windows = texts.select(id_, F.explode(sizes).alias("w")).select(id_, "w.*")
-    hits = windows.join(lexicon.select("phrase").distinct(), "phrase").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "phrase"))).alias("hs"))
+    known = lexicon.select("phrase").distinct()
+    # only windows that may be in the lexicon are shuffled to meet it
+    hits = sifted(windows, "phrase", known).join(known, "phrase").groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "phrase"))).alias("hs"))
     empty = F.array().cast("array<struct<at:int,n:int,phrase:string>>")
     start = F.struct(F.lit(1).alias("next"), empty.alias("found"))
 
