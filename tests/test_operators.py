@@ -300,3 +300,11 @@ def test_sifted_keeps_all_known_keys_and_few_others(spark):
     left = {r["k"] for r in sifted(rows, "k", table).collect()}
     assert left >= {f"k{i}" for i in range(0, 20_000, 100)} and len(left) < 300
     assert sifted(rows, "k", table.filter("false")).count() == 0
+
+
+def test_levenshtein_pairs_are_checked_before_they_are_made_distinct(spark):
+    words = spark.createDataFrame([("kitten",), ("sitten",), ("sittin",), (None,)], "w string")
+    found = matching.levenshtein_pairs(words, "w", 2)
+    assert sorted(map(tuple, found.collect())) == [("kitten", "sitten", 1), ("kitten", "sittin", 2), ("sitten", "sittin", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate") and "xxhash64(" in plan  # variants meet as numbers, and pairs are checked below the last sum

@@ -16,12 +16,13 @@ from wordloom.functions.text import deletions, grams, tokens
 def levenshtein_pairs(words: DataFrame, word: str, most: int) -> DataFrame:
     """(a, b, distance), a < b, of distinct words at most ``most`` edits apart.
 
-    Two words that near share a string that either reaches by ``most`` deletions: the equi-join is on those.
+    Two words that near share a string that either reaches by ``most`` deletions: the equi-join is on those strings' hashes, for
+    every pair is checked anyway. It is checked before pairs are made distinct, so that only true ones are shuffled once more.
     """
     w = words.select(F.col(word).alias("w")).distinct()
-    v = w.select("w", F.explode(deletions(F.col("w"), most)).alias("v"))
-    pairs = v.select(F.col("w").alias("a"), "v").join(v.select(F.col("w").alias("b"), "v"), "v").filter("a < b").select("a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)
+    v = w.select("w", F.explode(deletions(F.col("w"), most)).alias("v")).select("w", F.xxhash64("v").alias("v"))
+    pairs = v.select(F.col("w").alias("a"), "v").join(v.select(F.col("w").alias("b"), "v"), "v").filter("a < b")
+    return pairs.select("a", "b", F.levenshtein("a", "b", most).alias("distance")).filter("distance >= 0").distinct()
 
 
 def rare_word_pairs(sets: DataFrame, id_: str, word: str, most_docs: int) -> DataFrame:
