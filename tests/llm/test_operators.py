@@ -155,6 +155,22 @@ def test_pairs_inside_a_dense_group_are_found(spark):
     assert sum(out[i] != want[i] for i in want) <= 5
 
 
+def test_pairs_of_a_dense_group_without_rare_shared_shingles_are_found(spark):
+    """Texts of 296 common shingles and four of twelve blocks, each in a third of the texts: those of the same four overlap by
+    76 %, those of three by less than 75 %. What tells pairs from the rest is frequent, and none may be missed."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    common, blocks = [word() for _ in range(300)], [[word() for _ in range(9)] for _ in range(12)]
+    chosen = list(itertools.combinations(range(12), 4))
+    chosen += rng.sample(chosen, 105)
+    rng.shuffle(chosen)
+    texts = [" ".join(common + [w for b in c for w in [word(), *blocks[b]]] + [word() for _ in range(30)]) for c in chosen]
+    first = {}
+    want = {i: first.setdefault(c, i) for i, c in enumerate(chosen)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert {r["doc_id"]: r["component_id"] for r in minhash_cps.near_duplicates(rows).collect()} == want
+
+
 def test_dense_group_keeps_its_components(spark, monkeypatch):
     """Hundreds of loose copies of one text, below the threshold to most others, among them near pairs: no component is lost."""
     rng = random.Random(1)

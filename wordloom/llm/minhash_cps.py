@@ -15,11 +15,12 @@ linked, and every document gets the smallest doc_id that links reach.
    trees join most copies to components; later trees compare across components only.
 4. *Dense nodes.* A node that keeps more than ``PERCENT`` percent of its parent's classes holds near copies of one text:
    branching on tells them apart no further, so it stops there. The classes are dealt at random to groups of ``SMALL``, compared in
-   those, and all trees together connect the bulk. Dense nodes that still span several components are branched once more,
-   by *selected* tokens: a class enters a child for each of its ``SELECTED`` least shingle hashes that few of its dealt group
-   have. Those are all from the part by which the node's texts differ, so a pair that is close to each other and not to the
-   bulk shares several of them, however much the bulk has in common; a child that spans one component ends. Rows stay in
-   proportion to the classes.
+   those, and all trees together connect the bulk.
+5. *Exact rest.* What branching and dealing may part are pairs that met in a larger node of the first level. In such nodes of
+   at most ``SIFTED`` classes, those go on that pass the sift with a class of another component; in larger ones, all. Of them, a shingle that only one component holds can't be shared by a pair still to find. The
+   others are ordered rarest first; a pair that is similar enough shares one among the first few of both sets, where enough
+   others follow to make up the overlap. An equi-join on those finds every such pair, and full sets decide. A class with too
+   few shared shingles has no such pair.
 
 Full sets are hashed once, for the classes that have a candidate, and reread. Components grow by alternating large-star
 and small-star steps on tables in the shared folder; nothing that grows with the corpus reaches the driver.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import SPACES, arrow_map, as_bytes, drop, lasting, mix64, scratch, tune, written
@@ -49,9 +50,8 @@ COORDINATES, TREES, FIRST_TREES, SMALL = 64, 10, 1, 40
 #: Deep levels have few classes and spare further ones: at level k, nodes of k * SMALL classes are compared, up to this k.
 MOST_SMALL = 8
 
-#: A shingle is a selected one if at most this share of a class's dealt group has it; selected ones of a class; shingles of
-#: a class, the least of their mixed hashes, that these are looked for among.
-FEW, SELECTED, SEEN = 0.25, 64, 4096
+#: Classes of a first-level node that are sifted against one another in a task; larger nodes go to the exact join unsifted.
+SIFTED = 4096
 
 #: A pair is confirmed on full sets from this share of equal minwise tokens on: five deviations below the threshold.
 SIFT = 31
@@ -193,15 +193,15 @@ def _dealt(dense: DataFrame) -> DataFrame:
     return dense.withColumn("of", F.col("node")).withColumn("node", group)
 
 
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Of all trees: (tree, node, id, sketch) of nodes to compare exhaustively, and (tree, node, of, id, sketch) of the
-    dealt groups of dense nodes (None: there are none).
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Of all trees: (tree, node, id, sketch) of nodes to compare exhaustively, (tree, node, of, id, sketch) of the
+    dealt groups of dense nodes (None: there are none), and (node, id, n, sketch) of the first level's nodes that branch.
 
     Below the first level a minwise token's low 8 bits do: in a node of agreeing classes they tell apart as well.
     """
     now = _counted(_roots(classes), classes.select("id", "sketch"))
     small, dense = [now.filter(F.col("n") <= SMALL)], []
-    now = now.filter(F.col("n") > SMALL)
+    now = large_roots = now.filter(F.col("n") > SMALL)
     level = 1
     while not now.isEmpty():
         children = _counted(_branch(now, level))
@@ -211,7 +211,8 @@ def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         dense.append(children.filter(large & stuck))
         now = children.filter(large & ~stuck)
     dense = [x for x in dense if not x.isEmpty()]
-    return _union([x.select("tree", "node", "id", "sketch") for x in small]), _dealt(_union(dense)).select("tree", "node", "of", "id", "sketch") if dense else None
+    dealt = _dealt(_union(dense)).select("tree", "node", "of", "id", "sketch") if dense else None
+    return _union([x.select("tree", "node", "id", "sketch") for x in small]), dealt, large_roots.select("node", "id", "n", "sketch")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -358,57 +359,73 @@ def _crossing(members: DataFrame) -> DataFrame:
     return members.join(spread, "node", "left_semi")
 
 
-def _selected(dealt: DataFrame) -> DataFrame:
-    """(node, id): children of dense nodes by selected shingles. ``dealt``: node, id, hashes; a node is a dealt group.
-
-    A group is a random sample of its dense node, so what few of it have, few of the node have; children of all groups
-    bear the same names. Least hashes are the same ones in texts that share them, whatever else the texts hold.
-    """
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x in b.column("hashes").to_pylist():
-                h = mix64(np.frombuffer(x, np.uint64) + _U(_BASE))
-                out.append(np.sort(h if len(h) <= SEEN else np.partition(h, SEEN)[:SEEN]).tobytes())
-            yield b.set_column(b.schema.get_field_index("hashes"), "hashes", pa.array(out, pa.binary()))
+def _to_settle(nodes: DataFrame) -> DataFrame:
+    """(id, label) of ``nodes`` (node, id, n, sketch, label): classes that can be similar to one of another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            sets = [np.frombuffer(x, np.uint64) for x in g.column("hashes").to_pylist()]
-            names, times = np.unique(np.concatenate(sets), return_counts=True)
-            few = names[times <= max(1, FEW * len(sets))]
-            chosen = [x[np.isin(x, few, assume_unique=True)][:SELECTED] for x in sets]
-            row = np.repeat(np.arange(len(sets)), [len(x) for x in chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).view(np.int64)), g.column("id").combine_chunks().take(pa.array(row))], ["node", "id"])
+            sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            label, near = g.column("label").to_numpy(), np.zeros(len(sketch), bool)
+            for i in range(len(sketch) - 1):
+                like = ((sketch[i + 1 :] == sketch[i]).sum(1, dtype=np.uint8) >= SIFT) & (label[i + 1 :] != label[i])
+                if like.any():
+                    near[i] = True
+                    near[i + 1 :] |= like
+            if near.any():
+                yield from g.select(["id", "label"]).filter(pa.array(near)).combine_chunks().to_batches()
 
-    seen = dealt.select("node", "id", "hashes").mapInArrow(least, "node long, id long, hashes binary")
-    return seen.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, id long")
+    few = nodes.filter(F.col("n") <= SIFTED).select("node", "id", "label", "sketch")
+    few = few.repartition("node").sortWithinPartitions("node").mapInArrow(run, "id long, label long")
+    return few.unionByName(nodes.filter(F.col("n") > SIFTED).select("id", "label")).distinct()
 
 
-def _mixed(dealt: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label, node): the classes of dense nodes that span several components, each in the trees' first such node."""
-    rows = _labelled(dealt.select("of", "node", "id"), labels)
-    spread = rows.groupBy("of").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("of")
-    first = rows.join(spread, "of", "left_semi").groupBy("id").agg(F.min(F.struct("of", "node")).alias("m"), F.min("label").alias("label"))
-    return written(first.select("id", "label", "m.node"), "dense-mixed")
+def _shared(sets: DataFrame) -> DataFrame:
+    """(s, label, n, h, rest): of every set (s, label, hashes) that can be similar to one of another label the shingles, rarest
+    first, one of which it shares with each such set. ``rest`` counts the shared ones from this on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                h = np.frombuffer(b.column("hashes")[at].as_buffer(), np.int64)
+                s, label, n = (np.full(len(h), x) for x in (b.column("s")[at].as_py(), b.column("label")[at].as_py(), len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, label, n, h)], ["s", "label", "n", "h"])
+
+    rows = sets.select("s", "label", "hashes").mapInArrow(run, "s long, label long, n long, h long")
+    held = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h", "df")
+    of = Window.partitionBy("s")
+    shared = rows.join(held, "h").withColumn("m", F.count("*").over(of)).withColumn("at", F.row_number().over(of.orderBy("df", "h")))
+    return written(shared.withColumn("rest", F.expr("m - at + 1")).filter(100 * F.col("rest") >= PERCENT * F.col("n")).select("s", "label", "n", "h", "rest"), "rest-shared")
+
+
+def _rest_pairs(shared: DataFrame) -> DataFrame:
+    """(x, y): pairs of sets of different labels that can be similar enough, by what follows their first shared shingle."""
+    side = lambda c: shared.select("h", *[F.col(k).alias(f"{k}_{c}") for k in ("s", "label", "n", "rest")])
+    # an overlap is at least PERCENT of 100 + PERCENT of both sizes, thus twice that of the smaller one's
+    small = side("x").filter((100 + PERCENT) * F.col("rest_x") >= 2 * PERCENT * F.col("n_x"))
+    able = (100 + PERCENT) * F.least("rest_x", "rest_y") >= PERCENT * (F.col("n_x") + F.col("n_y"))
+    pairs = small.join(side("y"), "h").filter("(n_x < n_y OR n_x = n_y AND s_x < s_y) AND label_x <> label_y").filter(able)
+    return pairs.select(F.col("s_x").alias("x"), F.col("s_y").alias("y")).distinct()
+
+
+def exact_rest(sets: DataFrame) -> DataFrame:
+    """Links (a, b) of labels: every pair of sets (id, label, hashes) of different labels that are similar enough."""
+    sets = written(sets.select(F.xxhash64("id", "hashes").alias("s"), "label", "hashes"), "rest-sets")
+    pairs = written(_rest_pairs(_shared(sets)), "rest-pairs")
+    side = lambda c: sets.select(F.col("s").alias(c), F.col("label").alias(f"label_{c}"), F.col("hashes").alias(f"hashes_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full = [[np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(c)] for c in ("hashes_x", "hashes_y")]
+            yes = pa.array([linked(x, y) for x, y in zip(*full, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(yes) for c in ("label_x", "label_y")], ["a", "b"])
 
-def _strays(mixed: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, id, label, sketch) to compare: children by selected shingles of the classes in ``mixed``."""
-    children = _selected(mixed.join(sets, "id")).join(mixed.select("id", "label"), "id")
-    children = _crossing(written(children, "selected"))
-    # a child of very many classes is dealt like a dense node
-    total = children.groupBy("node").agg(F.count("*").alias("n"))
-    children = _dealt(children.join(total, "node")).select("node", "id", "label")
-    return children.join(classes.select("id", "sketch"), "id")
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("label_x", "label_y", "hashes_x", "hashes_y").mapInArrow(run, "a long, b long")
 
 
 def _labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, label): the component of each class that has a link."""
-    small, dealt = leaves(classes)
+    small, dealt, large = leaves(classes)
     if dealt is not None:
-        dealt = written(dealt, "dealt")
         small = small.unionByName(dealt.drop("of"))
     found = written(candidates(small), "candidates")
     sets = written(_full_sets(docs, found.select("id")), "sets")
@@ -419,12 +436,12 @@ def _labels(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    if dealt is not None and not (mixed := _mixed(dealt, labels)).isEmpty():
-        new = _full_sets(docs, mixed.select("id").join(found.select("id"), "id", "left_anti"))
-        sets = sets.unionByName(written(new, "sets"))
-        near = candidates(_strays(mixed, sets, classes).withColumn("tree", F.lit(TREES).cast("short")))
-        near = written(_crossing(written(_labelled(near.select("node", "id"), labels), "stray-candidates")), "stray-candidates")
-        labels = components(links.unionByName(written(confirmed(near, sets), "links")))
+    large = written(_to_settle(written(_crossing(_labelled(large, labels)), "rest-nodes")), "rest")
+    if not large.isEmpty():
+        new = _full_sets(docs, large.select("id").join(found.select("id"), "id", "left_anti"))
+        more = written(exact_rest(large.join(sets.unionByName(new), "id")), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     return labels
 
 
