@@ -104,6 +104,25 @@ def test_overlap_pairs_in_groups_of_many_copies(spark):
     assert matching.rare_word_pairs(rows, "id", "w", 14).count() == 0
 
 
+def test_pairs_of_sets_carry_no_words(spark, monkeypatch):
+    """Pairs go as ids to tasks that read the sets in blocks; results are those of brute force over several blocks and columns."""
+    for name, value in {"BLOCK_WORDS": 100, "BLOCK_SETS": 16, "COLUMNS": 3, "HELD": 50, "DENSE": 0.2}.items():
+        monkeypatch.setattr(matching, name, value, raising=False)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    sets = [frozenset(rng.choices(words, [1 / (k + 1) for k in range(60)], k=rng.randrange(1, 25))) for _ in range(90)]
+    rows = spark.createDataFrame([(f"d{i}", w) for i, x in enumerate(sets) for w in x] + [(None, "w1"), ("d1", None)], "id string, w string")
+    held = {w: sum(w in x for x in sets) for w in words}
+    pair = lambda i, j: (f"d{i}", f"d{j}", len(sets[i] & sets[j]), len(sets[i]), len(sets[j]))
+    pairs = [pair(i, j) for i in range(90) for j in range(90) if f"d{i}" < f"d{j}"]
+    rare = {(f"d{i}", f"d{j}") for w in words if 2 <= held[w] <= 5 for i in range(90) for j in range(90) if w in sets[i] and w in sets[j]}
+    overlapping, sharing = matching.overlap_pairs(rows, "id", "w", (6, 10)), matching.rare_word_pairs(rows, "id", "w", 5)
+    assert sorted(map(tuple, overlapping.collect())) == sorted(p for p in pairs if 10 * p[2] >= 6 * min(p[3:]))
+    assert sorted(map(tuple, sharing.collect())) == sorted(p for p in pairs if p[:2] in rare) and rare
+    for df in (overlapping, sharing):
+        assert "array_intersect" not in df._jdf.queryExecution().toString()
+
+
 def test_nearest_by_overlap_counts_frequent_words(spark):
     targets = spark.createDataFrame([(i, w) for i in range(20) for w in ("a", "b")] + [(20, "rare"), (7, "c")], "id int, w string")
     queries = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "rare"), (2, "b")], "id int, w string")

@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.text import deletions, grams, tokens
+from wordloom.plans.shared import work_dir
 
 
 def levenshtein_pairs(words: DataFrame, word: str, most: int) -> DataFrame:
@@ -25,47 +29,160 @@ def levenshtein_pairs(words: DataFrame, word: str, most: int) -> DataFrame:
     return pairs.select("a", "b", F.levenshtein("a", "b", most).alias("distance")).filter("distance >= 0").distinct()
 
 
+#: Words and sets of a block: a task holds two blocks, and counts for each pair of their sets. Words that are counted by one product of
+#: matrices; a word is counted that way where more than this share of two blocks' pairs has it. Rows that are counted singly at once.
+BLOCK_WORDS, BLOCK_SETS, COLUMNS, DENSE, HELD = 4 << 20, 2048, 1024, 1 / 256, 4 << 20
+
+
+def _in_blocks(sets: DataFrame, most_sets: int) -> tuple[str, int, DataFrame]:
+    """The folder of the sets' blocks (id, ws: sorted hashes of the words), a subfolder each, how many there are, and the sets' table.
+
+    Tasks read the two blocks that they compare from the shared folder, so that no pair of sets carries its words through a shuffle.
+    """
+    spark = sets.sparkSession
+    words, ids = sets.agg(F.count("*"), F.approx_count_distinct("id")).first()
+    n = max(-(-words // BLOCK_WORDS), -(-ids // most_sets), 1)
+    full = sets.groupBy("id").agg(F.array_sort(F.collect_set(F.xxhash64("w"))).alias("ws"))
+    path = work_dir(spark, "blocks")
+    full.withColumn("block", _block("id", n)).repartition("block").write.partitionBy("block").parquet(path)
+    return path, n, full
+
+
+def _block(id_: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(n))
+
+
+class _Block:
+    """Sets of a block: ``ids``, ``n`` (their sizes), ``words`` of all in a row and where each set's ``start``."""
+
+    def __init__(self, path: str, block: int):
+        folder, name = fs.FileSystem.from_uri(f"{path}/block={block}")
+        if folder.get_file_info(name).type == fs.FileType.NotFound:
+            self.ids, self.n, self.words = pa.nulls(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        else:
+            rows = pq.read_table(name, columns=["id", "ws"], filesystem=folder, partitioning=None).combine_chunks()
+            self.ids, ws = rows["id"].combine_chunks(), rows["ws"].combine_chunks()
+            self.n, self.words = pc.list_value_length(ws).to_numpy().astype(np.int64), pc.list_flatten(ws).to_numpy()
+        self.start = np.concatenate(([0], np.cumsum(self.n)))
+
+
+def _all_common(x: _Block, y: _Block) -> np.ndarray:
+    """How many words each set of ``x`` shares with each of ``y``: frequent words by products of matrices, others singly."""
+    shape = len(x.n), len(y.n)
+    found, at = np.unique(np.concatenate((x.words, y.words)), return_inverse=True)
+    sides = [(np.repeat(np.arange(len(b.n)), b.n), w) for b, w in ((x, at[: len(x.words)]), (y, at[len(x.words) :]))]
+    times = [np.bincount(w, minlength=len(found)) for _, w in sides]
+    work = times[0] * times[1]
+    dense = np.flatnonzero(work > DENSE * shape[0] * shape[1])
+    column = np.full(len(found), -1)
+    column[dense] = np.arange(len(dense))
+    common = np.zeros(shape, np.float32)  # exact below 2**24 words
+    for k in range(0, len(dense), COLUMNS):
+        has = []
+        for (row, w), size in zip(sides, shape, strict=True):
+            c = column[w] - k
+            on = (c >= 0) & (c < COLUMNS)
+            has.append(np.zeros((size, COLUMNS), np.float32))
+            has[-1][row[on], c[on]] = 1
+        common += has[0] @ has[1].T
+    few = (work > 0) & (column < 0)
+    (row, w), (other, v) = ((r[few[w]], w[few[w]]) for r, w in sides)
+    other = other[np.argsort(v, kind="stable")]
+    times = np.where(few, times[1], 0)
+    first, last = (np.cumsum(times) - times)[w], np.cumsum(times[w])
+    at = 0
+    while at < len(w):
+        to = max(int(np.searchsorted(last, (last[at - 1] if at else 0) + HELD, "right")), at + 1)
+        size = times[w[at:to]]
+        place = np.arange(size.sum()) + np.repeat(first[at:to] - np.cumsum(size) + size, size)
+        common += np.bincount(np.repeat(row[at:to], size) * shape[1] + other[place], minlength=shape[0] * shape[1]).reshape(shape)
+        at = to
+    return common.astype(np.int32)
+
+
+def _pair_schema(full: DataFrame) -> T.StructType:
+    kind = full.schema["id"].dataType
+    return T.StructType([T.StructField("x", kind), T.StructField("y", kind), *[T.StructField(c, T.IntegerType()) for c in ("common", "n_x", "n_y")]])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    first = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("size_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("size_b"))
+
+
 def rare_word_pairs(sets: DataFrame, id_: str, word: str, most_docs: int) -> DataFrame:
     """(a, b, common, size_a, size_b), a < b, of sets that share a word of at most ``most_docs`` sets.
 
-    A rare word's pairs are at most ``most_docs`` squared, so no word can flood the join; ``common`` counts all words.
+    A rare word's pairs are at most ``most_docs`` squared, so no word can flood the join; ``common`` counts all words. A pair goes
+    to the task of its two blocks as ids only; the words are read there, once a block.
     """
-    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).distinct()
+    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).filter("id IS NOT NULL AND w IS NOT NULL")
+    path, n, full = _in_blocks(s, 1 << 31)
+    s = s.distinct()
     df = s.groupBy("w").agg(F.count("*").alias("df")).filter(F.col("df").between(2, most_docs)).select("w")
-    rare = s.join(df, "w")
+    rare = s.join(df, "w").select("id", F.xxhash64("w").alias("w"))
     pairs = rare.select(F.col("id").alias("a"), "w").join(rare.select(F.col("id").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
-    full = s.groupBy("id").agg(F.collect_set(F.xxhash64("w")).alias("ws"))
-    left = pairs.join(full.select(F.col("id").alias("a"), F.col("ws").alias("wa")), "a")
-    both = left.join(full.select(F.col("id").alias("b"), F.col("ws").alias("wb")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("common"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b"))
+    blocks = pairs.select(_block("a", n).alias("i"), _block("b", n).alias("j"), "a", "b")
+    turned = F.col("i") > F.col("j")
+    tiles = blocks.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Block] = {}
+        for b in batches:
+            tile = b.column("i").to_numpy() * n + b.column("j").to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]))
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                if at == to:
+                    continue
+                keys = tuple(int(k) for k in divmod(tile[at], n))
+                held = {k: held[k] for k in keys if k in held}
+                for k in keys:
+                    if k not in held:
+                        held[k] = _Block(path, k)
+                sides = [held[k] for k in keys]
+                names = [b.column(c).slice(at, to - at) for c in ("x", "y")]
+                places = [pc.index_in(v, value_set=side.ids).to_numpy() for v, side in zip(names, sides, strict=True)]
+                common = []
+                for p, q in zip(*places, strict=True):
+                    one, two = (side.words[side.start[r] : side.start[r + 1]] for side, r in zip(sides, (p, q), strict=True))
+                    if len(one) > len(two):
+                        one, two = two, one
+                    common.append(np.count_nonzero(two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one))
+                sizes = [pa.array(side.n[p], pa.int32()) for side, p in zip(sides, places, strict=True)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(common, pa.int32()), *sizes], ["x", "y", "common", "n_x", "n_y"])
+
+    return _ordered(tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, _pair_schema(full)))
 
 
 def overlap_pairs(sets: DataFrame, id_: str, word: str, share: tuple[int, int]) -> DataFrame:
     """(a, b, common, size_a, size_b), a < b, of all sets that share at least ``share`` (a fraction) of the smaller one's words.
 
-    Equal sets stand as one class until the end. Words are ordered rarest first. Of a pair's first shared word, the smaller
-    set holds at most what it may lack before it, and both hold at least the words to share from it on: the equi-join is on
-    those positions, so a frequent word is a key only for sets without enough rarer ones. Nothing is dropped.
+    Short sets of frequent words lie within very many others, so that pairs to find grow with the square of the sets. Each two
+    blocks of sets are a task's work, which counts all their pairs' common words at once. Nothing is dropped, and
+    nothing is shuffled but the sets.
     """
     num, den = share
-    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).distinct()
-    ranked = s.join(s.groupBy("w").agg(F.count("*").alias("df")), "w")
-    full = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("x")).select("id", F.col("x.w").alias("ws"))
-    full = full.withColumn("class", F.sha2(F.to_json("ws"), 256))
-    classes = full.groupBy("class").agg(F.any_value("ws").alias("ws")).withColumn("n", F.size("ws"))
-    words = classes.select("class", "n", F.posexplode("ws").alias("at", "w")).withColumn("rest", F.col("n") - F.col("at")).drop("at")
-    need = F.ceil(F.col("n") * num / den)
-    small = words.filter(F.col("rest") >= need).select("w", F.col("class").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), need.alias("need"))
-    large = words.select("w", F.col("class").alias("y"), F.col("n").alias("n_y"), F.col("rest").alias("rest_y"))
-    pairs = small.join(large, "w").filter("(n_x < n_y OR n_x = n_y AND x < y) AND rest_y >= need").select("x", "y").distinct()
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("ws").alias(f"w_{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    both = both.select("x", "y", F.size(F.array_intersect("w_x", "w_y")).alias("common"), F.size("w_x").alias("n_x"), F.size("w_y").alias("n_y")).filter(den * F.col("common") >= num * F.col("n_x"))
-    same = classes.select(F.col("class").alias("x"), F.col("class").alias("y"), F.col("n").alias("common"), F.col("n").alias("n_x"), F.col("n").alias("n_y"))
-    member = lambda c: full.select(F.col("class").alias(c), F.col("id").alias(f"id_{c}"))
-    out = both.unionByName(same).join(member("x"), "x").join(member("y"), "y").filter("x <> y OR id_x < id_y")
-    first = F.col("id_x") < F.col("id_y")
-    return out.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "common", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("size_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("size_b"))
+    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).filter("id IS NOT NULL AND w IS NOT NULL")
+    path, n, full = _in_blocks(s, BLOCK_SETS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tile in b.column("id").to_pylist():
+                i, j = divmod(tile, n)
+                if i > j:
+                    continue
+                x = _Block(path, i)
+                y = x if i == j else _Block(path, j)
+                common = _all_common(x, y)
+                hit = den * common.astype(np.int64) >= num * np.minimum(x.n[:, None], y.n[None, :])
+                p, q = np.nonzero(np.triu(hit, 1) if i == j else hit & (common > 0))
+                for at in range(0, len(p), 1 << 16):
+                    r, c = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(r)), y.ids.take(pa.array(c)), *[pa.array(v, pa.int32()) for v in (common[r, c], x.n[r], y.n[c])]], ["x", "y", "common", "n_x", "n_y"])
+
+    # half of the numbers name a tile; tiles are small tasks, dealt in turn
+    tiles = sets.sparkSession.range(0, n * n, 1, min(n * n, 4096))
+    return _ordered(tiles.mapInArrow(run, _pair_schema(full)))
 
 
 #: Rows of query words that are sent to the tasks at once; counts that a task holds at once.

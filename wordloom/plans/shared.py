@@ -5,21 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to and read back from the folder in ``spark.checkpoint.dir``: what was computed once stays as it is.
-
-    Only in a local session without that setting a folder of the machine is set.
-    """
-    spark = df.sparkSession
+def work_dir(spark: SparkSession, what: str) -> str:
+    """A fresh folder in ``spark.checkpoint.dir``. Only in a local session without that setting a folder of the machine is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to and read back from a folder of ``work_dir``: what was computed once stays as it is."""
+    path = work_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
