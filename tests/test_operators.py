@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as T
 from wordloom.operators import dedup, matching, sampling, scoring, state
 from wordloom.plans.ordinals import with_ordinal, with_running_sum
-from wordloom.queries import QUERIES
+from wordloom.queries import ORACLE_SQL, QUERIES
 from wordloom.sources import files
 from wordloom.streaming import events as streams
 
@@ -123,6 +123,28 @@ def test_pairs_of_sets_carry_no_words(spark, monkeypatch):
         assert "array_intersect" not in df._jdf.queryExecution().toString()
 
 
+def test_jaccard_window_finds_pairs_that_share_frequent_words_only(spark, tmp_path):
+    """Words of more than 14 texts count as others do, texts of one id are one, and what has over 255 frequent words is counted right."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(rng.sample(words[:30], rng.randrange(1, 25)))) for i in range(60)] + [(60 + i, " ".join(rng.sample(words, 390 - 60 * (i % 4)))) for i in range(20)]
+    texts += [(3, "w0 w1 Extra"), (90, None), (91, ""), (None, "w0 w1")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets: dict[int, set[str]] = {}
+    for i, x in texts:
+        if i is not None and x:
+            sets.setdefault(i, set()).update(x.lower().split())
+    want = set()
+    for a in sets:
+        for b in sets:
+            common, whole = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and 18 * whole <= 100 * common <= 62 * whole:
+                want.add((a, b, common, whole))
+    rows = list(map(tuple, QUERIES["jaccard_window"](spark, str(tmp_path)).collect()))
+    assert set(rows) == want and len(rows) == len(want) and max(c for *_, c, _ in want) > 200
+    assert "14" not in ORACLE_SQL["jaccard_window"]
+
+
 def test_nearest_by_overlap_counts_frequent_words(spark):
     targets = spark.createDataFrame([(i, w) for i in range(20) for w in ("a", "b")] + [(20, "rare"), (7, "c")], "id int, w string")
     queries = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "rare"), (2, "b")], "id int, w string")

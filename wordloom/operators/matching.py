@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordloom.functions.text import deletions, grams, tokens
-from wordloom.plans.shared import work_dir
+from wordloom.plans.shared import work_dir, written
 
 
 def levenshtein_pairs(words: DataFrame, word: str, most: int) -> DataFrame:
@@ -29,9 +31,12 @@ def levenshtein_pairs(words: DataFrame, word: str, most: int) -> DataFrame:
     return pairs.select("a", "b", F.levenshtein("a", "b", most).alias("distance")).filter("distance >= 0").distinct()
 
 
-#: Words and sets of a block: a task holds two blocks, and counts for each pair of their sets. Words that are counted by one product of
-#: matrices; a word is counted that way where more than this share of two blocks' pairs has it. Rows that are counted singly at once.
-BLOCK_WORDS, BLOCK_SETS, COLUMNS, DENSE, HELD = 4 << 20, 2048, 1024, 1 / 256, 4 << 20
+#: Words and sets of a block: a task holds two blocks. A word that more than this share of a block's sets have is a row of bytes there, up to
+#: so many rows; other words are lists of places. Words that tell sets of different kinds apart.
+BLOCK_WORDS, BLOCK_SETS, COLUMNS, DENSE, KINDS = 4 << 20, 1 << 14, 4096, 1 / 50, 16
+
+#: Neighbours in size that are ruled out together, tiles at least, pairs that are sent on at once; bounds are reckoned in floats and give way by this.
+NEAR_SIZES, LEAST_TILES, SENT_PAIRS, SLACK = 256, 64, 1 << 16, 1e-3
 
 
 def _in_blocks(sets: DataFrame, most_sets: int) -> tuple[str, int, DataFrame]:
@@ -66,38 +71,170 @@ class _Block:
         self.start = np.concatenate(([0], np.cumsum(self.n)))
 
 
-def _all_common(x: _Block, y: _Block) -> np.ndarray:
-    """How many words each set of ``x`` shares with each of ``y``: frequent words by products of matrices, others singly."""
-    shape = len(x.n), len(y.n)
-    found, at = np.unique(np.concatenate((x.words, y.words)), return_inverse=True)
-    sides = [(np.repeat(np.arange(len(b.n)), b.n), w) for b, w in ((x, at[: len(x.words)]), (y, at[len(x.words) :]))]
-    times = [np.bincount(w, minlength=len(found)) for _, w in sides]
-    work = times[0] * times[1]
-    dense = np.flatnonzero(work > DENSE * shape[0] * shape[1])
-    column = np.full(len(found), -1)
-    column[dense] = np.arange(len(dense))
-    common = np.zeros(shape, np.float32)  # exact below 2**24 words
-    for k in range(0, len(dense), COLUMNS):
-        has = []
-        for (row, w), size in zip(sides, shape, strict=True):
-            c = column[w] - k
-            on = (c >= 0) & (c < COLUMNS)
-            has.append(np.zeros((size, COLUMNS), np.float32))
-            has[-1][row[on], c[on]] = 1
-        common += has[0] @ has[1].T
-    few = (work > 0) & (column < 0)
-    (row, w), (other, v) = ((r[few[w]], w[few[w]]) for r, w in sides)
-    other = other[np.argsort(v, kind="stable")]
-    times = np.where(few, times[1], 0)
-    first, last = (np.cumsum(times) - times)[w], np.cumsum(times[w])
-    at = 0
-    while at < len(w):
-        to = max(int(np.searchsorted(last, (last[at - 1] if at else 0) + HELD, "right")), at + 1)
-        size = times[w[at:to]]
-        place = np.arange(size.sum()) + np.repeat(first[at:to] - np.cumsum(size) + size, size)
-        common += np.bincount(np.repeat(row[at:to], size) * shape[1] + other[place], minlength=shape[0] * shape[1]).reshape(shape)
-        at = to
-    return common.astype(np.int32)
+class _Sorted:
+    """Sets of a block by size: ``ids``, ``n`` (their sizes), ``start`` of each in ``word`` (places in ``vocabulary``, which is sorted), and for
+    each word of that from ``at`` on the sets that have it, ``post``."""
+
+    FIELDS = ("ids", "n", "word", "vocabulary", "at", "post")
+
+    def __init__(self, name: str):
+        folder, name = fs.FileSystem.from_uri(name)
+        with folder.open_input_stream(name) as f:
+            row = pa.ipc.open_stream(f).read_all().combine_chunks()
+        self.ids, *numbers = (row.column(c).chunk(0).flatten() for c in self.FIELDS)
+        self.n, self.word, self.vocabulary, self.at, self.post = (x.to_numpy() for x in numbers)
+        self.start = np.concatenate(([0], np.cumsum(self.n)))
+
+    @classmethod
+    def write(cls, name: str, ids: pa.Array, ws: pa.Array) -> None:
+        order = pc.array_sort_indices(pc.list_value_length(ws))
+        ids, ws = ids.take(order), ws.take(order)
+        n, words = pc.list_value_length(ws).to_numpy().astype(np.int64), ws.flatten().to_numpy()
+        order = np.argsort(words, kind="stable")
+        at = np.flatnonzero(np.diff(words[order], prepend=words[order[:1]] ^ 1))
+        word = np.empty(len(words), np.int32)
+        word[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(at, append=len(words)))
+        post = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        fields = (ids, n, word, words[order[at]], np.append(at, len(words)), post)
+        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x)) for x in fields]
+        row = pa.RecordBatch.from_arrays(one, cls.FIELDS)
+        folder, name = fs.FileSystem.from_uri(name)
+        folder.create_dir(name.rpartition("/")[0])
+        with folder.open_output_stream(name) as f, pa.ipc.new_stream(f, row.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_batch(row)
+
+
+def _sorted_blocks(sets: DataFrame) -> list[str]:
+    """Blocks of sets (id, ws: distinct hashes of the words) in files of the shared folder, and their names.
+
+    Sets go by the most frequent word that they have, for what has another one is mostly in another language, and two blocks
+    of different kinds have few words in common. That only saves work: each two blocks are compared.
+    """
+    spark = sets.sparkSession
+    sets = written(sets.filter("id IS NOT NULL AND size(ws) > 0"), "sets")
+    top = [w for w, _ in sets.select(F.explode("ws").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(KINDS).collect()]
+    kind = F.lit(len(top))
+    for k in range(len(top) - 1, -1, -1):
+        kind = F.when(F.array_contains("ws", F.lit(top[k]).cast("long")), k).otherwise(kind)
+    counts = {k: (n, words) for k, n, words in sets.groupBy(kind.alias("kind")).agg(F.count("*"), F.sum(F.size("ws"))).collect()}
+    if not counts:
+        return []
+    most = min(BLOCK_SETS, max(BLOCK_WORDS * sum(n for n, _ in counts.values()) // sum(words for _, words in counts.values()), 1))
+    blocks, held, places = 0, most, []
+    for k in range(len(top) + 1):
+        n = counts.get(k, (0, 0))[0]
+        if held + n > most:  # else with the kinds before
+            first, own = blocks, max(-(-n // most), 1)
+            blocks += own
+            held = n if own == 1 else most
+        else:
+            first, own, held = blocks - 1, 1, held + n
+        places.append((first, own))
+    first, own = (F.element_at(F.array(*[F.lit(p[i]) for p in places]), kind + 1) for i in (0, 1))
+    path = work_dir(spark, "blocks")
+
+    def pack(t: pa.Table) -> pa.Table:
+        name = f"{path}/{uuid.uuid4().hex}"  # an attempt's own
+        _Sorted.write(name, t.column("id").combine_chunks(), t.column("ws").combine_chunks())
+        return pa.table({"name": [name]})
+
+    names = sets.select("id", "ws", (first + F.pmod(F.xxhash64("id"), own)).alias("block")).groupBy("block").applyInArrow(pack, "name string").collect()
+    return [r["name"] for r in names]
+
+
+def _matches(x: _Sorted, y: _Sorted, rows: range, low: Callable, right: Callable, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(p, q, common): the sets q of ``y`` that are ``right`` for p, one of the ``rows`` of ``x``; q > p in the ``same`` block.
+
+    Frequent words' rows of bytes are added up, the others' places counted. Where the latter and as many of the frequent words as both have
+    don't come up to ``low``, the former needn't be.
+    """
+    place = np.minimum(np.searchsorted(y.vocabulary, x.vocabulary), len(y.vocabulary) - 1)
+    place[y.vocabulary[place] != x.vocabulary] = -1
+    times = np.diff(y.at)
+    often = place[place >= 0]
+    often = often[times[often] > DENSE * len(y.n)]
+    often = often[np.argsort(-times[often], kind="stable")[:COLUMNS]]
+    column = np.full(len(y.vocabulary) + 1, -1, np.int32)
+    column[often] = np.arange(len(often))
+    table = np.zeros((len(often), len(y.n)), np.uint8)
+    for line, v in zip(table, often.tolist(), strict=True):
+        line[y.post[y.at[v] : y.at[v + 1]]] = 1
+    lines, dense = list(table), table.sum(0, dtype=np.int32)
+    post = y.post.astype(np.uint16) if len(y.n) <= 1 << 16 else y.post
+    least, most = y.n[::NEAR_SIZES], y.n[np.minimum(np.arange(NEAR_SIZES - 1, len(y.n) + NEAR_SIZES - 1, NEAR_SIZES), len(y.n) - 1)]
+    sums = np.empty(len(y.n), np.uint8)
+    for p in rows:
+        n = int(x.n[p])
+        v = place[x.word[x.start[p] : x.start[p + 1]]]
+        v = v[v >= 0]
+        near = np.flatnonzero((low(n, least) <= len(v) + SLACK) & (low(n, most) <= most + SLACK))
+        if not len(near) or not len(v):
+            continue
+        a, b = max(int(near[0]) * NEAR_SIZES, p + 1 if same else 0), min((int(near[-1]) + 1) * NEAR_SIZES, len(y.n))
+        if a >= b:
+            continue
+        c = column[v]
+        rest, own = v[c < 0], c[c >= 0]
+        if len(rest):
+            found = np.concatenate([post[i:j] for i, j in zip(y.at[rest].tolist(), y.at[rest + 1].tolist(), strict=True)])
+            common = np.bincount(found, minlength=len(y.n))[a:b]
+        else:
+            common = np.zeros(b - a, np.int64)
+        bound = low(n, y.n[a:b]) - SLACK
+        q = np.flatnonzero(common + np.minimum(dense[a:b], len(own)) >= bound)
+        if not len(q):
+            continue
+        if 32 * len(q) < b - a:
+            common, bound = common[q] + table[own[:, None], q + a].sum(0, dtype=np.int64), bound[q]
+            hit = common >= bound
+            q, common = q[hit], common[hit]
+        else:
+            whole, own = b - a == len(y.n), own.tolist()
+            for k in range(0, len(own), 255):
+                s = sums[a:b]
+                s.fill(0)
+                for u in own[k : k + 255]:
+                    np.add(s, lines[u] if whole else lines[u][a:b], s)
+                common = common + s
+            q = np.flatnonzero(common >= bound)
+            common = common[q]
+        q = q + a
+        hit = right(common, n, y.n[q])
+        if hit.any():
+            yield np.full(np.count_nonzero(hit), p), q[hit], common[hit]
+
+
+def _set_pairs(sets: DataFrame, low: Callable, right: Callable) -> DataFrame:
+    """(a, b, common, size_a, size_b), a < b, of all sets (id, ws: distinct hashes of the words) that are ``right``(common, n, sizes).
+
+    ``low``(n, sizes) is what they have in common at least, grows with the sizes and by less than them. Each two blocks of sets are tasks'
+    work, and nothing is shuffled but the sets.
+    """
+    schema, spark = _pair_schema(sets), sets.sparkSession
+    names = _sorted_blocks(sets)
+    n = len(names)
+    tiles = [(i, j) for i in range(n) for j in range(i, n)]
+    parts = max(-(-LEAST_TILES // max(len(tiles), 1)), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column("id").to_pylist():
+                (i, j), part = tiles[task // parts], task % parts
+                x = _Sorted(names[i])
+                y = x if i == j else _Sorted(names[j])
+                held, size = [], 0
+                for some in itertools.chain(_matches(x, y, range(part, len(x.n), parts), low, right, i == j), [None]):
+                    if held and (some is None or size >= SENT_PAIRS):
+                        p, q, common = (np.concatenate(v) for v in zip(*held, strict=True))
+                        yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(p)), y.ids.take(pa.array(q)), *[pa.array(v, pa.int32()) for v in (common, x.n[p], y.n[q])]], schema.names)
+                        held, size = [], 0
+                    if some is not None:
+                        held.append(some)
+                        size += len(some[0])
+
+    # tiles are small tasks, dealt in turn
+    tasks = spark.range(0, len(tiles) * parts, 1, max(min(len(tiles) * parts, 4096), 1))
+    return _ordered(tasks.mapInArrow(run, schema))
 
 
 def _pair_schema(full: DataFrame) -> T.StructType:
@@ -114,7 +251,8 @@ def rare_word_pairs(sets: DataFrame, id_: str, word: str, most_docs: int) -> Dat
     """(a, b, common, size_a, size_b), a < b, of sets that share a word of at most ``most_docs`` sets.
 
     A rare word's pairs are at most ``most_docs`` squared, so no word can flood the join; ``common`` counts all words. A pair goes
-    to the task of its two blocks as ids only; the words are read there, once a block.
+    to the task of its two blocks as ids only; the words are read there, once a block. What shares frequent words only isn't asked
+    for here: ``overlapping`` and ``jaccard_pairs`` find all pairs.
     """
     s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).filter("id IS NOT NULL AND w IS NOT NULL")
     path, n, full = _in_blocks(s, 1 << 31)
@@ -154,35 +292,35 @@ def rare_word_pairs(sets: DataFrame, id_: str, word: str, most_docs: int) -> Dat
     return _ordered(tiles.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, _pair_schema(full)))
 
 
+def _hashed(sets: DataFrame, id_: str, word: str) -> DataFrame:
+    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).filter("id IS NOT NULL AND w IS NOT NULL")
+    return s.groupBy("id").agg(F.collect_set(F.xxhash64("w")).alias("ws"))
+
+
 def overlap_pairs(sets: DataFrame, id_: str, word: str, share: tuple[int, int]) -> DataFrame:
-    """(a, b, common, size_a, size_b), a < b, of all sets that share at least ``share`` (a fraction) of the smaller one's words.
+    """(a, b, common, size_a, size_b), a < b, of all sets that share at least ``share`` (a fraction) of the smaller one's words."""
+    return overlapping(_hashed(sets, id_, word), share)
+
 
-    Short sets of frequent words lie within very many others, so that pairs to find grow with the square of the sets. Each two
-    blocks of sets are a task's work, which counts all their pairs' common words at once. Nothing is dropped, and
-    nothing is shuffled but the sets.
+def overlapping(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``overlap_pairs`` of sets that have a row each: (id, ws: distinct hashes of the words).
+
+    Short sets of frequent words lie within very many others, so that pairs to find grow with the square of the sets. Nothing is dropped.
     """
     num, den = share
-    s = sets.select(F.col(id_).alias("id"), F.col(word).alias("w")).filter("id IS NOT NULL AND w IS NOT NULL")
-    path, n, full = _in_blocks(s, BLOCK_SETS)
+    return _set_pairs(sets, lambda n, sizes: num / den * np.minimum(n, sizes), lambda common, n, sizes: den * common >= num * np.minimum(n, sizes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for tile in b.column("id").to_pylist():
-                i, j = divmod(tile, n)
-                if i > j:
-                    continue
-                x = _Block(path, i)
-                y = x if i == j else _Block(path, j)
-                common = _all_common(x, y)
-                hit = den * common.astype(np.int64) >= num * np.minimum(x.n[:, None], y.n[None, :])
-                p, q = np.nonzero(np.triu(hit, 1) if i == j else hit & (common > 0))
-                for at in range(0, len(p), 1 << 16):
-                    r, c = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(r)), y.ids.take(pa.array(c)), *[pa.array(v, pa.int32()) for v in (common[r, c], x.n[r], y.n[c])]], ["x", "y", "common", "n_x", "n_y"])
-
-    # half of the numbers name a tile; tiles are small tasks, dealt in turn
-    tiles = sets.sparkSession.range(0, n * n, 1, min(n * n, 4096))
-    return _ordered(tiles.mapInArrow(run, _pair_schema(full)))
+
+def jaccard_pairs(sets: DataFrame, least: tuple[int, int], most: tuple[int, int]) -> DataFrame:
+    """(a, b, common, size_a, size_b), a < b, of all sets (id, ws: distinct hashes of the words) of which the words in common are from
+    ``least`` to ``most`` (fractions) of all that both have. Frequent words count as others do."""
+    (num, den), (to, of) = least, most
+
+    def right(common: np.ndarray, n: int, sizes: np.ndarray) -> np.ndarray:
+        whole = n + sizes - common
+        return (den * common >= num * whole) & (of * common <= to * whole)
+
+    return _set_pairs(sets, lambda n, sizes: num / (num + den) * (n + sizes), right)
 
 
 #: Rows of query words that are sent to the tasks at once; counts that a task holds at once.

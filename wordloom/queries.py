@@ -141,37 +141,42 @@ def veto_foreign_owner(s, d):
     return matching.foreign_owners(forms, "form", "p_brand")
 
 
-_RARE = f"""WITH s AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS w FROM documents)),
-df AS (SELECT w FROM s GROUP BY w HAVING count(*) BETWEEN {{0}} AND 14), rare AS (SELECT s.* FROM s JOIN df USING (w))"""
+_SETS = f"""WITH s AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS w FROM documents))"""
+_COMMON = _SETS + """, n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b USING (w) WHERE a.id < b.id GROUP BY 1, 2)"""
 
 
-@query(_RARE.format(2) + """, pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM rare a JOIN rare b USING (w) WHERE a.id < b.id),
-n AS (SELECT id, list(w) AS ws FROM s GROUP BY id),
-j AS (SELECT a, b, len(list_intersect(x.ws, y.ws)) AS common, len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)) AS whole FROM pairs JOIN n x ON x.id = a JOIN n y ON y.id = b)
-SELECT a, b, common, whole FROM j WHERE 100 * common BETWEEN 18 * whole AND 62 * whole""")
-def jaccard_window(s, d):
-    p = matching.rare_word_pairs(_words(s, d), "id", "w", 14).select("a", "b", "common", (F.col("size_a") + F.col("size_b") - F.col("common")).alias("whole"))
-    return p.filter((100 * F.col("common")).between(18 * F.col("whole"), 62 * F.col("whole")))
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text) of documents; rows of one doc_id are one text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    again = docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if again.isEmpty():
+        return docs
+    several = docs.join(again, "id").groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    return docs.join(again, "id", "left_anti").unionByName(several)
 
 
-_SETS = f"""WITH s AS (SELECT DISTINCT id, w FROM (SELECT doc_id AS id, unnest({WORDS_SQL.format('text')}) AS w FROM documents))"""
+def _hashes(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("id", F.array_distinct(F.transform(T.tokens(F.col("text")), lambda w: F.xxhash64(w))).alias("ws"))
 
 
-@query(_SETS + """, n AS (SELECT id, count(*) AS n FROM s GROUP BY id), c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b USING (w) WHERE a.id < b.id GROUP BY 1, 2)
+@query(_COMMON + """, j AS (SELECT a, b, common, x.n + y.n - common AS whole FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b)
+SELECT a, b, common, whole FROM j WHERE 100 * common BETWEEN 18 * whole AND 62 * whole""")
+def jaccard_window(s, d):
+    p = matching.jaccard_pairs(_hashes(s, d), (18, 100), (62, 100))
+    return p.select("a", "b", "common", (F.col("size_a") + F.col("size_b") - F.col("common")).alias("whole"))
+
+
+@query(_COMMON + """
 SELECT a, b, common, x.n AS size_a, y.n AS size_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * common >= 6 * least(x.n, y.n)""")
 def overlap_near_dups(s, d):
-    return matching.overlap_pairs(_words(s, d), "id", "w", (6, 10))
+    return matching.overlapping(_hashes(s, d), (6, 10))
 
 
 @query(_SETS + f""", q AS (SELECT DISTINCT item_id, unnest({WORDS_SQL.format('text')}) AS w FROM benchmark),
 h AS (SELECT item_id AS id, s.id AS t, count(*) AS common FROM q JOIN s USING (w) GROUP BY 1, 2)
 SELECT id, t AS best, common, round(common / n, 6) AS score FROM h JOIN (SELECT item_id AS id, count(*) AS n FROM q GROUP BY 1) USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, t) = 1""")
 def nearest_by_overlap(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    again = docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    if not again.isEmpty():  # rows of one doc_id are one set
-        several = docs.join(again, "id").groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
-        docs = docs.join(again, "id", "left_anti").unionByName(several)
+    docs = _texts(s, d)
     return matching.nearest_sets(_words(s, d, "benchmark", "item_id"), docs.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("ws")))
 
 
