@@ -145,6 +145,20 @@ def test_jaccard_window_finds_pairs_that_share_frequent_words_only(spark, tmp_pa
     assert "14" not in ORACLE_SQL["jaccard_window"]
 
 
+def test_sets_of_different_kinds_lie_in_different_blocks(spark, monkeypatch):
+    """Two kinds with few words in common are parted, so that comparing their blocks is little work; all pairs are those of brute force."""
+    monkeypatch.setattr(matching, "BLOCK_SETS", 64, raising=False)
+    monkeypatch.setattr(matching, "NEAR_SIZES", 8, raising=False)
+    rng = random.Random(9)
+    sets = [frozenset({k, *rng.sample(range(k, k + 300), rng.choice([1, 2, 5, 40, 280])), *rng.sample(range(900, 910), 2)}) for k in (0, 400) for _ in range(120)]
+    rows = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id int, ws array<long>")
+    blocks = [set(matching._Sorted(name).ids.to_pylist()) for name in matching._sorted_blocks(rows)]
+    assert sorted(i for x in blocks for i in x) == list(range(240)) and max(map(len, blocks)) < 100
+    assert sum(min(sum(i < 120 for i in x), sum(i >= 120 for i in x)) for x in blocks) < 12
+    want = [(i, j, len(x & y), len(x), len(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 10 * len(x & y) >= 6 * min(len(x), len(y))]
+    assert sorted(map(tuple, matching.overlapping(rows, (6, 10)).collect())) == want
+
+
 def test_nearest_by_overlap_counts_frequent_words(spark):
     targets = spark.createDataFrame([(i, w) for i in range(20) for w in ("a", "b")] + [(20, "rare"), (7, "c")], "id int, w string")
     queries = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "rare"), (2, "b")], "id int, w string")

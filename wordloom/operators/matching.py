@@ -31,12 +31,12 @@ def levenshtein_pairs(words: DataFrame, word: str, most: int) -> DataFrame:
     return pairs.select("a", "b", F.levenshtein("a", "b", most).alias("distance")).filter("distance >= 0").distinct()
 
 
-#: Words and sets of a block: a task holds two blocks. A word that more than this share of a block's sets have is a row of bytes there, up to
-#: so many rows; other words are lists of places. Words that tell sets of different kinds apart.
-BLOCK_WORDS, BLOCK_SETS, COLUMNS, DENSE, KINDS = 4 << 20, 1 << 14, 4096, 1 / 50, 16
+#: Words and sets of a block: a task holds two blocks. A word that more than this share of a block's sets have is a bit of each set there, up to
+#: so many bits; other words are lists of places. Words that tell sets of different kinds apart.
+BLOCK_WORDS, BLOCK_SETS, COLUMNS, DENSE, KINDS = 4 << 20, 1 << 14, 4096, 1 / 14, 16
 
 #: Neighbours in size that are ruled out together, tiles at least, pairs that are sent on at once; bounds are reckoned in floats and give way by this.
-NEAR_SIZES, LEAST_TILES, SENT_PAIRS, SLACK = 256, 64, 1 << 16, 1e-3
+NEAR_SIZES, LEAST_TILES, SENT_PAIRS, SLACK = 256, 64, 1 << 16, 0.5
 
 
 def _in_blocks(sets: DataFrame, most_sets: int) -> tuple[str, int, DataFrame]:
@@ -145,8 +145,7 @@ def _sorted_blocks(sets: DataFrame) -> list[str]:
 def _matches(x: _Sorted, y: _Sorted, rows: range, low: Callable, right: Callable, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(p, q, common): the sets q of ``y`` that are ``right`` for p, one of the ``rows`` of ``x``; q > p in the ``same`` block.
 
-    Frequent words' rows of bytes are added up, the others' places counted. Where the latter and as many of the frequent words as both have
-    don't come up to ``low``, the former needn't be.
+    The rarer words' places are counted, then bits of the frequent ones, where these can make up for what lacks to ``low``.
     """
     place = np.minimum(np.searchsorted(y.vocabulary, x.vocabulary), len(y.vocabulary) - 1)
     place[y.vocabulary[place] != x.vocabulary] = -1
@@ -154,20 +153,24 @@ def _matches(x: _Sorted, y: _Sorted, rows: range, low: Callable, right: Callable
     often = place[place >= 0]
     often = often[times[often] > DENSE * len(y.n)]
     often = often[np.argsort(-times[often], kind="stable")[:COLUMNS]]
-    column = np.full(len(y.vocabulary) + 1, -1, np.int32)
+    column = np.full(len(y.vocabulary), -1, np.int32)
     column[often] = np.arange(len(often))
-    table = np.zeros((len(often), len(y.n)), np.uint8)
-    for line, v in zip(table, often.tolist(), strict=True):
+    width = -(-len(often) // 64) * 64
+    table = np.zeros((width, len(y.n)), np.uint8)
+    for line, v in zip(table, often.tolist()):  # noqa: B905  lines are padded
         line[y.post[y.at[v] : y.at[v + 1]]] = 1
-    lines, dense = list(table), table.sum(0, dtype=np.int32)
+    dense = table.sum(0, dtype=np.int32).astype(np.float32)
+    bits = np.ascontiguousarray(np.packbits(table, 0).reshape(width // 64, 8, len(y.n)).transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    del table
     post = y.post.astype(np.uint16) if len(y.n) <= 1 << 16 else y.post
+    sizes = y.n.astype(np.float32)
     least, most = y.n[::NEAR_SIZES], y.n[np.minimum(np.arange(NEAR_SIZES - 1, len(y.n) + NEAR_SIZES - 1, NEAR_SIZES), len(y.n) - 1)]
-    sums = np.empty(len(y.n), np.uint8)
     for p in rows:
         n = int(x.n[p])
+        slack = SLACK + 1e-6 * n
         v = place[x.word[x.start[p] : x.start[p + 1]]]
         v = v[v >= 0]
-        near = np.flatnonzero((low(n, least) <= len(v) + SLACK) & (low(n, most) <= most + SLACK))
+        near = np.flatnonzero((low(n, least) <= len(v) + slack) & (low(n, most) <= most + slack))
         if not len(near) or not len(v):
             continue
         a, b = max(int(near[0]) * NEAR_SIZES, p + 1 if same else 0), min((int(near[-1]) + 1) * NEAR_SIZES, len(y.n))
@@ -177,27 +180,30 @@ def _matches(x: _Sorted, y: _Sorted, rows: range, low: Callable, right: Callable
         rest, own = v[c < 0], c[c >= 0]
         if len(rest):
             found = np.concatenate([post[i:j] for i, j in zip(y.at[rest].tolist(), y.at[rest + 1].tolist(), strict=True)])
-            common = np.bincount(found, minlength=len(y.n))[a:b]
+            common = np.bincount(found, minlength=len(y.n))[a:b].astype(np.float32)
         else:
-            common = np.zeros(b - a, np.int64)
-        bound = low(n, y.n[a:b]) - SLACK
-        q = np.flatnonzero(common + np.minimum(dense[a:b], len(own)) >= bound)
+            common = np.zeros(b - a, np.float32)
+        short = low(n, sizes[a:b])
+        short -= common  # what frequent words must give
+        short -= np.float32(slack)
+        q = np.flatnonzero(np.minimum(dense[a:b], np.float32(len(own))) >= short)
         if not len(q):
             continue
-        if 32 * len(q) < b - a:
-            common, bound = common[q] + table[own[:, None], q + a].sum(0, dtype=np.int64), bound[q]
-            hit = common >= bound
-            q, common = q[hit], common[hit]
+        if len(own):
+            mine = np.zeros(width, np.uint8)
+            mine[own] = 1
+            mine = np.packbits(mine).view(np.uint64)[:, None]
+            if 3 * len(q) < b - a:
+                more = np.bitwise_count(np.take(bits, q + a, 1) & mine).sum(0, dtype=np.uint16)
+                hit = more >= short[q]
+                q, more = q[hit], more[hit]
+            else:
+                more = np.bitwise_count(bits[:, a:b] & mine).sum(0, dtype=np.uint16)
+                q = np.flatnonzero(more >= short)
+                more = more[q]
+            common = common[q].astype(np.int64) + more
         else:
-            whole, own = b - a == len(y.n), own.tolist()
-            for k in range(0, len(own), 255):
-                s = sums[a:b]
-                s.fill(0)
-                for u in own[k : k + 255]:
-                    np.add(s, lines[u] if whole else lines[u][a:b], s)
-                common = common + s
-            q = np.flatnonzero(common >= bound)
-            common = common[q]
+            common = common[q].astype(np.int64)
         q = q + a
         hit = right(common, n, y.n[q])
         if hit.any():
