@@ -269,6 +269,36 @@ def test_held_pairs_are_added_up_in_little_memory():
     assert peak < 12 << 20  # all at once took several times what is held, 32 MB
 
 
+def test_a_block_of_phrases_needs_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from wordloom.llm import phrase_lists as P
+
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % i for i in range(3000)]
+    texts = [b" ".join(words[i] + b"," * int(i % 7 == 0) for i in rng.zipf(1.3, 300_000) % 3000) for _ in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array([t.decode() for t in texts])], ["lang", "text"])
+    tracemalloc.start()
+    P.words_and_places(texts[0])
+    cut = tracemalloc.get_traced_memory()[1]
+    peaks, n = [], 0
+    for ((_, found, places),) in P._blocks(iter([batch])):
+        coded = found.dictionary_encode()
+        sizes, lists = P._grouped(coded.indices.to_numpy(), len(coded.dictionary), places)
+        n += len(found)
+        tracemalloc.reset_peak()
+        start = tracemalloc.get_traced_memory()[0]
+        first, second, at = P.merged(np.arange(len(sizes)), sizes, lists.values.to_numpy())
+        peaks.append(tracemalloc.get_traced_memory()[1] - start)
+        del first, second, at
+    tracemalloc.stop()
+    assert n == sum(len(t.replace(b",", b"").split()) for t in texts)
+    assert cut < 16 * len(texts[0]) and max(peaks) < 24 << 20
+
+
 def test_blocks_batches_are_bounded_by_bytes_and_settings_come_back(spark):
     from wordloom.llm import phrase_lists as P
 
